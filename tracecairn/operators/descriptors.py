@@ -141,13 +141,8 @@ def build_sessions(control: DataFrame, slices: TimeSlices) -> DataFrame:
     descriptor up to ``fd_end``; null means open to the end.
     """
     c = F.col
-    control = control.withColumn("at", at_key())
-    event = F.struct("at", "op", SLICE)
-    by_fd = nearest(control.where(c("fd").isNotNull()), ["owner", "fd"], _IN_OWNER, event, "next",
-                    slices, following=True)
-    opens = by_fd.where(c("op") == "open")
-    marks = _path_marks(opens, control.where((c("op") == "close") & c("fd").isNull()), slices)
     facts = ("fd", "our_fd", "reachable", "next", "exit_at")
+    marks = materialize(_path_marks(control, slices), "marks")
     found = (
         marks.groupBy("owner", "path", "segment").agg(
             F.max(F.when(c("mark") == "open", F.struct(SLICE, *facts))).alias("opened"),
@@ -159,9 +154,6 @@ def build_sessions(control: DataFrame, slices: TimeSlices) -> DataFrame:
         )
         .select("owner", "path", "segment", "opened.*", "closed_at", "own_end", "foreign_end")
     )
-    pathless = opens.where(c("path") == "").select(
-        "owner", "path", c("at").alias("segment"), SLICE, *facts)
-    found = found.unionByName(pathless, allowMissingColumns=True)
     # The end as far as the session itself tells: a close of its path or its descriptor.
     limit = F.when(~c("reachable"), c("segment")).otherwise(F.least("closed_at", "own_end"))
     found = materialize(found.withColumn("limit", limit), "sessions")
@@ -177,29 +169,43 @@ def build_sessions(control: DataFrame, slices: TimeSlices) -> DataFrame:
     )
 
 
-def _path_marks(opens: DataFrame, closes: DataFrame, slices: TimeSlices) -> DataFrame:
+def _path_marks(control: DataFrame, slices: TimeSlices) -> DataFrame:
     """What happens to each path, every mark with the open (``segment``) it falls under.
 
     Marks: the opens, the closes by path, and ``lost`` where session ``of`` loses its
-    descriptor. Losing comes before opening on the same row.
+    descriptor. Losing comes before opening on the same row. An open without a path
+    only gets its own mark.
     """
     c = F.col
-    opens = opens.where(c("path") != "").withColumn("of", c("at"))
-    shared = ["owner", "path"]
-    opened = opens.select(
-        *shared, SLICE, "at", F.lit(1).alias("turn"), F.lit("open").alias("mark"), "of",
-        "fd", "our_fd", "reachable", "next", "exit_at")
-    closed = closes.where(c("path") != "").select(
-        *shared, SLICE, "at", F.lit(1).alias("turn"), F.lit("close").alias("mark"))
-    lost = opens.where(c("next").isNotNull()).select(
-        *shared, c(f"next.{SLICE}").alias(SLICE), c("next.at").alias("at"),
-        F.lit(0).alias("turn"), F.lit("lost").alias("mark"), "of")
-    marks = opened.unionByName(closed, allowMissingColumns=True).unionByName(
-        lost, allowMissingColumns=True)
-    is_open = c("mark") == "open"
-    marks = nearest(marks, shared, ["at", "turn"], F.when(is_open, c("of")), "_under", slices)
+    control = control.withColumn("at", at_key())
+    # Closes by path have no descriptor; whatever their window finds is not used.
+    control = nearest(control, ["owner", "fd"], _IN_OWNER, F.struct("at", "op", SLICE), "next",
+                      slices, following=True)
+    if slices.several:
+        control = materialize(control, "next-on-descriptor")
+    is_open = c("op") == "open"
+
+    def mark(when: Column, name: str, turn: int, at: str, slice_: str) -> Column:
+        return F.when(when, F.struct(
+            F.lit(name).alias("mark"), F.lit(turn).alias("turn"), c(at).alias("at"),
+            c(slice_).alias(SLICE)))
+
+    own_close = (c("op") == "close") & c("fd").isNull() & (c("path") != "")
+    found = F.array(
+        mark(is_open, "open", 1, "at", SLICE),
+        mark(own_close, "close", 1, "at", SLICE),
+        mark(is_open & (c("path") != "") & c("next").isNotNull(), "lost", 0, "next.at",
+             f"next.{SLICE}"),
+    )
+    marks = control.select(
+        "owner", "path", "fd", "our_fd", "reachable", "next", "exit_at",
+        F.when(is_open, c("at")).alias("of"), F.explode(F.array_compact(found)).alias("_mark"),
+    ).select("owner", "path", "fd", "our_fd", "reachable", "next", "exit_at", "of", "_mark.*")
+    opened = c("mark") == "open"
+    marks = nearest(marks, ["owner", "path"], ["at", "turn"], F.when(opened, c("of")), "_under",
+                    slices)
     return (
-        marks.withColumn("segment", F.when(is_open, c("of")).otherwise(c("_under")))
+        marks.withColumn("segment", F.when(opened, c("of")).otherwise(c("_under")))
         .where(c("segment").isNotNull()).drop("_under")
     )
 
@@ -368,7 +374,7 @@ def track_descriptors(
         opens.where(c("reason").isNull()), "our_fd", slices, first_virtual_fd)
     failed = opens.where(c("reason").isNotNull()).withColumn(
         "our_fd", F.lit(None).cast("bigint"))
-    opens = made.unionByName(failed)
+    opens = materialize(made.unionByName(failed), "opens")
     sessions = build_sessions(_control(opens, closes, carried, slices), slices)
     return Descriptors(rows, opens, sessions, slices, opts)
 
