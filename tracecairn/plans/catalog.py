@@ -348,7 +348,7 @@ def first_failed_event(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def traversals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traversal_report(run_of(spark, sf_dir).outcomes).select(
-        "log_offset", "pid", "sc", "path", "resolved")
+        "log_offset", "pid", "sc", "path", "target", "resolved")
 
 
 def _stats(spark: SparkSession, sf_dir: str, opts: TraceOptions) -> DataFrame:

@@ -114,18 +114,24 @@ placed AS (
     PARTITION BY e.pid ORDER BY e.machine_ts, e.log_offset
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior
   FROM sel e LEFT JOIN ctl c ON c.log_offset = e.log_offset),
-found AS (
+looked AS (
   SELECT p.*, list_filter(st.s, lambda x: CASE
       WHEN p.action IN ('io', 'close') AND p.unknown_fd IS NOT NULL THEN x.fd = p.unknown_fd
       WHEN p.action IN ('io', 'close') THEN x.reach AND x.path = p.lookup_path AND x.path <> ''
       WHEN p.raw <> '' AND p.raw NOT LIKE '/%' THEN x.fd = p.arg1 ELSE false END)[1] AS hit
   FROM placed p JOIN st ON st.pid = p.pid AND st.rn = p.prior),
+found AS (
+  SELECT * REPLACE (
+      CASE WHEN target IS NOT NULL THEN {_normal('target')} END AS resolved) FROM (
+    SELECT *, CASE WHEN raw LIKE '//%' THEN substr(raw, 2)
+      WHEN raw LIKE '/%' THEN '{ROOT}' || raw
+      WHEN raw <> '' AND hit IS NOT NULL THEN hit.path || '/' || raw END AS target FROM looked)),
 att AS MATERIALIZED (
   SELECT f.*, f.hit.off AS session_offset, f.hit.path AS session_path,
     coalesce(own.our_fd, used.our_fd) AS our_fd,
     CASE WHEN f.raw = '' THEN 'no_path'
       WHEN f.resolved IS NULL AND f.hit IS NULL THEN 'dirfd_unregistered'
-      WHEN f.resolved IS NULL OR NOT {_inside('f.resolved')} THEN 'traversal' END AS path_reason
+      WHEN NOT {_inside('f.resolved')} THEN 'traversal' END AS path_reason
   FROM found f LEFT JOIN numbered own ON own.log_offset = f.log_offset
   LEFT JOIN numbered used ON used.log_offset = f.hit.off),
 outc AS MATERIALIZED (
@@ -147,12 +153,11 @@ _CAPPED_SEL = "side = 'source'"
 _CAPPED = f"{_TYPED}, {_selected(_CAPPED_SEL, catalog.CAPPED.max_events)}, {_tracked()}"
 _SIGNED = f"WITH RECURSIVE {_typed(True)}, {_selected()}, {_tracked()}"
 
-_NOTE = f"""CASE
+_NOTE = """CASE
   WHEN reason = 'no_path' THEN 'event has no resolvable path'
   WHEN reason = 'dirfd_unregistered' THEN printf(
     'dirfd of a relative path is not registered in the fd table: pid=%d dirfd=%d', pid, arg1)
-  WHEN reason = 'traversal' THEN printf('path traversal rejected: %s -> %s',
-    CASE WHEN raw LIKE '//%' THEN substr(raw, 2) ELSE '{ROOT}' || raw END, resolved)
+  WHEN reason = 'traversal' THEN printf('path traversal rejected: %s -> %s', target, resolved)
   WHEN action = 'open' THEN printf('open %s -> ourFd=%d (origFd=%d)', resolved, our_fd, ret)
   WHEN action = 'meta' THEN printf('%s -> %s', sc, resolved)
   WHEN action = 'io' AND status = 'ok' THEN
@@ -398,7 +403,7 @@ def all_oracles() -> dict[str, str]:
             FROM outc GROUP BY ALL""",
         "first_failed_event": f"""{_FULL} SELECT ts_us, log_offset, pid, sc, action, reason
             FROM outc WHERE status = 'failed' ORDER BY machine_ts, log_offset LIMIT 1""",
-        "traversals": f"""{_FULL} SELECT log_offset, pid, sc, path, resolved FROM outc
+        "traversals": f"""{_FULL} SELECT log_offset, pid, sc, path, target, resolved FROM outc
             WHERE reason = 'traversal'""",
         "run_stats": _stats(_FULL, "TRUE", None),
         "run_stats_capped": _stats(_CAPPED, _CAPPED_SEL, catalog.CAPPED.max_events),
