@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracecairn.options import TraceOptions
-from tracecairn.schema import PARTITION_FIELD, STORED_FIELDS
+from tracecairn.schema import PARTITION_FIELD, STORED_FIELDS, stored_schema
 from tracecairn.sources.normalize import is_usable, normalize, row_filter
 
 # The layout of a bucketed dataset.
@@ -60,16 +61,25 @@ def read_trace(
     root = opts.require_source()
     reader = spark.read.option("ignoreCorruptFiles", opts.ignore_corrupt_files)
     if is_flat(root):
-        return reader.schema(scan_schema(stored or reader.parquet(root).schema)).parquet(root)
+        stored = stored or _stored(reader, root, opts)
+        return reader.schema(scan_schema(stored)).parquet(root)
     base = dataset_dir(root)
     parts = f"{base}/{BUCKET_DIRS}"
     reader = reader.option("basePath", base).option("pathGlobFilter", PART_FILES)
-    if stored is None:
-        stored = reader.parquet(parts).schema
-    schema = scan_schema(stored).add(PARTITION_FIELD, T.StringType())
+    schema = scan_schema(stored or _stored(reader, parts, opts)).add(PARTITION_FIELD, T.StringType())
     return reader.schema(schema).parquet(parts).where(in_bucket_range(opts))
 
 
+def _stored(reader: DataFrameReader, path: str, opts: TraceOptions) -> T.StructType:
+    try:
+        return reader.parquet(path).schema
+    except AnalysisException:
+        # The file looked at may be one to skip.
+        if not opts.ignore_corrupt_files:
+            raise
+        return stored_schema(with_bucket=False)
+
+
 def read_events(
     spark: SparkSession, opts: TraceOptions, stored: T.StructType | None = None
 ) -> DataFrame:
@@ -82,12 +92,8 @@ def read_events(
 def read_quarantine(spark: SparkSession, opts: TraceOptions) -> DataFrame:
     """Rows of the special buckets (no numeric name), which no run ever reads."""
     base = dataset_dir(opts.require_source())
-    schema = T.StructType(
-        [T.StructField(n, t) for n, t in STORED_FIELDS.items()]
-        + [T.StructField("file", T.StringType())]
-    )
     return (
-        spark.read.schema(T.StructType(schema.fields[:-1]))
+        spark.read.schema(stored_schema(with_bucket=False))
         .option("ignoreCorruptFiles", opts.ignore_corrupt_files)
         .option("pathGlobFilter", PART_FILES)
         .option("recursiveFileLookup", True)

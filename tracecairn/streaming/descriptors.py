@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -22,10 +22,17 @@ from tracecairn.operators.outcomes import outcomes
 from tracecairn.operators.slices import SLICE, order_key, plan_slices
 from tracecairn.options import TraceOptions
 
-_MARK_SCHEMA = (
-    "high struct<machine_ts:double,log_offset:bigint,pid:bigint,sc:string>, "
-    "next_fd bigint, batch bigint"
-)
+_KEY_TYPE = "struct<machine_ts:double,log_offset:bigint,pid:bigint,sc:string>"
+_MARK_SCHEMA = f"high {_KEY_TYPE}, next_fd bigint, batch bigint"
+
+
+def _carried_schema(owner: str) -> str:
+    return (f"owner {owner}, machine_ts double, log_offset bigint, sc string, fd int, "
+            "our_fd bigint, path string, reachable boolean")
+
+
+def _literal_key(key: Row) -> Column:
+    return F.struct(*[F.lit(v).alias(n) for n, v in key.asDict().items()])
 
 
 @dataclass(frozen=True)
@@ -46,12 +53,11 @@ class DescriptorStream:
         before = self.last_mark(spark, batch_id)
         fresh, carried, next_fd = batch, None, FIRST_VIRTUAL_FD
         if before is not None:
-            carried = spark.read.parquet(
+            carried = spark.read.schema(_carried_schema("string" if self.opts.exit_closes else "bigint")).parquet(
                 f"{self.table('open_sessions')}/batch={before['batch']}")
             next_fd = before["next_fd"]
             if before["high"] is not None:
-                seen = order_key() <= F.struct(*[
-                    F.lit(v).alias(n) for n, v in before["high"].asDict().items()])
+                seen = order_key() <= _literal_key(before["high"])
                 self._write(batch.where(seen), "late", batch_id)
                 fresh = batch.where(~seen)
         slices = plan_slices(fresh, self.opts.rows_per_slice)
@@ -59,12 +65,15 @@ class DescriptorStream:
         self._write(outcomes(state, notes=True).drop(SLICE), "outcomes", batch_id)
         self._write(carry_over(state.sessions), "open_sessions", batch_id)
         # The mark comes last: a batch without one counts as not done.
-        made = state.opens.agg(F.count("our_fd").alias("made"), F.lit(None).cast(
-            "struct<machine_ts:double,log_offset:bigint,pid:bigint,sc:string>").alias("high"))
-        reached = fresh.agg(F.lit(0).cast("bigint").alias("made"), F.max(order_key()).alias("high"))
-        total = made.unionByName(reached).agg(F.sum("made").alias("made"), F.max("high").alias("high"))
-        high = F.col("high") if before is None or before["high"] is None else F.coalesce(
-            "high", F.struct(*[F.lit(v).alias(n) for n, v in before["high"].asDict().items()]))
+        made = state.opens.agg(
+            F.count("our_fd").alias("made"), F.lit(None).cast(_KEY_TYPE).alias("high"))
+        reached = fresh.agg(
+            F.lit(0).cast("bigint").alias("made"), F.max(order_key()).alias("high"))
+        total = made.unionByName(reached).agg(
+            F.sum("made").alias("made"), F.max("high").alias("high"))
+        high = F.col("high")
+        if before is not None and before["high"] is not None:
+            high = F.coalesce(high, _literal_key(before["high"]))
         self._write(
             total.select(high.alias("high"), (F.col("made") + next_fd).alias("next_fd")),
             "marks", batch_id)
