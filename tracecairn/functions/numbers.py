@@ -27,7 +27,9 @@ def parse_num(text: Column, signed: bool = False) -> Column:
         text.startswith("0x") | text.startswith("0X"),
         F.when(F.length(hex_digits) <= 15, F.conv(hex_digits, 16, 10).try_cast("bigint")),
     ).otherwise(decimal.try_cast("bigint"))
-    return F.coalesce(value, F.lit(0).cast("bigint"))
+    # Most texts are plain digits, which a cast reads without any pattern.
+    plain = F.when((text >= "0") & (text < ":"), text.try_cast("bigint"))
+    return F.coalesce(plain, value, F.lit(0).cast("bigint"))
 
 
 def wrap_int32(value: Column) -> Column:

@@ -202,8 +202,9 @@ def _path_marks(control: DataFrame, slices: TimeSlices) -> DataFrame:
         F.when(is_open, c("at")).alias("of"), F.explode(F.array_compact(found)).alias("_mark"),
     ).select("owner", "path", "fd", "our_fd", "reachable", "next", "exit_at", "of", "_mark.*")
     opened = c("mark") == "open"
-    marks = nearest(marks, ["owner", "path"], ["at", "turn"], F.when(opened, c("of")), "_under",
-                    slices)
+    marks = nearest(
+        marks, ["owner", "path"], [*[f"at.{n}" for n in _IN_OWNER], "turn"],
+        F.when(opened, c("of")), "_under", slices)
     return (
         marks.withColumn("segment", F.when(opened, c("of")).otherwise(c("_under")))
         .where(c("segment").isNotNull()).drop("_under")

@@ -22,6 +22,8 @@ from tracecairn.schema import ORDER
 
 SLICE = "slice"
 MAX_SLICES = 50_000
+SAMPLED_ROWS_PER_SLICE = 100
+MIN_SAMPLE = 1_000_000
 _SUB_SLICE_BITS = 24
 _BEFORE = (Window.unboundedPreceding, -1)
 _UP_TO = (Window.unboundedPreceding, Window.currentRow)
@@ -64,20 +66,24 @@ class TimeSlices:
 def plan_slices(events: DataFrame, rows_per_slice: int) -> TimeSlices:
     """Choose slices of about ``rows_per_slice`` rows, at most ``MAX_SLICES``.
 
-    Reads the row count and, if there is more than one slice, quantiles of the
-    timestamp. Only the cut points reach the driver.
+    Counts the rows and, if there is more than one slice, reads timestamps of a sample,
+    as a range partitioner does. The sample only places the cuts; they are constants
+    from then on and results do not depend on them. Only the cuts reach the driver.
     """
     rows = events.count()
     wanted = min(-(-rows // rows_per_slice), MAX_SLICES)
     if wanted <= 1:
         return TimeSlices()
-    shares = [i / wanted for i in range(1, wanted)]
-    row = events.agg(
-        F.percentile_approx("machine_ts", shares, max(10_000, 10 * wanted)).alias("cuts"),
+    share = min(1.0, max(wanted * SAMPLED_ROWS_PER_SLICE, MIN_SAMPLE) / rows)
+    keys = events.select("machine_ts", "log_offset")
+    row = (keys if share == 1.0 else keys.sample(share, seed=1)).agg(
+        F.percentile_approx(
+            "machine_ts", [i / wanted for i in range(1, wanted)], max(10_000, 10 * wanted)
+        ).alias("cuts"),
         F.min("log_offset").alias("low"),
         F.max("log_offset").alias("high"),
     ).first()
-    return slices_from_quantiles(row["cuts"], row["low"], row["high"], wanted)
+    return slices_from_quantiles(row["cuts"] or (), row["low"] or 0, row["high"] or 0, wanted)
 
 
 def slices_from_quantiles(

@@ -27,6 +27,7 @@ from tracecairn.functions.syscalls import io_direction, io_offset, is_vectored,
 from tracecairn.operators.slices import TimeSlices
 from tracecairn.operators.timing import add_schedule, micros
 from tracecairn.options import TraceOptions
+from tracecairn.schema import ORDER
 
 # Fixed value: the mode of directories an executor makes.
 MKDIR_MODE = 0o755
@@ -102,14 +103,12 @@ def execute_plan(
     plan: DataFrame,
     execute: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     schema: T.StructType | str,
-    by: tuple[str, ...] = ("pid", "session"),
 ) -> DataFrame:
-    """Run a user function over the plan, each session's rows together and in order.
+    """Run a user function over the plan in time order, as Arrow batches.
 
-    The function gets Arrow batches. Rows without a session are spread by key.
+    Each task gets one stretch of the time axis, so that no process or file, however
+    busy, ends up in a single task.
     """
     return (
-        plan.repartition(*by, F.when(F.col("session").isNull(), F.col("log_offset")))
-        .sortWithinPartitions(*by, "machine_ts", "log_offset")
-        .mapInArrow(execute, schema)
+        plan.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).mapInArrow(execute, schema)
     )
