@@ -15,6 +15,7 @@ import time
 from pyspark.sql import SparkSession
 
 from tracecairn.plans import catalog
+from tracecairn.session import tune
 
 HEADLINE = (
     "parse_num", "classify_ops", "resolve_path", "event_line", "pid_filter", "bucket_profile",
@@ -39,6 +40,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    tune(spark)
     # Start the engine before the clock: one scan of the table.
     catalog.events_of(spark, sf_dir).write.format("noop").mode("overwrite").save()
 

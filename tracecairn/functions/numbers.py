@@ -34,9 +34,7 @@ def parse_num(text: Column, signed: bool = False) -> Column:
 
 def wrap_int32(value: Column) -> Column:
     """The low 32 bits of a number as a signed 32-bit integer."""
-    half, full = F.lit(1 << 31), F.lit(1 << 32)
-    low = value.bitwiseAND(F.lit((1 << 32) - 1))
-    return F.when(low >= half, low - full).otherwise(low).cast("int")
+    return F.shiftright(F.shiftleft(value, 32), 32).cast("int")
 
 
 def as_fd(ret: Column) -> Column:

@@ -33,7 +33,7 @@ from tracecairn.functions.paths import (
     unknown_fd,
 )
 from tracecairn.functions.syscalls import CLOSE_OP, EXIT_OP, OPEN_OPS, dry_action, is_rename
-from tracecairn.operators.slices import SLICE, TimeSlices, add_ordinal, nearest
+from tracecairn.operators.slices import SLICE, TimeSlices, add_running_sum, nearest
 from tracecairn.operators.storage import materialize
 from tracecairn.options import TraceOptions
 
@@ -156,7 +156,7 @@ def build_sessions(control: DataFrame, slices: TimeSlices) -> DataFrame:
     )
     # The end as far as the session itself tells: a close of its path or its descriptor.
     limit = F.when(~c("reachable"), c("segment")).otherwise(F.least("closed_at", "own_end"))
-    found = materialize(found.withColumn("limit", limit), "sessions")
+    found = materialize(found.withColumn("limit", limit), "sessions-alone")
     found = _settle_foreign(found, marks)
     return found.select(
         "owner", SLICE, c("segment").alias("open_at"), "fd", "our_fd", "path",
@@ -255,10 +255,9 @@ def _settle_foreign(found: DataFrame, marks: DataFrame) -> DataFrame:
                   ["owner", "path", "of"], "left_semi")
         .groupBy(*session).agg(F.min("at").alias("cleared_at"))
     )
-    return (
-        found.join(lost, session, "left")
-        .withColumn("path_end", F.least("limit", "cleared_at")).drop("cleared_at")
-    )
+    found = found.join(lost, session, "left").withColumn(
+        "path_end", F.least("limit", "cleared_at")).drop("cleared_at")
+    return materialize(found, "sessions")
 
 
 def spread_failures(nodes: DataFrame, keys: list[str], node: str, above: str) -> DataFrame:
@@ -371,11 +370,11 @@ def track_descriptors(
     opens = control.where(c("action") == "open")
     closes = control.where((c("action") == "close") & c("key").isNotNull())
     opens = _resolve_relative_opens(opens, closes, carried, opts, slices)
-    made = add_ordinal(
-        opens.where(c("reason").isNull()), "our_fd", slices, first_virtual_fd)
-    failed = opens.where(c("reason").isNotNull()).withColumn(
-        "our_fd", F.lit(None).cast("bigint"))
-    opens = materialize(made.unionByName(failed), "opens")
+    made = c("reason").isNull()
+    opens = add_running_sum(
+        opens.withColumn("_made", made.cast("bigint")), "_made", "our_fd", slices)
+    opens = materialize(opens.drop("_made").withColumn(
+        "our_fd", F.when(made, c("our_fd") + (first_virtual_fd - 1))), "opens")
     sessions = build_sessions(_control(opens, closes, carried, slices), slices)
     return Descriptors(rows, opens, sessions, slices, opts)
 
@@ -431,12 +430,11 @@ def _resolve_relative_opens(
     if carried is not None:
         returned = returned.unionByName(carried.select("owner", c("fd").alias("dirfd")))
     possible = pending.join(returned.distinct(), ["owner", "dirfd"], "left_semi")
-    hopeless = with_base(
-        pending.join(returned.distinct(), ["owner", "dirfd"], "left_anti")
-        .withColumn("session_path", F.lit(None).cast("string")), root).drop("session_path")
     if possible.isEmpty():
-        return settled.unionByName(hopeless)
+        return _without_base(opens, root)
 
+    hopeless = _without_base(
+        pending.join(returned.distinct(), ["owner", "dirfd"], "left_anti"), root)
     possible = materialize(possible, "relative")
     owners = possible.select("owner").distinct()
 
@@ -445,9 +443,7 @@ def _resolve_relative_opens(
 
     seeds = None if carried is None else of_owners(carried)
     fixed, shut = of_owners(settled), of_owners(closes)
-    verdict = with_base(
-        possible.withColumn("session_path", F.lit(None).cast("string")), root
-    ).drop("session_path")
+    verdict = _without_base(possible, root)
     names = opens.columns
     while True:
         trial = fixed.unionByName(verdict).withColumn("our_fd", F.lit(0).cast("bigint"))
@@ -466,6 +462,12 @@ def _resolve_relative_opens(
             return settled.unionByName(hopeless).unionByName(verdict)
 
 
+def _without_base(opens: DataFrame, root: str) -> DataFrame:
+    """Opens of relative paths fail for want of their directory; others stay as they are."""
+    unknown = opens.withColumn("session_path", F.lit(None).cast("string"))
+    return with_base(unknown, root).drop("session_path")
+
+
 def carry_over(sessions: DataFrame) -> DataFrame:
     """Sessions still open at the end, as the ``carried`` table of a later run.
 

@@ -7,6 +7,7 @@ bytes, sessions as the offset of their open row.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ from tracecairn.operators.storage import scratch_path
 from tracecairn.operators.timing import add_gap, add_schedule, micros, pid_gaps
 from tracecairn.options import TraceOptions
 from tracecairn.plans.run import TraceRun
+from tracecairn.session import tune
 from tracecairn.sources import buckets_opened, normalize, read_events, row_filter, write_trace
 from tracecairn.sources.reader import in_bucket_range
 from tracecairn.sources.sample import sample_trace
@@ -51,8 +53,12 @@ _RUNS: dict[tuple, TraceRun] = {}
 
 
 def query(f: Query) -> Query:
-    _QUERIES[f.__name__] = f
-    return f
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(tune(spark), sf_dir)
+
+    _QUERIES[f.__name__] = run
+    return run
 
 
 def all_queries() -> dict[str, Query]:
