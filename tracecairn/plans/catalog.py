@@ -26,6 +26,7 @@ from tracecairn.operators.storage import scratch_path
 from tracecairn.operators.timing import add_gap, add_schedule, micros, pid_gaps
 from tracecairn.options import TraceOptions
 from tracecairn.plans.run import TraceRun
+from tracecairn.plans.schedule import replay_plan as plan_rows
 from tracecairn.session import tune
 from tracecairn.sources import buckets_opened, normalize, read_events, row_filter, write_trace
 from tracecairn.sources.reader import in_bucket_range
@@ -419,7 +420,8 @@ def side_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def replay_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_of(spark, sf_dir, SCALED).plan().select(
+    run = run_of(spark, sf_dir)   # pacing does not touch the descriptor tables
+    return plan_rows(run.outcomes, SCALED, run.slices).select(
         "log_offset", "action", "status", "reason", "target", "source",
         F.col("flags.access").alias("access"), F.col("flags.create").cast("int").alias("creates"),
         "mode", "direction", "length", "file_offset",
