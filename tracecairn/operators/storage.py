@@ -2,30 +2,28 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
-
-    Only a local session without one gets a temporary folder.
-    """
+    """The folder every executor can reach: spark.checkpoint.dir, else one in the warehouse."""
     chosen = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if chosen:
-        return chosen.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-    chosen = tempfile.mkdtemp(prefix="tracecairn-")
-    spark.sparkContext.setCheckpointDir(chosen)
-    return chosen
+    if not chosen:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        chosen = f"{warehouse.rstrip('/')}/_tracecairn"
+    return chosen.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(shared_dir(spark), "tracecairn", f"{name}-{uuid.uuid4().hex}")
+    return f"{shared_dir(spark)}/tracecairn/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this package has written."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
