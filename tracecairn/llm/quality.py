@@ -38,22 +38,21 @@ RULES = (
     ("symbols", "FALSE", "5 * n_symbols > n_words"),
     ("capitals", "FALSE", "2 * n_capitals > word_chars"),
     ("shouts", "FALSE", "4 * n_shouts > n_words"),
-    ("repeats", "FALSE", "20 * n_repeat_words > 3 * n_words"),
+    ("repeats", "FALSE", "5 * n_repeat_words > n_words"),
     ("lines", "FALSE", "2 * n_dup_lines > n_lines"),
-    ("word_length", "word_chars BETWEEN 3 * n_words AND 10 * n_words",
-     "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
+    ("word_length", "FALSE", "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
     ("length", "n_words >= 50", "n_words < 10"),
 )
 ROUNDS = 12
-#: Prior chance of a bad vote on a good and on a bad document, of a good vote likewise, and the
-#: share of the corpus that the prior weighs.
-PRIOR_BAD, PRIOR_GOOD, PRIOR_WEIGHT = (0.01, 0.3), (0.5, 0.4), 0.02
+#: Prior chance of a bad vote on a good and on a bad document, of a good vote likewise, and what
+#: the prior weighs against what the corpus shows.
+PRIOR_BAD, PRIOR_GOOD, PRIOR_WEIGHT = (0.005, 0.3), (0.5, 0.4), 1.0
 #: Starting posterior without, with one, and with more bad votes.
-START = (0.95, 0.2, 0.05)
+START = (0.95, 0.05, 0.01)
 CUT = 0.5
 #: Share of good documents before any vote. It is given, not estimated: where most rules abstain,
 #: votes alone don't settle it.
-GOOD_SHARE = 0.9
+GOOD_SHARE = 0.8
 PRIOR_ODDS = math.log(GOOD_SHARE / (1 - GOOD_SHARE))
 
 
@@ -141,10 +140,10 @@ def fit(patterns: DataFrame) -> Column:
         got = patterns.agg(*sums).first()
         if got["good"] is None:
             return F.lit(START[0])
-        weight = PRIOR_WEIGHT * (got["good"] + got["bad"])
         rates = {}
         for i, v in enumerate(names):
-            p = {tag: [(got[f"{v}{kind}{tag}"] + weight * prior[k]) / (got[side] + weight)
+            p = {tag: [(got[f"{v}{kind}{tag}"] / got[side] + PRIOR_WEIGHT * prior[k])
+                       / (1 + PRIOR_WEIGHT)
                        for k, (kind, side) in enumerate((("g", "good"), ("b", "bad")))]
                  for tag, prior in (("bad", PRIOR_BAD), ("good", PRIOR_GOOD))}
             rates |= {f"bad{i}": math.log(p["bad"][0] / p["bad"][1]),
@@ -191,7 +190,7 @@ def sql() -> str:
                          f"sum(CASE WHEN v{i} = {vote} THEN n * (1 - p) ELSE 0 END) AS b{tag}{i}"]
         rates = []
         for i in range(len(RULES)):
-            rate = {(s, tag): f"(({s}{tag}{i} + w * {prior[j]}) / ({s} + w))"
+            rate = {(s, tag): f"(({s}{tag}{i} / {s} + {PRIOR_WEIGHT} * {prior[j]}) / (1 + {PRIOR_WEIGHT}))"
                     for j, s in enumerate("gb")
                     for tag, prior in (("bad", PRIOR_BAD), ("good", PRIOR_GOOD))}
             rates += [f"ln({rate['g', tag]} / {rate['b', tag]}) AS l{tag}{i}"
@@ -199,7 +198,7 @@ def sql() -> str:
         total = " + ".join(f"CASE v{i} WHEN -1 THEN lbad{i} WHEN 1 THEN lgood{i} ELSE 0.0 END"
                            for i in range(len(RULES)))
         steps += [
-            f"s{k} AS MATERIALIZED (SELECT *, {PRIOR_WEIGHT}::DOUBLE * (g + b) AS w FROM (SELECT {', '.join(sums)} FROM p{k}))",
+            f"s{k} AS MATERIALIZED (SELECT {', '.join(sums)} FROM p{k})",
             f"r{k} AS MATERIALIZED (SELECT {', '.join(rates)} FROM s{k})",
             f"p{k + 1} AS MATERIALIZED (SELECT {vs}, n, 1 / (1 + exp(-({PRIOR_ODDS!r} + {total}))) AS p FROM pat, r{k})"]
     return rf"""
