@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracecairn.llm import bpe, exthash, langid, pfair, quality, simhash, tokenbin
+from tracecairn.llm import bpe, exthash, langid, pfair, quality, simhash, tokenbin, toxicity
 from tracecairn.llm.common import fold, table
 
 #: Target weights of the sources; all others share the last one.
@@ -54,6 +54,14 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                           tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(fold("doc_id", 5) != 0))
+    return toxicity.score(docs, model).select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judge(docs, carry=["doc_id"]).select(*QUALITY_COLUMNS)
@@ -62,7 +70,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_language_id, op2_simhash, op3_token_shards, op4_pfair_mix, op5_extendible_shards,
-        op6_byte_bpe, op10_quality_rules)}
+        op6_byte_bpe, op8_toxicity, op10_quality_rules)}
 
 
 def all_sql() -> dict[str, str]:
