@@ -5,8 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from tracecairn.llm import bpe, exthash, langid, pfair, quality, simhash, tokenbin, toxicity
+from pyspark.sql import functions as F
+
+from tracecairn.llm import (
+    bpe,
+    exthash,
+    knlm,
+    langid,
+    lshforest,
+    pfair,
+    quality,
+    simhash,
+    tokenbin,
+    toxicity,
+)
 from tracecairn.llm.common import fold, table
 
 #: Target weights of the sources; all others share the last one.
@@ -54,6 +66,12 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                           tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trusted text: documents labelled as good. Every fourth sets the thresholds."""
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    return knlm.classify(table(spark, sf_dir, "documents"), trusted, fold("doc_id", 4) == 0)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels")
@@ -62,6 +80,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op9_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return lshforest.nearest(rows, F.col("vec_id") % 50 == 0)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judge(docs, carry=["doc_id"]).select(*QUALITY_COLUMNS)
@@ -70,7 +93,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_language_id, op2_simhash, op3_token_shards, op4_pfair_mix, op5_extendible_shards,
-        op6_byte_bpe, op8_toxicity, op10_quality_rules)}
+        op6_byte_bpe, op7_kneser_ney, op8_toxicity,
+        op9_lsh_forest, op10_quality_rules)}
 
 
 def all_sql() -> dict[str, str]:

@@ -31,7 +31,7 @@ BUCKETS, SIZE = 1 << 16, 8
 SHORTEST, LONGEST = 3, 5
 WINDOW, STRIDE = 8, 4
 EPOCHS, RATE, DECAY, MIN_Z = 80, 0.05, 0.02, 4.0
-MAX_DOCS, MAX_CHARS = 4_000, 20_000
+MAX_DOCS, MAX_CHARS = 3_000, 20_000
 CACHE_WORDS = 400_000
 PUNCTUATION = ".,;:!?\"'()[]{}*#$%&|<>-_/\\"
 
