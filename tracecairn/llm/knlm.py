@@ -4,7 +4,7 @@ The model is trained on trusted texts of each language: n-grams of ORDER charact
 summed by a shuffle, and turned into interpolated probabilities and back-off weights by joins over
 the counts, order by order. The tables stay sharded by n-gram; nothing of them is collected.
 
-Documents are packed into blocks of a few MB. A block asks for each distinct n-gram in it once, so one
+Documents are packed into blocks of some ten thousand. A block asks for each distinct n-gram in it once, so one
 equality join brings a block all it needs, however often an n-gram occurs and in however many
 documents; the answers go back to the block, where every character takes the longest known
 n-gram that ends in it.
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,9 @@ from tracecairn.llm.common import chunks, code_points, texts_of
 from tracecairn.operators.storage import materialize
 
 ORDER = 4
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 32 << 20
+#: Ids of trusted documents that may be sent to every task, 16 MB or so; more are joined by shuffle.
+SENT_IDS = 1_000_000
 QUANTILE = 0.995
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -52,11 +55,12 @@ def seeds(languages: list[str | None]) -> np.ndarray:
     return out
 
 
-def gram_keys(texts: list[str], languages: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Keys of the n-grams of each order that end at each character, and where texts begin.
+def gram_keys(texts: list[str], languages: list[str | None]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Keys by order at each position, the positions of characters, the points, and text sizes.
 
-    A key is built from the first character on, so a key's context is the key one order below of
-    the character before. Texts are preceded by ORDER - 1 border characters; the end is not modelled.
+    Each text is preceded by ORDER - 1 border points; the end is not modelled. Order 0 is the
+    language alone. The key at a position is that of the n-gram ending there, so the context of a character
+    is the key of the position before it.
     """
     pad = ORDER - 1
     points, begins = code_points(texts)
@@ -64,56 +68,77 @@ def gram_keys(texts: list[str], languages: list[str | None]) -> tuple[list[np.nd
     at = np.arange(len(points)) + np.repeat(np.arange(1, len(texts) + 1), sizes) * pad
     padded = np.zeros(len(points) + len(texts) * pad, np.uint64)
     padded[at] = points.astype(np.uint64) + np.uint64(1)
-    seed = np.repeat(seeds(languages), sizes)
-    keys = []
+    keys = [np.repeat(seeds(languages), sizes + pad)]
     for n in range(1, ORDER + 1):
-        key = seed + np.uint64(n)
-        for back in range(n - 1, -1, -1):
-            key = _hash(key, padded[at - back])
-        keys.append(key)
-    return keys, begins
-
-
-def context_keys(texts: list[str], languages: list[str | None]) -> list[np.ndarray]:
-    """Keys of the contexts of orders 1 .. ORDER - 1 before each character."""
-    pad = ORDER - 1
-    points, begins = code_points(texts)
-    sizes = np.diff(begins)
-    at = np.arange(len(points)) + np.repeat(np.arange(1, len(texts) + 1), sizes) * pad
-    padded = np.zeros(len(points) + len(texts) * pad, np.uint64)
-    padded[at] = points.astype(np.uint64) + np.uint64(1)
-    seed = np.repeat(seeds(languages), sizes)
-    keys = []
-    for n in range(1, ORDER):
-        key = seed + np.uint64(n)
-        for back in range(n, 0, -1):
-            key = _hash(key, padded[at - back])
-        keys.append(key)
-    return keys
+        before = keys[-1]
+        if n > 1:
+            before = np.concatenate((before[:1], before[:-1]))
+        keys.append(_hash(before, padded))
+    return keys, at, padded, sizes
+
+
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of one holder of each key, and for each key its place among them."""
+    n = len(key)
+    bits = max(4, min(20, n.bit_length()))
+    seen = np.empty(1 << bits, np.int64)
+    holder, rows, shift = np.zeros(n, np.int64), np.arange(n), 64 - bits
+    while len(rows):
+        slot = ((key[rows] << np.uint64(64 - bits - shift)) >> np.uint64(64 - bits)).astype(np.int64)
+        seen[slot] = rows
+        held = seen[slot]
+        same = key[held] == key[rows]
+        holder[rows[same]] = held[same]
+        rows, shift = rows[~same], max(0, shift - 5)
+        if not shift and len(rows):
+            _, first, back = np.unique(key[rows], return_index=True, return_inverse=True)
+            holder[rows] = rows[first][back]
+            break
+    own = np.zeros(n, bool)
+    own[holder] = True
+    return np.flatnonzero(own), (np.cumsum(own) - 1)[holder]
 
 
 def count(trusted: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Top-order n-grams: lang seed, keys g1..gN of the suffixes, contexts c1..c(N-1), and n."""
-    fields = ["lang", *(f"g{k}" for k in range(1, ORDER + 1)), *(f"c{k}" for k in range(1, ORDER))]
+    """Top-order n-grams: lang, keys g1..gN of the suffixes, contexts c1..c(N-1), and n."""
+    points = [f"p{k}" for k in range(1, ORDER + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text"):
-            texts, names = texts_of(part, "text"), part.column(1).to_pylist()
-            keys, begins = gram_keys(texts, names)
-            if not len(keys[0]):
+            texts, names = texts_of(part, "text"), part.column(1)
+            keys, at, padded, sizes = gram_keys(texts, names.to_pylist())
+            if not len(at):
                 continue
-            lang = np.repeat(seeds(names), np.diff(begins))
-            top, first, times = np.unique(keys[-1], return_index=True, return_counts=True)
-            columns = [lang, *keys, *context_keys(texts, names)]
+            first, place = distinct(keys[ORDER][at])
+            own = at[first]
+            owner = np.searchsorted(np.cumsum(sizes), first, side="right")
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(x[first].view(np.int64)) for x in columns),
-                 pa.array(times, pa.int64())], [*fields, "n"])
+                [names.take(pa.array(owner)),
+                 *(pa.array(padded[own - ORDER + k].astype(np.int32)) for k in range(1, ORDER + 1)),
+                 pa.array(np.bincount(place, minlength=len(first)), pa.int64())],
+                ["name", *points, "n"])
 
+    def name_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start = seeds(batch.column(0).to_pylist())
+            chars = [batch.column(k).to_numpy().astype(np.uint64) for k in range(1, ORDER + 1)]
+
+            def key(own: list[np.ndarray], start=start) -> np.ndarray:
+                for x in own:
+                    start = _hash(start, x)
+                return start
+
+            columns = [start, *(key(chars[ORDER - k:]) for k in range(1, ORDER + 1)),
+                       *(key(chars[ORDER - 1 - k:-1]) for k in range(1, ORDER))]
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(x.view(np.int64)) for x in columns), batch.column(ORDER + 1)],
+                [*fields, "n"])
+
+    fields = ["lang", *(f"g{k}" for k in range(1, ORDER + 1)), *(f"c{k}" for k in range(1, ORDER))]
     rows = trusted.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(
-        run, ", ".join(f"{f} long" for f in fields) + ", n long")
-    rest = [f for f in fields if f != f"g{ORDER}"]
-    return rows.groupBy(f"g{ORDER}").agg(F.sum("n").alias("n"),
-                                         *(F.first(f).alias(f) for f in rest))
+        run, "name string, " + ", ".join(f"{p} int" for p in points) + ", n long")
+    return rows.groupBy("name", *points).agg(F.sum("n").alias("n")).mapInArrow(
+        name_keys, ", ".join(f"{f} long" for f in fields) + ", n long")
 
 
 def model(counts: DataFrame) -> DataFrame:
@@ -168,65 +193,91 @@ def model(counts: DataFrame) -> DataFrame:
     return materialize(every.join(back, "key", "full"), "model")
 
 
-def pack(docs: DataFrame, carry: list[str], text_col: str, lang_col: str) -> DataFrame:
-    """(block, blob, keys): documents with ``carry`` columns, compressed, and the keys they need."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, "_text", BLOCK_BYTES):
-            texts, names = texts_of(part, "_text"), part.column("_lang").to_pylist()
-            keys, _ = gram_keys(texts, names)
-            wanted = np.unique(np.concatenate([*keys, *context_keys(texts, names), seeds(names)]))
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, part.schema) as out:
-                out.write_batch(part)
-            blob = zstandard.compress(sink.getvalue().to_pybytes(), 3)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([blob], pa.binary()),
-                 pa.array([wanted.view(np.int64)], pa.list_(pa.int64()))], ["blob", "keys"])
-
-    rows = docs.select(*carry, F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
-    packed = rows.mapInArrow(run, "blob binary, keys array<long>")
-    # Written before it is numbered: a number must mean the same block in every later read.
-    return materialize(packed.withColumn("block", F.monotonically_increasing_id()), "packed")
-
-
 def log_likelihoods(texts: list[str], languages: list[str | None], key: np.ndarray,
                     logp: np.ndarray, backoff: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Summed log-probability and characters of each text; ``key`` sorted, unknown logp nan."""
-    grams, begins = gram_keys(texts, languages)
-    sizes = np.diff(begins)
-    total = np.zeros(len(grams[0]))
-    if not len(total) or not len(key):
+    keys, at, _, sizes = gram_keys(texts, languages)
+    if not len(at) or not len(key):
         return np.zeros(len(texts)), sizes
-    contexts = [np.repeat(seeds(languages), sizes), *context_keys(texts, languages)]
+    first, place = distinct(keys[ORDER][at])
+    own = at[first]
 
     def find(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
-        return at, key[at] == wanted
+        found = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+        return found, key[found] == wanted
 
-    open_ = np.arange(len(total))
+    # Each different n-gram once: the longest known suffix, after the contexts that led down to it.
+    value, open_ = np.zeros(len(own)), np.arange(len(own))
     for k in range(ORDER, 0, -1):
-        at, hit = find(grams[k - 1][open_])
-        hit &= ~np.isnan(logp[at])
-        total[open_[hit]] += logp[at[hit]]
+        found, hit = find(keys[k][own[open_]])
+        hit &= ~np.isnan(logp[found])
+        value[open_[hit]] += logp[found[hit]]
         open_ = open_[~hit]
-        # Back-off weight of the context; one that was never seen weighs nothing.
-        at, hit = find(contexts[k - 1][open_])
-        total[open_[hit]] += backoff[at[hit]]
-        # A character never seen in its language: the share left over below order 1.
+        # A context that was never seen weighs nothing; order 0 holds the share of unknown characters.
+        context = keys[k - 1][own[open_] - 1] if k > 1 else keys[0][own[open_]]
+        found, hit = find(context)
+        value[open_[hit]] += backoff[found[hit]]
     sums = np.zeros(len(texts))
     full = np.flatnonzero(sizes)
-    sums[full] = np.add.reduceat(total, begins[:-1][full])
+    begins = np.cumsum(sizes) - sizes
+    sums[full] = np.add.reduceat(value[place], begins[full])
     return sums, sizes
 
 
+#: Asked for by every block, so that a block without an answer is told from one without n-grams.
+_MARK = 0
+
+
+def _blocks(docs: DataFrame, carry: list[str], text_col: str, lang_col: str) -> DataFrame:
+    return docs.select(*carry, F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
+
+
+def _block_name(part: pa.RecordBatch) -> int:
+    mark = xxhash.xxh64()
+    for c in ("_text", "_lang"):
+        for x in part.column(c).to_pylist():
+            mark.update(b"\0" if x is None else x.encode() + b"\1")
+    return int(np.uint64(mark.intdigest()).view(np.int64))
+
+
+def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in chunks(batches, "_text", BLOCK_BYTES):
+        wanted = [np.zeros(1, np.uint64)]
+        for piece in chunks(iter([part]), "_text"):
+            keys, at, _, _ = gram_keys(texts_of(piece, "_text"), piece.column("_lang").to_pylist())
+            own = at[distinct(keys[ORDER][at])[0]]
+            wanted += [np.unique(x) for k in range(ORDER + 1) for x in (keys[k][own], keys[k][own - 1])]
+        found = np.unique(np.concatenate(wanted)).view(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([_block_name(part)] * len(found), pa.int64()), pa.array(found)],
+            ["block", "key"])
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in chunks(batches, "_text", BLOCK_BYTES):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, part.schema) as out:
+            out.write_batch(part)
+        blob = zstandard.compress(sink.getvalue(), 1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([_block_name(part)], pa.int64()), pa.array([blob], pa.binary())],
+            ["block", "blob"])
+
+
 def perplexity(docs: DataFrame, table: DataFrame, carry: list[str], text_col: str = "text",
                lang_col: str = "lang") -> DataFrame:
-    """``carry`` columns with n_symbols (characters) and perplexity."""
-    packed = pack(docs, carry, text_col, lang_col)
+    """``carry`` columns with n_symbols (characters) and perplexity.
+
+    ``docs`` is read twice, once to ask and once to score, and must give the same partitions both
+    times, as a table does; a block that finds no answers of its own is an error.
+    """
     fields = [docs.schema[c] for c in carry]
-    asked = packed.select("block", F.explode("keys").alias("key")).join(table, "key")
+    rows = _blocks(docs, carry, text_col, lang_col)
+    asked = rows.mapInArrow(_ask, "block long, key long").join(table, "key", "left").where(
+        F.col("logp").isNotNull() | F.col("backoff").isNotNull() | (F.col("key") == _MARK))
     answers = asked.groupBy("block").agg(F.collect_list(F.struct("key", "logp", "backoff")).alias("m"))
-    joined = packed.select("block", "blob").join(answers, "block", "left").select(
+    joined = rows.mapInArrow(_pack, "block long, blob binary").join(
+        answers, "block", "left").select(
         "blob", F.col("m.key").alias("key"), F.col("m.logp").alias("logp"),
         F.col("m.backoff").alias("backoff"))
 
@@ -234,27 +285,36 @@ def perplexity(docs: DataFrame, table: DataFrame, carry: list[str], text_col: st
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
-                known = [one.column(j).flatten() for j in (1, 2, 3)]
-                key = known[0].to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                key, logp, backoff = (one.column(j).flatten().to_numpy(zero_copy_only=False)
+                                      for j in (1, 2, 3))
+                if not len(key):
+                    raise RuntimeError("the documents were dealt differently when read again")
+                key = key.astype(np.int64).view(np.uint64)
                 order = np.argsort(key)
-                logp, backoff = (x.to_numpy(zero_copy_only=False).astype(float)[order]
-                                 for x in known[1:])
+                key, logp = key[order], logp.astype(float)[order]
+                backoff = np.nan_to_num(backoff.astype(float)[order])
                 with pa.ipc.open_stream(zstandard.decompress(one.column(0)[0].as_py())) as part:
-                    for docs_ in part:
+                    for piece in chunks(part, "_text"):
                         sums, sizes = log_likelihoods(
-                            texts_of(docs_, "_text"), docs_.column("_lang").to_pylist(),
-                            key[order], logp, np.nan_to_num(backoff))
+                            texts_of(piece, "_text"), piece.column("_lang").to_pylist(),
+                            key, logp, backoff)
                         value = np.exp(np.minimum(-sums / np.maximum(sizes, 1), 700))
-                        none = (sizes == 0) | (sums == 0)
                         yield pa.RecordBatch.from_arrays(
-                            [*(docs_.column(c) for c in carry), pa.array(sizes, pa.int64()),
-                             pa.array(value, pa.float64(), mask=none)],
+                            [*(piece.column(c) for c in carry), pa.array(sizes, pa.int64()),
+                             pa.array(value, pa.float64(), mask=(sizes == 0) | (sums == 0))],
                             [*carry, "n_symbols", "perplexity"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     return joined.mapInArrow(run, f"{schema}, n_symbols long, perplexity double")
 
 
+def _only(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows of ``docs`` whose id is in ``ids``; few ids are sent to the tasks, more are shuffled."""
+    if ids.count() <= SENT_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, F.col(id_col) == F.col("_trusted"), "left_semi")
+
+
 def classify(docs: DataFrame, trusted_ids: DataFrame, held_out, quantile: float = QUANTILE,
              id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, lang, n_symbols, perplexity, threshold, kept) for every document.
@@ -264,11 +324,11 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, held_out, quantile: float
     """
     trusted = trusted_ids.select(F.col(id_col).alias("_trusted")).distinct()
     narrow = docs.select(id_col, text_col, lang_col)
-    train = narrow.where(~held_out).join(trusted, F.col(id_col) == F.col("_trusted"), "left_semi")
+    trusted = materialize(trusted, "trusted")
+    train = _only(narrow.where(~held_out), trusted, id_col)
     table = model(materialize(count(train, text_col, lang_col), "counts"))
     scored = materialize(perplexity(narrow, table, [id_col, lang_col], text_col, lang_col), "scored")
-    limits = (scored.where(held_out)
-              .join(trusted, F.col(id_col) == F.col("_trusted"), "left_semi")
+    limits = (_only(scored.where(held_out), trusted, id_col)
               .groupBy(F.col(lang_col).alias("_lang"))
               .agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold")))
     # One row a language.

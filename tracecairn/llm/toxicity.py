@@ -110,7 +110,7 @@ class Model:
         best = np.full(len(texts), -np.inf)
         np.maximum.at(best, doc, (total[end] - total[first]) / (end - first))
         logit = self.bias + np.where(counts > 0, best, 0)
-        return 1 / (1 + np.exp(-np.clip(logit, -700, 700)))
+        return np.where(np.isneginf(logit), 0, 1 / (1 + np.exp(-np.clip(logit, -700, 700))))
 
 
 def _z_scores(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int) -> np.ndarray:
