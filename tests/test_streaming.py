@@ -49,7 +49,7 @@ def test_tumbling_statistics(spark, trace, tmp_path):
     write_trace(trace(rows), root)
     opts = TraceOptions(events_root=root)
     job = (
-        bucket_stats_stream(stream_events(spark, opts), opts).writeStream.outputMode("complete")
+        bucket_stats_stream(stream_events(spark, opts)).writeStream.outputMode("complete")
         .format("memory").queryName("tumbling").trigger(availableNow=True).start()
     )
     job.awaitTermination()

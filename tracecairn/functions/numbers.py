@@ -19,13 +19,14 @@ _INT32_MAX = 2**31 - 1
 def parse_num(text: Column, signed: bool = False) -> Column:
     """Leading digits as decimal, or hex after ``0x``; 0 for anything else.
 
-    Values beyond 64 bits give 0. ``signed`` accepts a leading minus sign.
+    Hex of up to 16 digits is read as a signed 64-bit value, so that unsigned text of a negative
+    number comes back negative. Values beyond 64 bits give 0. ``signed`` accepts a leading minus sign.
     """
     hex_digits = F.regexp_extract(text, "^0[xX]0*([0-9a-fA-F]*)", 1)
     decimal = F.regexp_extract(text, "^(-?[0-9]+)" if signed else "^([0-9]+)", 1)
     value = F.when(
         text.startswith("0x") | text.startswith("0X"),
-        F.when(F.length(hex_digits) <= 15, F.conv(hex_digits, 16, 10).try_cast("bigint")),
+        F.when(F.length(hex_digits) <= 16, F.conv(hex_digits, 16, -10).try_cast("bigint")),
     ).otherwise(decimal.try_cast("bigint"))
     # Most texts are plain digits, which a cast reads without any pattern.
     plain = F.when((text >= "0") & (text < ":"), text.try_cast("bigint"))
@@ -62,7 +63,11 @@ def open_mode(flags: Column) -> Column:
     return F.when(flags.bitwiseAND(F.lit(FLAG_CREATE)) != 0, CREATE_MODE).otherwise(0)
 
 
+def moved_bytes(ret: Column) -> Column:
+    """Bytes that an IO row moved; a failed one moved none."""
+    return F.greatest(ret, F.lit(0).cast("bigint"))
+
+
 def effective_length(ret: Column, max_io_bytes: int = DEFAULT_MAX_IO_BYTES) -> Column:
-    """Bytes to move for an IO row: what was moved, capped per operation."""
-    moved = F.greatest(ret, F.lit(0).cast("bigint"))
-    return F.least(moved, F.lit(max_io_bytes).cast("bigint"))
+    """Bytes to issue for an IO row: what was moved, within the buffer of one operation."""
+    return F.least(moved_bytes(ret), F.lit(max_io_bytes).cast("bigint"))

@@ -83,7 +83,10 @@ def prepare(events: DataFrame, opts: TraceOptions, slices: TimeSlices) -> DataFr
         .withColumn("dirfd", F.when(c("target").isNull(), c("dirfd")))
         .withColumn("resolved", normalize_path(c("target")))
         .withColumn("reason", _failure(root))
-        .withColumn("key", F.when(c("dirfd").isNotNull(), F.concat(F.lit("fd:"), c("dirfd")))
+        .withColumn("key", F.when(
+            c("dirfd").isNotNull() | (is_rename(c("rename_dst")) & is_relative(c("rename_src"))
+                                      & (wrap_int32(c("arg1")) != AT_FDCWD)),
+            F.concat(F.lit("fd:"), wrap_int32(c("arg1"))))
                     .when(c("action").isin("io", "close") & (c("lookup_path") != ""),
                           lookup_key(c("lookup_path"))))
     )

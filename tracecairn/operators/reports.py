@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracecairn.functions.numbers import effective_length
+from tracecairn.functions.numbers import moved_bytes
 from tracecairn.operators.descriptors import Descriptors, residual
 from tracecairn.operators.select import passes, up_to
 from tracecairn.operators.slices import SLICE, TimeSlices, add_ordinal, nth_key
-from tracecairn.options import DEFAULT_MAX_IO_BYTES, TraceOptions
+from tracecairn.options import TraceOptions
 from tracecairn.schema import ORDER
 
 
@@ -86,31 +86,29 @@ def skip_rate_by_window(
     ).withColumn("skip_bp", F.floor(F.col("skipped") * 10_000 / F.col("events")).cast("bigint"))
 
 
-def io_volume(
-    outcome_rows: DataFrame, by: Sequence[str], max_io_bytes: int = DEFAULT_MAX_IO_BYTES
-) -> DataFrame:
+def io_volume(outcome_rows: DataFrame, by: Sequence[str]) -> DataFrame:
     """Operations and bytes of attributed IO per group."""
     done = outcome_rows.where((F.col("action") == "io") & (F.col("status") == "ok"))
     return done.groupBy(*by).agg(
         F.count(F.lit(1)).alias("ops"),
-        F.sum(effective_length(F.col("ret"), max_io_bytes)).alias("bytes"),
+        F.sum(moved_bytes(F.col("ret"))).alias("bytes"),
     )
 
 
-def io_rollup(outcome_rows: DataFrame, max_io_bytes: int = DEFAULT_MAX_IO_BYTES) -> DataFrame:
+def io_rollup(outcome_rows: DataFrame) -> DataFrame:
     """Attributed IO by side and syscall with subtotals."""
     done = outcome_rows.where((F.col("action") == "io") & (F.col("status") == "ok"))
     return done.rollup("side", "sc").agg(
         F.grouping_id().alias("level"),
         F.count(F.lit(1)).alias("ops"),
-        F.sum(effective_length(F.col("ret"), max_io_bytes)).alias("bytes"),
+        F.sum(moved_bytes(F.col("ret"))).alias("bytes"),
     )
 
 
-def bucket_profile(events: DataFrame, max_io_bytes: int = DEFAULT_MAX_IO_BYTES) -> DataFrame:
+def bucket_profile(events: DataFrame) -> DataFrame:
     """Operations and IO bytes per 600 s bucket."""
     is_io = F.col("op_class") == "io"
-    length = effective_length(F.col("ret"), max_io_bytes)
+    length = moved_bytes(F.col("ret"))
     return events.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("ops"),
         count_if(is_io).alias("io_ops"),
@@ -118,21 +116,23 @@ def bucket_profile(events: DataFrame, max_io_bytes: int = DEFAULT_MAX_IO_BYTES)
     )
 
 
-def side_consistency(
-    outcome_rows: DataFrame, max_io_bytes: int = DEFAULT_MAX_IO_BYTES
-) -> DataFrame:
-    """Opens, closes and IO per path on the source and the target side, and whether they agree."""
+def side_consistency(outcome_rows: DataFrame) -> DataFrame:
+    """Opens, closes and IO per path on the source and the target side, and whether they agree.
+
+    IO and closes count for the path of the session they belong to, where there is one.
+    """
+    on_session = F.when(F.col("action").isin("io", "close"), F.col("session_path"))
     ok = F.col("status") == "ok"
     measures = ("opens", "closes", "io_ops", "io_bytes")
     sides = ("source", "target")
     table = outcome_rows.where(F.col("action").isin("open", "close", "io")).groupBy(
-        F.col("lookup_path").alias("path")
+        F.coalesce(on_session, "lookup_path").alias("path")
     ).pivot("side", list(sides)).agg(
         count_if(ok & (F.col("action") == "open")).alias("opens"),
         count_if(ok & (F.col("action") == "close")).alias("closes"),
         count_if(ok & (F.col("action") == "io")).alias("io_ops"),
         F.sum(F.when(ok & (F.col("action") == "io"),
-                     effective_length(F.col("ret"), max_io_bytes))).alias("io_bytes"),
+                     moved_bytes(F.col("ret")))).alias("io_bytes"),
     )
     table = table.select("path", *[
         F.coalesce(f"{s}_{m}", F.lit(0)).alias(f"{s}_{m}") for s in sides for m in measures])

@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from tracecairn.schema import ORDER
 
 SLICE = "slice"
-MAX_SLICES = 50_000
 SAMPLED_ROWS_PER_SLICE = 100
 MIN_SAMPLE = 1_000_000
 _SUB_SLICE_BITS = 24
@@ -64,14 +63,14 @@ class TimeSlices:
 
 
 def plan_slices(events: DataFrame, rows_per_slice: int) -> TimeSlices:
-    """Choose slices of about ``rows_per_slice`` rows, at most ``MAX_SLICES``.
+    """Choose slices of about ``rows_per_slice`` rows.
 
     Counts the rows and, if there is more than one slice, reads timestamps of a sample,
     as a range partitioner does. The sample only places the cuts; they are constants
     from then on and results do not depend on them. Only the cuts reach the driver.
     """
     rows = events.count()
-    wanted = min(-(-rows // rows_per_slice), MAX_SLICES)
+    wanted = -(-rows // rows_per_slice)
     if wanted <= 1:
         return TimeSlices()
     share = min(1.0, max(wanted * SAMPLED_ROWS_PER_SLICE, MIN_SAMPLE) / rows)
@@ -153,7 +152,7 @@ def add_ordinal(
         return df
     before = per_slice(df, F.count(F.lit(1)), "_before").drop("_total")
     return (
-        df.join(F.broadcast(before), SLICE)   # one row per slice, MAX_SLICES bounds it
+        df.join(before, SLICE)   # one row per slice
         .withColumn(out, F.col(out) + F.col("_before")).drop("_before")
     )
 
@@ -168,7 +167,7 @@ def add_running_sum(
         return df
     before = per_slice(df, F.sum(value), "_before").drop("_total")
     return (
-        df.join(F.broadcast(before), SLICE)   # one row per slice, MAX_SLICES bounds it
+        df.join(before, SLICE)   # one row per slice
         .withColumn(out, F.col(out) + F.col("_before")).drop("_before")
     )
 
@@ -187,7 +186,7 @@ def add_previous_ts(
         .select(SLICE, F.lag("_last").over(across).alias("_edge"))
     )
     return (
-        df.join(F.broadcast(edge), SLICE)     # one row per slice, MAX_SLICES bounds it
+        df.join(edge, SLICE)   # one row per slice
         .withColumn(out, F.coalesce(out, "_edge")).drop("_edge")
     )
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tracecairn import functions as fn
 from tracecairn.operators import reports
 from tracecairn.operators.descriptors import (
+    FIRST_VIRTUAL_FD,
     carry_over,
     change_log,
     residual,
@@ -35,11 +36,13 @@ from tracecairn.streaming import DescriptorStream, bucket_stats_stream, stream_e
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-DEFAULT = TraceOptions()
+# Small slices, so that the sample takes the plan that a large trace takes.
+SLICE_ROWS = 2_000
+DEFAULT = TraceOptions(rows_per_slice=SLICE_ROWS)
 PIDS = (2, 3, 5, 7, 11, 13, 17, 19)
-CAPPED = TraceOptions(side_filter="source", max_events=700)
-SIGNED = TraceOptions(signed_numbers=True)
-SCALED = TraceOptions(pace_mode="scaled", speed=4.0)
+CAPPED = DEFAULT.with_(side_filter="source", max_events=700)
+SIGNED = DEFAULT.with_(signed_numbers=True)
+SCALED = DEFAULT.with_(pace_mode="scaled", speed=4.0)
 BUCKETS = TraceOptions(bucket_min=500, bucket_max=2500)
 FIRST_N = 100
 WINDOWS = (100, 500, 1000, 5000, 200_000)
@@ -67,10 +70,12 @@ def all_queries() -> dict[str, Query]:
 
 
 def run_of(spark: SparkSession, sf_dir: str, opts: TraceOptions = DEFAULT) -> TraceRun:
-    """The run for these options. Queries of one session share its descriptor tables."""
-    key = (spark.sparkContext.applicationId, sf_dir, opts)
+    """The run for these options. Queries of one session share its tables while the file stays."""
+    changed = spark.read.parquet(f"{sf_dir}/events.parquet").agg(
+        F.max("_metadata.file_modification_time")).first()[0]
+    key = (spark.sparkContext.applicationId, sf_dir, opts, changed)
     if key not in _RUNS:
-        _RUNS[key] = TraceRun(events_of(spark, sf_dir, opts), opts)
+        _RUNS[key] = TraceRun.over(sample_trace(spark, sf_dir), opts)
     return _RUNS[key]
 
 
@@ -127,9 +132,11 @@ def lookup_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def resolve_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = DEFAULT.sandbox_root
-    paths = events_of(spark, sf_dir).where(F.col("path").startswith("/")).select(
-        "log_offset", fn.resolve_absolute(F.col("path"), root).alias("resolved"),
-        fn.resolve_absolute(F.concat(F.col("path"), F.lit("/../x/./y//z")), root).alias("detour"))
+    absolute = F.col("path").startswith("/")
+    detour = F.concat(F.col("path"), F.lit("/../x/./y//z"))
+    paths = events_of(spark, sf_dir).select(
+        "log_offset", F.when(absolute, fn.resolve_absolute(F.col("path"), root)).alias("resolved"),
+        F.when(absolute, fn.resolve_absolute(detour, root)).alias("detour"))
     return paths.withColumn("inside", fn.inside_root(F.col("resolved"), root).cast("int"))
 
 
@@ -256,7 +263,9 @@ def gap_by_pid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def gap_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = run_of(spark, sf_dir)
-    return pid_gaps(run.selected.where(F.col("path") != ""), run.slices, ("path",))
+    best = fn.best_path(F.col("path"), F.col("canonical_path"), F.col("mapped"))
+    rows = run.selected.withColumn("lookup_path", best)
+    return pid_gaps(rows.where(F.col("lookup_path") != ""), run.slices, ("lookup_path",))
 
 
 # --- descriptors ----------------------------------------------------------------------------
@@ -318,8 +327,10 @@ def seeded_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = run.selected.where(F.col("machine_ts") < SPLIT_TS)
     second = run.selected.where(F.col("machine_ts") >= SPLIT_TS)
     before = track_descriptors(first, run.opts, run.slices)
-    after = track_descriptors(second, run.opts, run.slices, carry_over(before.sessions))
-    parts = [outcomes(part).select("log_offset", "action", "status", "reason",
+    made = before.opens.agg(F.count("our_fd")).first()[0]
+    after = track_descriptors(second, run.opts, run.slices, carry_over(before.sessions),
+                              FIRST_VIRTUAL_FD + made)
+    parts = [outcomes(part).select("log_offset", "action", "status", "reason", "our_fd",
                                    offset_of("session_at", "session_offset"))
              for part in (before, after)]
     return parts[0].unionByName(parts[1])
@@ -442,7 +453,7 @@ def stream_bucket_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    stream = bucket_stats_stream(stream_events(spark, opts), opts)
+    stream = bucket_stats_stream(stream_events(spark, opts, max_files_per_trigger=20))
     job = (
         stream.writeStream.outputMode("update").foreachBatch(store)
         .option("checkpointLocation", scratch_path(spark, "stream-state"))

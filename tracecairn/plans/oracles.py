@@ -169,7 +169,8 @@ _NOTE = """CASE
     printf('close fd mapping not found: pid=%d path="%s"', pid, lookup_path)
   ELSE 'non open/io/close/meta operation, skipped' END"""
 
-_IO_BYTES = "least(greatest(ret, 0), 1048576)"
+_MOVED = "greatest(ret, 0)"
+_IO_BYTES = f"least({_MOVED}, 1048576)"   # only where a buffer is issued
 
 _OUTCOMES = f"""{_FULL}
 SELECT log_offset, action, status, reason, {_NOTE} AS note FROM outc"""
@@ -284,7 +285,7 @@ FROM why"""
 def _profile(bucket: str = "bucket") -> str:
     return f"""{_TYPED}
 SELECT {bucket} AS bucket, count(*) AS ops, count(*) FILTER (op_class = 'io') AS io_ops,
-  cast(coalesce(sum({_IO_BYTES}) FILTER (op_class = 'io'), 0) AS BIGINT) AS io_bytes
+  cast(coalesce(sum({_MOVED}) FILTER (op_class = 'io'), 0) AS BIGINT) AS io_bytes
 FROM ev GROUP BY 1"""
 
 
@@ -293,7 +294,7 @@ def _consistency() -> str:
         "opens": ("count(*)", "action = 'open'"),
         "closes": ("count(*)", "action = 'close'"),
         "io_ops": ("count(*)", "action = 'io'"),
-        "io_bytes": (f"cast(coalesce(sum({_IO_BYTES})", "action = 'io'"),
+        "io_bytes": (f"cast(coalesce(sum({_MOVED})", "action = 'io'"),
     }
     columns = []
     for side in ("source", "target"):
@@ -304,14 +305,14 @@ def _consistency() -> str:
             columns.append(f"{value} AS {side}_{name}")
     same = " AND ".join(f"source_{n} = target_{n}" for n in tests)
     return f"""{_FULL}, t AS (
-SELECT lookup_path AS path, {', '.join(columns)}
-FROM outc WHERE action IN ('open', 'close', 'io') GROUP BY lookup_path)
+SELECT CASE WHEN action = 'open' THEN lookup_path ELSE coalesce(session_path, lookup_path) END AS path,
+  {', '.join(columns)} FROM outc WHERE action IN ('open', 'close', 'io') GROUP BY 1)
 SELECT *, cast({same} AS INTEGER) AS consistent FROM t"""
 
 
 def _volume(by: str) -> str:
     return f"""{_FULL}
-SELECT {by}, count(*) AS ops, cast(sum({_IO_BYTES}) AS BIGINT) AS bytes
+SELECT {by}, count(*) AS ops, cast(sum({_MOVED}) AS BIGINT) AS bytes
 FROM outc WHERE action = 'io' AND status = 'ok' GROUP BY {by}"""
 
 
@@ -342,8 +343,9 @@ def all_oracles() -> dict[str, str]:
         "lookup_key": f"""{_TYPED} SELECT log_offset, lookup_path AS best_path, unknown_fd,
             CASE WHEN unknown_fd IS NOT NULL THEN concat('fd:', unknown_fd)
               ELSE 'p:' || lookup_path END AS lookup_key FROM ev""",
-        "resolve_path": f"""{_TYPED}, r AS (SELECT log_offset, {_resolved('path')} AS resolved,
-            {_resolved("(path || '/../x/./y//z')")} AS detour FROM ev WHERE path LIKE '/%')
+        "resolve_path": f"""{_TYPED}, r AS (SELECT log_offset,
+            CASE WHEN path LIKE '/%' THEN {_resolved('path')} END AS resolved,
+            CASE WHEN path LIKE '/%' THEN {_resolved("(path || '/../x/./y//z')")} END AS detour FROM ev)
             SELECT *, cast({_inside('resolved')} AS INTEGER) AS inside FROM r""",
         "open_flags": f"""{_TYPED} SELECT log_offset, CASE arg1 & 3 WHEN 1 THEN 'wronly'
             WHEN 2 THEN 'rdwr' ELSE 'rdonly' END AS access,
@@ -381,7 +383,7 @@ def all_oracles() -> dict[str, str]:
         "replay_offset": f"""{_GAPS} SELECT log_offset, cast(sum(wait_us) OVER (
             ORDER BY machine_ts, log_offset) AS BIGINT) AS replay_offset_us FROM waits""",
         "gap_by_pid": _gap_table("pid"),
-        "gap_by_file": _gap_table("path", "path <> ''"),
+        "gap_by_file": _gap_table("lookup_path", "lookup_path <> ''"),
         "virtual_fd": f"{_FULL} SELECT log_offset, pid, ret AS orig_fd, our_fd FROM numbered",
         "fd_sessions": _SESSIONS,
         "fd_changelog": _CHANGES,
@@ -394,8 +396,8 @@ def all_oracles() -> dict[str, str]:
         "fd_residual": f"""{_FULL} SELECT cast(coalesce(sum(len(s)), 0) AS BIGINT) AS residual
             FROM (SELECT s FROM st QUALIFY row_number() OVER (
               PARTITION BY pid ORDER BY rn DESC) = 1)""",
-        "seeded_window": f"""{_FULL} SELECT log_offset, action, status, reason, session_offset
-            FROM outc""",
+        "seeded_window": f"""{_FULL} SELECT log_offset, action, status, reason, our_fd,
+            session_offset FROM outc""",
         "dry_outcomes": _OUTCOMES,
         "signed_outcomes": f"""{_SIGNED} SELECT log_offset, action, status, reason,
             session_offset, our_fd FROM outc""",
@@ -422,7 +424,7 @@ def all_oracles() -> dict[str, str]:
         "io_by_pid_side_bucket": _volume("pid, side, bucket"),
         "io_by_session": _volume("pid, session_offset"),
         "io_subtotals": f"""{_FULL} SELECT side, sc, cast(grouping(side, sc) AS BIGINT) AS level,
-            count(*) AS ops, cast(sum({_IO_BYTES}) AS BIGINT) AS bytes
+            count(*) AS ops, cast(sum({_MOVED}) AS BIGINT) AS bytes
             FROM outc WHERE action = 'io' AND status = 'ok' GROUP BY ROLLUP (side, sc)""",
         "bucket_profile": _profile(),
         "side_consistency": _consistency(),

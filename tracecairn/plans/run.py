@@ -8,13 +8,14 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from tracecairn.operators import reports
-from tracecairn.operators.descriptors import Descriptors, track_descriptors
+from tracecairn.operators.descriptors import FIRST_VIRTUAL_FD, Descriptors, track_descriptors
 from tracecairn.operators.outcomes import check_failures, outcomes
 from tracecairn.operators.select import select_events
 from tracecairn.operators.slices import TimeSlices, plan_slices
+from tracecairn.operators.storage import materialize
 from tracecairn.options import TraceOptions
 from tracecairn.plans.schedule import replay_plan
-from tracecairn.sources.normalize import normalize
+from tracecairn.sources.normalize import normalize, row_filter
 from tracecairn.sources.reader import read_trace
 
 
@@ -22,28 +23,45 @@ from tracecairn.sources.reader import read_trace
 class TraceRun:
     """``events`` are typed events, before any filter; ``opts`` says what to select.
 
-    ``carried`` starts the run with descriptors that were open before the first event.
+    ``carried`` starts the run with descriptors that were open before the first event, and
+    ``first_virtual_fd`` continues the numbers of an earlier run. ``passing`` are the events that
+    pass the filters, read with the filters on stored columns, where the scan can use them.
     """
 
     events: DataFrame
     opts: TraceOptions = TraceOptions()
     carried: DataFrame | None = None
+    first_virtual_fd: int = FIRST_VIRTUAL_FD
+    passing: DataFrame | None = None
 
     @classmethod
     def open(cls, spark: SparkSession, opts: TraceOptions) -> TraceRun:
-        return cls(normalize(read_trace(spark, opts), opts.signed_numbers), opts)
+        return cls.over(read_trace(spark, opts), opts)
+
+    @classmethod
+    def over(cls, stored: DataFrame, opts: TraceOptions) -> TraceRun:
+        """A run over rows as they are stored."""
+        keep = row_filter(opts)
+        return cls(
+            normalize(stored, opts.signed_numbers), opts,
+            passing=None if keep is None else normalize(stored.where(keep), opts.signed_numbers))
 
     @cached_property
     def slices(self) -> TimeSlices:
-        return plan_slices(self.events, self.opts.rows_per_slice)
+        return plan_slices(self._kept, self.opts.rows_per_slice)
+
+    @property
+    def _kept(self) -> DataFrame:
+        return self.events if self.passing is None else self.passing
 
     @cached_property
     def selected(self) -> DataFrame:
-        return select_events(self.events, self.opts, self.slices)
+        return select_events(self._kept, self.opts, self.slices)
 
     @cached_property
     def state(self) -> Descriptors:
-        return track_descriptors(self.selected, self.opts, self.slices, self.carried)
+        return track_descriptors(
+            self.selected, self.opts, self.slices, self.carried, self.first_virtual_fd)
 
     @cached_property
     def sessions(self) -> DataFrame:
@@ -51,7 +69,9 @@ class TraceRun:
 
     @cached_property
     def outcomes(self) -> DataFrame:
-        return check_failures(outcomes(self.state), self.opts.continue_on_error)
+        """Written once: statistics, plan and reports all read it."""
+        return materialize(
+            check_failures(outcomes(self.state), self.opts.continue_on_error), "outcomes")
 
     @cached_property
     def explained_outcomes(self) -> DataFrame:

@@ -18,12 +18,13 @@ from tracecairn.operators.descriptors import (
     carry_over,
     track_descriptors,
 )
-from tracecairn.operators.outcomes import outcomes
-from tracecairn.operators.slices import SLICE, order_key, plan_slices
+from tracecairn.operators.outcomes import check_failures, outcomes
+from tracecairn.operators.select import select_events
+from tracecairn.operators.slices import SLICE, TimeSlices, order_key, plan_slices
 from tracecairn.options import TraceOptions
 
 _KEY_TYPE = "struct<machine_ts:double,log_offset:bigint,pid:bigint,sc:string>"
-_MARK_SCHEMA = f"high {_KEY_TYPE}, next_fd bigint, batch bigint"
+_MARK_SCHEMA = f"high {_KEY_TYPE}, next_fd bigint, taken bigint, batch bigint"
 
 
 def _carried_schema(owner: str) -> str:
@@ -37,7 +38,12 @@ def _literal_key(key: Row) -> Column:
 
 @dataclass(frozen=True)
 class DescriptorStream:
-    """``root``: folder for the tables ``outcomes``, ``late``, ``open_sessions`` and ``marks``."""
+    """``root``: folder for the tables ``outcomes``, ``late``, ``open_sessions`` and ``marks``.
+
+    Filters, the cap and stopping at a failure hold over the whole stream as they do in a batch: the
+    cap counts what earlier batches took, and a failed event ends the query before its batch
+    is marked as done.
+    """
 
     root: str
     opts: TraceOptions = TraceOptions()
@@ -61,23 +67,41 @@ class DescriptorStream:
                 self._write(batch.where(seen), "late", batch_id)
                 fresh = batch.where(~seen)
         slices = plan_slices(fresh, self.opts.rows_per_slice)
-        state = track_descriptors(fresh, self.opts, slices, carried, next_fd)
-        self._write(outcomes(state, notes=True).drop(SLICE), "outcomes", batch_id)
+        taken = before["taken"] if before is not None else 0
+        chosen = self._selected(fresh, taken, slices)
+        state = track_descriptors(chosen, self.opts, slices, carried, next_fd)
+        found = check_failures(outcomes(state, notes=True), self.opts.continue_on_error)
+        self._write(found.drop(SLICE), "outcomes", batch_id)
         self._write(carry_over(state.sessions), "open_sessions", batch_id)
         # The mark comes last: a batch without one counts as not done.
         made = state.opens.agg(
-            F.count("our_fd").alias("made"), F.lit(None).cast(_KEY_TYPE).alias("high"))
+            F.count("our_fd").alias("made"), F.lit(None).cast(_KEY_TYPE).alias("high"),
+            F.lit(0).cast("bigint").alias("taken"))
         reached = fresh.agg(
-            F.lit(0).cast("bigint").alias("made"), F.max(order_key()).alias("high"))
-        total = made.unionByName(reached).agg(
-            F.sum("made").alias("made"), F.max("high").alias("high"))
+            F.lit(0).cast("bigint").alias("made"), F.max(order_key()).alias("high"),
+            F.lit(0).cast("bigint").alias("taken"))
+        counted = chosen.agg(
+            F.lit(0).cast("bigint").alias("made"), F.lit(None).cast(_KEY_TYPE).alias("high"),
+            F.count(F.lit(1)).alias("taken"))
+        total = made.unionByName(reached).unionByName(counted).agg(
+            F.sum("made").alias("made"), F.max("high").alias("high"),
+            F.sum("taken").alias("taken"))
         high = F.col("high")
         if before is not None and before["high"] is not None:
             high = F.coalesce(high, _literal_key(before["high"]))
         self._write(
-            total.select(high.alias("high"), (F.col("made") + next_fd).alias("next_fd")),
+            total.select(high.alias("high"), (F.col("made") + next_fd).alias("next_fd"),
+                         (F.col("taken") + taken).alias("taken")),
             "marks", batch_id)
 
+    def _selected(self, fresh: DataFrame, taken: int, slices: TimeSlices) -> DataFrame:
+        if not self.opts.max_events:
+            return select_events(fresh, self.opts, slices)
+        left = self.opts.max_events - taken
+        if left <= 0:
+            return slices.assign(fresh.where(F.lit(False)))
+        return select_events(fresh, self.opts.with_(max_events=left), slices)
+
     def last_mark(self, spark: SparkSession, batch_id: int) -> Row | None:
         """Where the latest finished batch before this one ended."""
         if batch_id == 0:

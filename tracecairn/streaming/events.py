@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracecairn.functions.numbers import effective_length
-from tracecairn.operators.timing import micros
+from tracecairn.functions.numbers import moved_bytes
 from tracecairn.options import BUCKET_SECONDS, TraceOptions
 from tracecairn.schema import stored_schema
 from tracecairn.sources.normalize import normalize, row_filter
@@ -46,16 +45,20 @@ def stream_events(
 
 
 def with_event_time(events: DataFrame) -> DataFrame:
-    """``event_time``: the trace clock as a timestamp, for watermarks."""
-    return events.withColumn("event_time", F.timestamp_micros(micros(F.col("machine_ts"))))
+    """``event_time``: the trace clock as a timestamp, for watermarks.
+
+    Cut to microseconds, not rounded, so that windows begin where batch buckets do.
+    """
+    return events.withColumn("event_time", F.timestamp_micros(
+        F.floor(F.col("machine_ts") * 1e6).cast("bigint")))
 
 
 def bucket_stats_stream(
-    events: DataFrame, opts: TraceOptions = TraceOptions(), delay: str = "10 minutes"
+    events: DataFrame, delay: str = "10 minutes"
 ) -> DataFrame:
     """Operations and IO bytes per tumbling bucket; rows later than ``delay`` are dropped."""
     is_io = F.col("op_class") == "io"
-    length = effective_length(F.col("ret"), opts.max_io_bytes)
+    length = moved_bytes(F.col("ret"))
     timed = with_event_time(events).withWatermark("event_time", delay)
     return (
         timed.groupBy(F.window("event_time", f"{BUCKET_SECONDS} seconds"))
