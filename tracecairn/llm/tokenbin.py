@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracecairn.llm.bpe import PieceCache, pieces_of
-from tracecairn.llm.common import chunks, texts_of
+from tracecairn.llm.common import chunks, runs_within, texts_of
 from tracecairn.operators.storage import materialize, scratch_path
 
 MAGIC = b"IDSHARD1"
@@ -38,6 +38,10 @@ MAGIC = b"IDSHARD1"
 ROOM, LEVELS = 2, 40
 #: Code points below this have had their classes since long before any pattern library here.
 SETTLED_POINTS = 0x530
+#: Fixed value: how byte-level vocabularies write a space.
+SPACE_MARK = "\u0120"
+#: New pieces that the library gets in one text.
+JOINED = 1_000
 MANIFEST = "shard int, path string, n_docs long, n_ids long"
 
 
@@ -155,13 +159,35 @@ def _encoder(path: str) -> tuple[PieceCache, object]:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
+    names = map(tokenizer.id_to_token, range(tokenizer.get_vocab_size()))
+    opens = np.array([(x or "").startswith(SPACE_MARK) for x in names])
 
-    def encode(new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        found = [x.ids for x in tokenizer.encode_batch_fast(
-            [x.decode() for x in new], add_special_tokens=False)]
+    def ask(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.array([len(x) for x in found], np.int64)
         return np.array([i for x in found for i in x], np.int64), sizes
 
+    def encode(new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """A piece of a space and more holds no other space. Such pieces are joined for the library,
+        which cuts them at the spaces again; an id that opens with one begins the next piece."""
+        texts = [x.decode() for x in new]
+        spaced = np.array([x[:1] == " " and x[1:2] != "" and not x[1].isspace() for x in texts],
+                          bool)
+        at = np.flatnonzero(spaced)
+        some = [texts[i] for i in at.tolist()]
+        ids, _ = ask(["".join(some[i:i + JOINED]) for i in range(0, len(some), JOINED)])
+        heads = np.flatnonzero(opens[ids])
+        if len(heads) != len(at) or (len(heads) and heads[0]):
+            return ask(texts)   # another kind of vocabulary
+        others = np.flatnonzero(~spaced)
+        other_ids, other_sizes = ask([texts[i] for i in others.tolist()])
+        sizes = np.empty(len(new), np.int64)
+        sizes[at], sizes[others] = np.diff(np.append(heads, len(ids))), other_sizes
+        out, begins = np.empty(len(ids) + len(other_ids), np.int64), np.cumsum(sizes) - sizes
+        for own, values in ((at, ids), (others, other_ids)):
+            out[np.repeat(begins[own], sizes[own]) + runs_within(sizes[own])] = values
+        return out, sizes
+
     return PieceCache(encode), tokenizer
 
 
