@@ -163,8 +163,9 @@ def byte_lengths(points: np.ndarray) -> np.ndarray:
     return 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
 
 
-def pieces_of(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
-    """All pieces of all texts as UTF-8, and how many each text has."""
+def pieces_of(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different pieces of all texts as UTF-8, which of them each piece is, and how many
+    pieces each text has."""
     points, begins = code_points(texts)
     starts = piece_starts(points, begins)
     counts = np.diff(np.searchsorted(starts, begins))
@@ -172,8 +173,11 @@ def pieces_of(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
     if len(data) != len(points):
         at = np.concatenate(([0], np.cumsum(byte_lengths(points))))
         starts = at[starts]
-    edges = [*starts.tolist(), len(data)]
-    return [data[a:b] for a, b in zip(edges, edges[1:])], counts
+    edges = np.append(starts, len(data)).astype(np.int64)
+    every = pa.Array.from_buffers(pa.large_binary(), len(starts),
+                                  [None, pa.py_buffer(edges), pa.py_buffer(data)])
+    known = every.dictionary_encode()
+    return known.dictionary.to_pylist(), known.indices.to_numpy(), counts
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -295,16 +299,17 @@ class PieceCache:
         self.place: dict[bytes, int] = {}
         self.ids, self.ends, self.decimal = array("i"), array("q", [0]), []
 
-    def places(self, pieces: list[bytes]) -> list[int]:
-        """Where each piece's ids are; unknown pieces are encoded first."""
+    def places(self, pieces: list[bytes]) -> np.ndarray:
+        """Where the ids of each of these different pieces are; unknown ones are encoded first."""
         if len(self.place) > CACHE_PIECES:
             self.clear()
         got = list(map(self.place.get, pieces))
-        if None in got:
-            missing = [i for i, at in enumerate(got) if at is None]
-            new = list(dict.fromkeys([pieces[i] for i in missing]))
+        missing = [i for i, at in enumerate(got) if at is None]
+        if missing:
+            new = [pieces[i] for i in missing]
             ids, sizes = self.encode(new)
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+            fresh = range(len(self.place), len(self.place) + len(new))
+            self.place.update(zip(new, fresh))
             ends = np.cumsum(sizes)
             self.ends.frombytes((ends + len(self.ids)).astype(np.int64).tobytes())
             self.ids.frombytes(ids.astype(np.int32).tobytes())
@@ -312,16 +317,17 @@ class PieceCache:
                 words = list(map(self.decimals.__getitem__, ids.tolist()))
                 edges = [0, *ends.tolist()]
                 self.decimal += [b" ".join(words[a:b]) for a, b in zip(edges, edges[1:])]
-            for i in missing:
-                got[i] = self.place[pieces[i]]
-        return got
+            for i, at in zip(missing, fresh):
+                got[i] = at
+        return np.array(got, np.int64)
 
-    def expand(self, places: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    def expand(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces in order, and how many each piece has."""
-        at = np.array(places, np.int64)
-        ends = np.array(self.ends)
-        sizes = (ends[1:] - ends[:-1])[at]
-        return np.array(self.ids, np.int32)[np.repeat(ends[at], sizes) + runs_within(sizes)], sizes
+        ends = np.frombuffer(self.ends, np.int64)
+        sizes = (ends[1:] - ends[:-1])[places]
+        at = np.repeat(ends[:-1][places], sizes) + runs_within(sizes)
+        # Copies, as arrays with a view of them cannot grow.
+        return np.array(np.frombuffer(self.ids, np.int32)[at]), sizes
 
 
 class Codec:
@@ -340,12 +346,12 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """All ids, how many each text has, and each text's ids as decimals joined by a space."""
-        pieces, counts = pieces_of(texts)
-        places = self.cache.places(pieces)
+        pieces, which, counts = pieces_of(texts)
+        places = self.cache.places(pieces)[which]
         ids, sizes = self.cache.expand(places)
         edges = np.concatenate(([0], np.cumsum(counts)))
         tokens = np.diff(np.concatenate(([0], np.cumsum(sizes)))[edges])
-        decimal = self.cache.decimal
+        decimal, places = self.cache.decimal, places.tolist()
         return ids, tokens, [b" ".join([decimal[p] for p in places[a:b]])
                              for a, b in zip(edges.tolist(), edges[1:].tolist())]
 

@@ -200,8 +200,8 @@ def encode_texts(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """
     known, tokenizer = _encoder(path)
     plain = [i for i, x in enumerate(texts) if x.isascii() or max(x) < chr(SETTLED_POINTS)]
-    pieces, counts = pieces_of([texts[i] for i in plain])
-    ids, sizes = known.expand(known.places(pieces))
+    pieces, which, counts = pieces_of([texts[i] for i in plain])
+    ids, sizes = known.expand(known.places(pieces)[which])
     edges = np.concatenate(([0], np.cumsum(counts)))
     tokens = np.diff(np.concatenate(([0], np.cumsum(sizes)))[edges])
     if len(plain) == len(texts):
