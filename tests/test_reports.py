@@ -86,7 +86,7 @@ def test_slices_cut_a_single_hot_timestamp(trace):
         r["machine_ts"] += 10
     events = normalize(trace(rows))
     slices = plan_slices(events, 50)
-    assert slices.heavy
+    assert slices.fine
     sized = slices.assign(events).groupBy("slice").agg(
         F.count(F.lit(1)).alias("n"), F.min("log_offset").alias("lo"),
         F.max("log_offset").alias("hi")).orderBy("slice").collect()
@@ -95,11 +95,27 @@ def test_slices_cut_a_single_hot_timestamp(trace):
     assert all(a["hi"] < b["lo"] for a, b in zip(by_offset, by_offset[1:]))
 
 
+def test_slices_of_overfull_timestamps_hold_for_any_offsets(spark):
+    """Offsets that do not follow time, or one far out, make neither many nor large slices."""
+    mixed = spark.range(20_000).selectExpr(
+        "double(id % 20) machine_ts", "(id * 7919) % 20000 log_offset")
+    far = spark.range(20_000).selectExpr(
+        "5.0D machine_ts", "if(id = 7, 1000000000000, id) log_offset")
+    for events in (mixed, far):
+        slices = plan_slices(events, 100)
+        sized = slices.assign(events).groupBy("slice").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min(F.struct("machine_ts", "log_offset")).alias("lo"),
+            F.max(F.struct("machine_ts", "log_offset")).alias("hi")).orderBy("slice").collect()
+        assert len(sized) <= 400 and max(r["n"] for r in sized) <= 200
+        assert all(a["hi"] < b["lo"] for a, b in zip(sized, sized[1:]))
+
+
 def test_slice_boundaries_from_quantiles():
-    s = slices_from_quantiles([1.0, 2.0, 2.0, 3.0, math.nan], 0, 100, 5)
+    s, heavy = slices_from_quantiles([1.0, 2.0, 2.0, 3.0, math.nan], 0, 100)
     assert s.cuts == (1.0, 2.0, math.nextafter(2.0, math.inf), 3.0)
-    assert s.heavy == (2,)
-    assert s.offset_stride == 20
+    assert heavy and (s.low, s.high) == (0, 100)
+    assert not slices_from_quantiles([1.0, 2.0], 0, 100)[1]
 
 
 def test_user_function_over_the_plan(trace):

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -23,23 +23,30 @@ from tracecairn.schema import ORDER
 SLICE = "slice"
 SAMPLED_ROWS_PER_SLICE = 100
 MIN_SAMPLE = 1_000_000
-_SUB_SLICE_BITS = 24
+_KEY = "_slice_key"
+_BELOW_ONE = 1.0 - 2.0**-30
 _BEFORE = (Window.unboundedPreceding, -1)
 _UP_TO = (Window.unboundedPreceding, Window.currentRow)
 
 
+def _bucket(df: DataFrame, cuts: Sequence[float], column: str, out: str) -> DataFrame:
+    """Number of cuts at or below ``column``, one more for NaN."""
+    return Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol=column, outputCol=out,
+                      handleInvalid="keep").transform(df)
+
+
 @dataclass(frozen=True)
 class TimeSlices:
     """Cut points on ``machine_ts``.
 
-    ``heavy`` lists the slices that hold a single timestamp with more rows than a
-    slice should have; those are cut further by ``log_offset``.
+    Where single timestamps have more rows than a slice should have, ``fine`` cuts once more: on
+    the number of a row's slice plus the place of its ``log_offset`` between ``low`` and ``high``.
     """
 
     cuts: tuple[float, ...] = ()
-    heavy: tuple[int, ...] = ()
-    first_offset: int = 0
-    offset_stride: int = 1
+    fine: tuple[float, ...] = ()
+    low: int = 0
+    high: int = 0
 
     @property
     def several(self) -> bool:
@@ -48,18 +55,18 @@ class TimeSlices:
     def assign(self, df: DataFrame) -> DataFrame:
         if not self.cuts:
             return df.withColumn(SLICE, F.lit(0).cast("bigint"))
-        cut = Bucketizer(
-            splits=[-math.inf, *self.cuts, math.inf], inputCol="machine_ts",
-            outputCol=SLICE, handleInvalid="keep",
-        )
-        index = F.col(SLICE).cast("bigint")
-        out = cut.transform(df.drop(SLICE))
-        if not self.heavy:
-            return out.withColumn(SLICE, index)
-        part = F.floor((F.col("log_offset") - self.first_offset) / self.offset_stride)
-        part = F.least(F.greatest(part, F.lit(0)), F.lit((1 << _SUB_SLICE_BITS) - 1))
-        fine = F.when(index.isin(*self.heavy), part).otherwise(0)
-        return out.withColumn(SLICE, F.shiftleft(index, _SUB_SLICE_BITS) + fine)
+        out = _bucket(df.drop(SLICE), self.cuts, "machine_ts", SLICE)
+        if self.fine:
+            out = self._keyed(out)
+            out = _bucket(out.drop(SLICE), self.fine, _KEY, SLICE).drop(_KEY)
+        return out.withColumn(SLICE, F.col(SLICE).cast("bigint"))
+
+    def _keyed(self, df: DataFrame) -> DataFrame:
+        """Doubles round in order, so equal or close offsets at worst share a slice."""
+        span = max(1.0, float(self.high - self.low))
+        place = (F.col("log_offset") - F.lit(float(self.low))) / F.lit(span)
+        place = F.least(F.greatest(place, F.lit(0.0)), F.lit(1.0))
+        return df.withColumn(_KEY, F.col(SLICE) + place * F.lit(_BELOW_ONE))
 
 
 def plan_slices(events: DataFrame, rows_per_slice: int) -> TimeSlices:
@@ -75,24 +82,32 @@ def plan_slices(events: DataFrame, rows_per_slice: int) -> TimeSlices:
         return TimeSlices()
     share = min(1.0, max(wanted * SAMPLED_ROWS_PER_SLICE, MIN_SAMPLE) / rows)
     keys = events.select("machine_ts", "log_offset")
-    row = (keys if share == 1.0 else keys.sample(share, seed=1)).agg(
-        F.percentile_approx(
-            "machine_ts", [i / wanted for i in range(1, wanted)], max(10_000, 10 * wanted)
-        ).alias("cuts"),
-        F.min("log_offset").alias("low"),
-        F.max("log_offset").alias("high"),
-    ).first()
-    return slices_from_quantiles(row["cuts"] or (), row["low"] or 0, row["high"] or 0, wanted)
+    keys = keys if share == 1.0 else keys.sample(share, seed=1)
+
+    def quantiles(column: str) -> Column:
+        return F.percentile_approx(
+            column, [i / wanted for i in range(1, wanted)], max(10_000, 10 * wanted))
+
+    row = keys.agg(quantiles("machine_ts").alias("cuts"), F.min("log_offset").alias("low"),
+                   F.max("log_offset").alias("high")).first()
+    found, heavy = slices_from_quantiles(row["cuts"] or (), row["low"] or 0, row["high"] or 0)
+    if not heavy:
+        return found
+    keyed = found._keyed(_bucket(keys, found.cuts, "machine_ts", SLICE))
+    fine = keyed.agg(quantiles(_KEY).alias("fine")).first()["fine"] or ()
+    # Whole numbers keep the cuts by time, so that no slice joins parts of two.
+    whole = map(float, range(1, len(found.cuts) + 2))
+    return replace(found, fine=tuple(sorted({*fine, *whole})))
 
 
 def slices_from_quantiles(
-    quantiles: Sequence[float], low: int, high: int, wanted: int
-) -> TimeSlices:
+    quantiles: Sequence[float], low: int, high: int
+) -> tuple[TimeSlices, bool]:
+    """Slices by time, and whether one of them has a timestamp of more rows than wanted."""
     finite = [q for q in quantiles if math.isfinite(q)]
     repeated = {a for a, b in zip(finite, finite[1:]) if a == b}
     cuts = sorted(set(finite) | {math.nextafter(q, math.inf) for q in repeated})
-    heavy = tuple(cuts.index(q) + 1 for q in sorted(repeated))
-    return TimeSlices(tuple(cuts), heavy, low, max(1, (high - low) // wanted))
+    return TimeSlices(tuple(cuts), (), low, high), bool(repeated)
 
 
 def order_key(columns: Sequence[str] = ORDER) -> Column:
