@@ -6,7 +6,7 @@ from tests.model import simulate
 from tests.test_descriptors import event, random_rows
 from tracecairn import TraceOptions
 from tracecairn.sources import normalize, write_trace
-from tracecairn.streaming import DescriptorStream, bucket_stats_stream, stream_events
+from tracecairn.streaming import BucketStream, DescriptorStream, bucket_stats_stream, stream_events
 
 
 def deliver(spark, trace, tracked, root, state, rows):
@@ -59,3 +59,36 @@ def test_tumbling_statistics(spark, trace, tmp_path):
         n, b = want.get(int(r["machine_ts"] // 600), (0, 0))
         want[int(r["machine_ts"] // 600)] = (n + 1, b + 10)
     assert got == want
+
+
+def test_statistics_keep_late_rows(spark, trace, tmp_path):
+    def read(i, ts):
+        return {**event(i, "read", "/p", "10"), "machine_ts": ts}
+
+    counted = BucketStream(str(tmp_path / "out"))
+    root, state = str(tmp_path / "in"), str(tmp_path / "state")
+    # The clock reaches 2500: with 600 seconds' delay buckets 0 to 2 are closed, 3 is not.
+    second = [read(3, 1799.0), read(4, 1801.0), read(5, 2600.0)]
+    deliver(spark, trace, counted, root, state, [read(1, 100.0), read(2, 2500.0)])
+    deliver(spark, trace, counted, root, state, second)
+    want = {0: (1, 10), 3: (1, 10), 4: (2, 20)}
+
+    def totals():
+        return {r["bucket"]: (r["ops"], r["io_bytes"]) for r in counted.totals(spark).collect()}
+
+    def late():
+        return [r["log_offset"] for r in spark.read.parquet(counted.table("late")).collect()]
+
+    assert (totals(), late()) == (want, [3])
+    counted.process(normalize(trace(second)), 1)
+    assert (totals(), late()) == (want, [3])
+
+
+def test_old_snapshots_go(spark, trace, tmp_path):
+    tracked = DescriptorStream(str(tmp_path / "out"))
+    for i in range(4):
+        tracked.process(normalize(trace([event(i + 1, "openat", f"/p{i}", str(3 + i))])), i)
+    for name in ("open_sessions", "marks"):
+        kept = spark.read.parquet(tracked.table(name)).select("batch").distinct().collect()
+        assert sorted(r["batch"] for r in kept) == [2, 3]
+    assert spark.read.parquet(tracked.table("open_sessions")).where("batch = 3").count() == 4

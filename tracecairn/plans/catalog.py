@@ -32,7 +32,12 @@ from tracecairn.session import tune
 from tracecairn.sources import buckets_opened, normalize, read_events, row_filter, write_trace
 from tracecairn.sources.reader import in_bucket_range
 from tracecairn.sources.sample import sample_trace
-from tracecairn.streaming import DescriptorStream, bucket_stats_stream, stream_events
+from tracecairn.streaming import (
+    BucketStream,
+    DescriptorStream,
+    bucket_stats_stream,
+    stream_events,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,6 +55,8 @@ SPLIT_TS = 1_296_000.0   # the middle of the sample's month
 # The sample spreads a few rows per bucket over a month. Queries that write bucket
 # directories run its clock faster, so that a directory holds more than three rows.
 SQUEEZE = 100
+# Part of what arrives out of order is still in time.
+LATE_SECONDS = 18_000
 PART = TraceOptions(bucket_min=5, bucket_max=25)
 
 _QUERIES: dict[str, Query] = {}
@@ -481,3 +488,23 @@ def stream_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
             availableNow=True).start().awaitTermination()
     return spark.read.parquet(tracked.table("outcomes")).select(
         "log_offset", "action", "status", "reason", "note")
+
+
+@query
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bucket statistics and late rows where the second half of the trace arrives first."""
+    counted = BucketStream(scratch_path(spark, "stream-out"), LATE_SECONDS)
+    state = scratch_path(spark, "stream-state")
+    root = scratch_path(spark, "stream-source")
+    trace = _squeezed(spark, sf_dir)
+    early = F.col("machine_ts") < SPLIT_TS / SQUEEZE
+    for part in (trace.where(~early), trace.where(early)):
+        write_trace(part, root, mode="append")
+        events = stream_events(spark, TraceOptions(events_root=root))
+        counted.writer(events).option("checkpointLocation", state).trigger(
+            availableNow=True).start().awaitTermination()
+    late = spark.read.parquet(counted.table("late")).groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("late"))
+    return counted.totals(spark).join(late, "bucket", "full").select(
+        F.col("bucket").cast("bigint").alias("bucket"),
+        *(F.coalesce(c, F.lit(0)).alias(c) for c in ("ops", "io_ops", "io_bytes", "late")))

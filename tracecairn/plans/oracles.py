@@ -289,6 +289,23 @@ SELECT {bucket} AS bucket, count(*) AS ops, count(*) FILTER (op_class = 'io') AS
 FROM ev GROUP BY 1"""
 
 
+def _late() -> str:
+    clock = f"(machine_ts / {catalog.SQUEEZE})"
+    early = f"{clock} < {catalog.SPLIT_TS / catalog.SQUEEZE}"
+    return f"""{_TYPED}, timed AS (
+  SELECT *, cast(floor({clock} / 600) AS BIGINT) AS b, {early} AS early FROM ev
+), judged AS (
+  SELECT *, early AND (b + 1) * 600 <= (
+    SELECT max({clock}) FILTER (NOT early) - {catalog.LATE_SECONDS} FROM timed) AS is_late
+  FROM timed
+)
+SELECT b AS bucket, count(*) FILTER (NOT is_late) AS ops,
+  count(*) FILTER (NOT is_late AND op_class = 'io') AS io_ops,
+  cast(coalesce(sum({_MOVED}) FILTER (NOT is_late AND op_class = 'io'), 0) AS BIGINT) AS io_bytes,
+  count(*) FILTER (is_late) AS late
+FROM judged GROUP BY b"""
+
+
 def _consistency() -> str:
     tests = {
         "opens": ("count(*)", "action = 'open'"),
@@ -432,4 +449,5 @@ def all_oracles() -> dict[str, str]:
         "stream_bucket_profile": _profile(
             f"cast(floor(machine_ts / {catalog.SQUEEZE} / 600) AS BIGINT)"),
         "stream_outcomes": _OUTCOMES,
+        "stream_late": _late(),
     }

@@ -3,6 +3,7 @@
 Each batch starts from the sessions the batch before left open and writes its own
 snapshot, outcomes and late rows under its batch id. A repeated batch reads the same
 predecessor and overwrites its own output, so replays after a failure change nothing.
+Snapshots and marks older than that predecessor are deleted.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from tracecairn.operators.descriptors import (
 from tracecairn.operators.outcomes import check_failures, outcomes
 from tracecairn.operators.select import select_events
 from tracecairn.operators.slices import SLICE, TimeSlices, order_key, plan_slices
+from tracecairn.operators.storage import remove
 from tracecairn.options import TraceOptions
 
 _KEY_TYPE = "struct<machine_ts:double,log_offset:bigint,pid:bigint,sc:string>"
@@ -93,6 +95,9 @@ class DescriptorStream:
             total.select(high.alias("high"), (F.col("made") + next_fd).alias("next_fd"),
                          (F.col("taken") + taken).alias("taken")),
             "marks", batch_id)
+        if before is not None:
+            for name in ("open_sessions", "marks"):
+                remove(spark, f"{self.table(name)}/batch={before['batch'] - 1}")
 
     def _selected(self, fresh: DataFrame, taken: int, slices: TimeSlices) -> DataFrame:
         if not self.opts.max_events:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter
 
 from tracecairn.functions.numbers import moved_bytes
 from tracecairn.options import BUCKET_SECONDS, TraceOptions
@@ -56,7 +59,10 @@ def with_event_time(events: DataFrame) -> DataFrame:
 def bucket_stats_stream(
     events: DataFrame, delay: str = "10 minutes"
 ) -> DataFrame:
-    """Operations and IO bytes per tumbling bucket; rows later than ``delay`` are dropped."""
+    """Operations and IO bytes per tumbling bucket; rows later than ``delay`` are dropped.
+
+    ``BucketStream`` keeps a record of them.
+    """
     is_io = F.col("op_class") == "io"
     length = moved_bytes(F.col("ret"))
     timed = with_event_time(events).withWatermark("event_time", delay)
@@ -75,3 +81,54 @@ def bucket_stats_stream(
             "ops", "io_ops", "io_bytes", "first_ts", "last_ts",
         )
     )
+
+
+@dataclass(frozen=True)
+class BucketStream:
+    """Tumbling statistics that keep their late rows.
+
+    A row is late where its bucket had ended ``delay_seconds`` before the latest row of the
+    batches before. Each batch writes partial counts of the rows in time to ``partials``, the late
+    rows to ``late`` and the clock it reached to ``marks``, each under its batch id, below
+    ``root``; ``totals`` adds the partials up. A repeated batch reads the same marks and
+    overwrites its own output.
+    """
+
+    root: str
+    delay_seconds: float = BUCKET_SECONDS
+
+    def table(self, name: str) -> str:
+        return f"{self.root.rstrip('/')}/{name}"
+
+    def writer(self, events: DataFrame) -> DataStreamWriter:
+        return events.writeStream.foreachBatch(self.process)
+
+    def process(self, batch: DataFrame, batch_id: int) -> None:
+        before = self._reached(batch.sparkSession, batch_id)
+        ended = (F.floor(F.col("machine_ts") / BUCKET_SECONDS) + 1) * BUCKET_SECONDS
+        late = F.lit(False) if before is None else F.coalesce(
+            ended <= before - self.delay_seconds, F.lit(False))
+        is_io = F.col("op_class") == "io"
+        self._write(batch.where(late), "late", batch_id)
+        self._write(
+            batch.where(~late).groupBy(
+                F.floor(F.col("machine_ts") / BUCKET_SECONDS).alias("bucket"))
+            .agg(F.count(F.lit(1)).alias("ops"), F.count_if(is_io).alias("io_ops"),
+                 F.coalesce(F.sum(F.when(is_io, moved_bytes(F.col("ret")))), F.lit(0))
+                 .alias("io_bytes")),
+            "partials", batch_id)
+        self._write(batch.agg(F.max("machine_ts").alias("high")), "marks", batch_id)
+
+    def totals(self, spark: SparkSession) -> DataFrame:
+        parts = spark.read.parquet(self.table("partials"))
+        return parts.groupBy("bucket").agg(
+            *(F.sum(c).alias(c) for c in ("ops", "io_ops", "io_bytes")))
+
+    def _reached(self, spark: SparkSession, batch_id: int) -> float | None:
+        if batch_id == 0:
+            return None
+        marks = spark.read.schema("high double, batch bigint").parquet(self.table("marks"))
+        return marks.where(F.col("batch") < batch_id).agg(F.max("high")).first()[0]
+
+    def _write(self, df: DataFrame, name: str, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.table(name)}/batch={batch_id}")
