@@ -391,6 +391,19 @@ def test_forest_finds_the_nearest(spark):
     assert lshforest.nearest(table.limit(0), F.lit(True)).count() == 0
 
 
+def test_forest_holds_recall_when_leaves_are_small_beside_the_table(spark):
+    vectors = np.random.default_rng(12).standard_normal((6000, 64)).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)],
+                                  "vec_id long, embedding array<float>")
+    got = lshforest.nearest(table, F.col("vec_id") % 50 == 0, leaf=32).collect()
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    cosine = unit[::50] @ unit.T
+    cosine[np.arange(120), np.arange(120) * 50] = -2
+    near = np.argsort(-cosine, axis=1)[:, :5]
+    want = {(q * 50, int(i)) for q in range(120) for i in near[q]}
+    assert len(want & {(r["query_id"], r["vec_id"]) for r in got}) >= 0.9 * len(want)
+
+
 # -- quality rules ------------------------------------------------------------------------------
 
 def brute_counts(text):

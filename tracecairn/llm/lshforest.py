@@ -2,15 +2,17 @@
 
 Every tree gives a vector a string of BITS bits, the signs of random projections; vectors that are close
 share long prefixes. A tree's strings are kept sorted, in leaves: the shortest prefixes with at most ``leaf``
-vectors. A query descends each tree to where its string belongs and meets the others of its
-leaf in the order of their common prefix with it. All trees ascend together, from the longest common
-prefix to shorter ones, until ``candidates`` have been met or the leaves end; what was met
-is ranked by its exact cosine. Each tree reports, for each prefix length, how many it holds and its
-best few, so one pass over the leaves settles both where to stop and who is nearest.
+vectors, but none longer than the depth at which recall holds. That depth is measured: a sample of
+queries is compared with every entry, and the depth is the largest at which TARGET of their nearest k
+share a prefix of that length with them in some tree. So leaves grow with the table where its neighbours
+ask for it. A query descends each tree to where its string belongs, all trees ascend to the tops of their
+leaves, and what was met is ranked by its exact cosine.
 
-Equal vectors are one entry with its lowest ids, so groups of copies don't crowd a leaf. Different vectors
-with one string, which no prefix separates, are cut into blocks of at most ``leaf``, and their
-queries visit each block.
+With ``candidates`` all trees ascend together, from the longest common prefix to shorter ones, only until
+so many have been met (a neighbour counts once for each tree); recall is then not held.
+
+Equal vectors are one entry with its lowest ids, so groups of copies don't crowd a leaf. Leaves of more
+than ``leaf`` entries are cut into blocks of at most about ``leaf``, and their queries visit each block.
 
 Vectors that are null or zero, or that hold null or non-finite components, take no part, neither do rows with
 a null id; vectors of different lengths never meet. Repeated rows (same id) count once. Ties go to the
@@ -31,7 +33,9 @@ from tracecairn.llm.exthash import directory
 from tracecairn.operators.storage import materialize
 
 TREES, BITS = 40, 48
-LEAF, CANDIDATES = 4096, 16_000
+LEAF = 4096
+#: Queries that are compared with every entry, and the share of their nearest that must be met.
+SAMPLE, TARGET = 256, 0.95
 SEED = 5
 
 
@@ -77,9 +81,91 @@ def _forest(groups: DataFrame) -> DataFrame:
     return groups.select("id", "vector").mapInArrow(run, "id long, tree int, size int, h long")
 
 
-def _meet(keep: int):
+def depth_for(met: np.ndarray, target: float = TARGET) -> int:
+    """Largest depth that ``target`` of the neighbours reach; ``met``: their longest common prefixes."""
+    depths = np.arange(BITS + 1)
+    share = (met[:, None] >= depths).mean(0)
+    return int(depths[share >= target].max())
+
+
+def held_depths(groups: DataFrame, k: int) -> dict[int, int]:
+    """Depth to which leaves of each vector size may go; size 0 holds for sizes outside the sample."""
+    sample = (groups.where("asked").select("id", "vector")
+              .orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect())
+    own: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    for size in {len(r["vector"]) for r in sample}:
+        rows = [r for r in sample if len(r["vector"]) == size]
+        q = np.array([r["vector"] for r in rows], float)
+        own[size] = (np.array([r["id"] for r in rows], np.int64), q,
+                     np.stack([strings(q, tree) for tree in range(TREES)]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The best k of a batch for each sampled query, with their longest common prefix."""
+        for batch in batches:
+            ids, lists = batch.column(0).to_numpy(), batch.column(1)
+            sizes = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(float)
+            ends = np.cumsum(sizes)
+            for size, (names, q, hashes) in own.items():
+                at = np.flatnonzero(sizes == size)
+                if not len(at):
+                    continue
+                x = flat[(ends[at] - size)[:, None] + np.arange(size)]
+                cosine = (q @ x.T) / (np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1)))
+                cosine[names[:, None] == ids[at]] = -np.inf
+                n = min(k, len(at))
+                best = np.argpartition(-cosine, n - 1, axis=1)[:, :n]
+                which, place = np.unique(best, return_inverse=True)
+                place = place.reshape(best.shape)
+                met = np.zeros(best.shape, np.int64)
+                for tree in range(TREES):
+                    h = strings(x[which], tree)[place]
+                    met = np.maximum(met, common_prefix(h, hashes[tree][:, None]))
+                score = np.take_along_axis(cosine, best, 1)
+                real = np.isfinite(score)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.broadcast_to(names[:, None], best.shape)[real]),
+                     pa.array(score[real]), pa.array(met[real].astype(np.int32)),
+                     pa.array(np.full(int(real.sum()), size, np.int32))],
+                    ["query", "score", "met", "size"])
+
+    if not own:
+        return {0: BITS}
+    best = Window.partitionBy("query").orderBy(F.desc("score"), F.desc("met"))
+    found = (groups.select("id", "vector")
+             .mapInArrow(run, "query long, score double, met int, size int")
+             .withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
+             .select("size", "met").toPandas())
+    depths = {int(size): depth_for(part.to_numpy()) for size, part in found.groupby("size")["met"]}
+    return {0: min(depths.values(), default=BITS)} | depths
+
+
+def _best(members: pd.DataFrame, keep: int) -> pd.DataFrame:
+    """Each query's best entries within one leaf."""
+    asked = members[members["role"] == 1]
+    held = members[members["role"] == 0]
+    out = []
+    if len(asked) and len(held):
+        x = np.stack(held["vector"].to_numpy()).astype(float)
+        norm = np.sqrt((x * x).sum(1))
+        ids, n = held["id"].to_numpy(), min(keep, len(held))
+        for a in range(0, len(asked), 256):
+            part = asked.iloc[a:a + 256]
+            q = np.stack(part["vector"].to_numpy()).astype(float)
+            cosine = (q @ x.T) / (np.sqrt((q * q).sum(1))[:, None] * norm)
+            least = -np.partition(-cosine, n - 1, axis=1)[:, n - 1]
+            for own, score, cut in zip(part["id"], cosine, least):
+                at = np.flatnonzero(score >= cut)
+                best = at[np.lexsort((ids[at], -score[at]))[:n]]
+                out.append((own, 0, len(held), ids[best].tolist()))
+    return pd.DataFrame(out, columns=["query", "level", "n", "ids"])
+
+
+def _meet(keep: int, by_level: bool):
     def run(members: pd.DataFrame) -> pd.DataFrame:
         """Each query's best entries and their number, by common prefix, within one leaf."""
+        if not by_level:
+            return _best(members, keep)
         asked = members[members["role"] == 1]
         held = members[members["role"] == 0].sort_values("h", kind="stable")
         out = []
@@ -107,7 +193,7 @@ def _meet(keep: int):
 
 
 def nearest(rows: DataFrame, is_query: Column, k: int = 5, leaf: int = LEAF,
-            candidates: int = CANDIDATES, id_col: str = "vec_id",
+            candidates: int | None = None, id_col: str = "vec_id",
             vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every query, itself excluded."""
     clean = rows.where(usable(vector_col) & F.col(id_col).isNotNull()).select(
@@ -123,10 +209,17 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, leaf: int = LEAF,
 
     tree = materialize(_forest(groups), "forest").withColumn("weight", F.lit(1).cast("long"))
     placed = directory(tree, leaf, ["tree", "size"], BITS)
+    if candidates is None:
+        depths = held_depths(groups, k)
+        most = F.lit(depths.pop(0))
+        for size, depth in depths.items():
+            most = F.when(F.col("size") == size, depth).otherwise(most)
+        placed = placed.withColumn("depth", F.least("depth", most))
     placed = placed.withColumn("leaf", F.expr(f"shiftright(h, {BITS} - least(depth, {BITS}))"))
-    # Strings that no prefix separates: as many blocks as their entries need.
-    over = (placed.where(F.col("depth") > BITS).groupBy("tree", "size", "depth", "leaf")
-            .agg(F.ceil(F.count("*") / leaf).cast("int").alias("blocks")))
+    # Leaves at the depth that recall needs, and strings that no prefix separates: as many blocks
+    # as their entries need.
+    over = (placed.groupBy("tree", "size", "depth", "leaf")
+            .agg(F.ceil(F.count("*") / leaf).cast("int").alias("blocks")).where("blocks > 1"))
     placed = placed.join(over, ["tree", "size", "depth", "leaf"], "left").withColumn(
         "blocks", F.coalesce("blocks", F.lit(1)))
     full = materialize(placed.join(groups, "id").select(
@@ -138,17 +231,18 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, leaf: int = LEAF,
     columns = ["tree", "size", "depth", "leaf", "block", "role", "id", "h", "vector"]
     met = members.select(*columns).unionByName(queries.select(*columns)).groupBy(
         "tree", "size", "depth", "leaf", "block").applyInPandas(
-        _meet(k + 1), "query long, level int, n long, ids array<long>")
+        _meet(k + 1, candidates is not None), "query long, level int, n long, ids array<long>")
     met = materialize(met, "met")
 
-    # All trees ascend together: levels from the longest prefix until enough have been met.
-    deeper = Window.partitionBy("query").orderBy(F.desc("level")).rowsBetween(
-        Window.unboundedPreceding, -1)
-    levels = met.groupBy("query", "level").agg(F.sum("n").alias("n")).withColumn(
-        "before", F.coalesce(F.sum("n").over(deeper), F.lit(0))).where(
-        F.col("before") < candidates).select("query", "level")
-    found = (met.join(levels, ["query", "level"])
-             .select("query", F.explode("ids").alias("id")).distinct())
+    if candidates is not None:
+        # All trees ascend together: levels from the longest prefix until enough have been met.
+        deeper = Window.partitionBy("query").orderBy(F.desc("level")).rowsBetween(
+            Window.unboundedPreceding, -1)
+        levels = met.groupBy("query", "level").agg(F.sum("n").alias("n")).withColumn(
+            "before", F.coalesce(F.sum("n").over(deeper), F.lit(0))).where(
+            F.col("before") < candidates).select("query", "level")
+        met = met.join(levels, ["query", "level"])
+    found = met.select("query", F.explode("ids").alias("id")).distinct()
     vectors = groups.select("id", F.col("vector").alias("v"))
     asked = clean.where("asked").select("vid", "vector").distinct().join(
         groups.select("id", "vector"), "vector").select(
