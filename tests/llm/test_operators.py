@@ -252,6 +252,25 @@ def test_rows_of_one_key_overflow_into_pages(spark):
     assert exthash.shards(docs.limit(0), 100).count() == 0
 
 
+@pytest.mark.parametrize("limit", [100, 10**9])
+def test_written_shards_hold_every_row_once(spark, tmp_path, limit):
+    rows = [(1, "x" * (i % 9 * 10), "en", f"s{i}", i) for i in range(40)]
+    rows += [(None, "no id %d" % i, "en", "s", i) for i in range(30)]
+    rows += [(i, None if i % 7 == 0 else "y" * (i % 40), "en", "s", i) for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, DOCS)
+    path = str(tmp_path / "shards")
+    exthash.write_shards(docs, path, limit)
+    got = exthash.read_shards(spark, path, docs.schema).collect()
+    assert Counter(tuple(r)[:-1] for r in got) == Counter(rows)
+    sums = Counter()
+    for r in got:
+        sums[r["shard"]] += len(r["text"] or "")
+    assert max(sums.values()) <= limit and (len(sums) == 1) == (limit == 10**9)
+    named = exthash.write_and_read(docs, limit).collect()
+    assert Counter((r["doc_id"], r["bytes"]) for r in named) == Counter(
+        (r[0], len(r[1] or "")) for r in rows)
+
+
 # -- Kneser-Ney ---------------------------------------------------------------------------------
 
 def brute_kneser_ney(trusted):

@@ -16,11 +16,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tracecairn.llm.pfair import HASH_BITS, hash60
-from tracecairn.operators.storage import materialize
+from tracecairn.operators.storage import materialize, scratch_path
 
 #: A first cell holds about 1 / 2**SPARE of a shard; later rounds refine by STEP bits.
 SPARE, STEP = 4, 10
@@ -67,11 +68,16 @@ def directory(rows: DataFrame, limit: float, group: list[str], total_bits: int =
 
 
 def shards(docs: DataFrame, limit: int, seed: int = 11, id_col: str = "doc_id",
-           text_col: str = "text") -> DataFrame:
-    """(id, shard, depth, bytes): the shard is the hash prefix as bits, with -page for overflow."""
+           text_col: str = "text", whole: bool = False) -> DataFrame:
+    """(id, shard, depth, bytes): the shard is the hash prefix as bits, with -page for overflow.
+
+    ``whole`` adds _row, a struct of all columns of the same row of ``docs``.
+    """
+    carried = ["_row"] if whole else []
     rows = materialize(docs.select(
         F.col(id_col), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes"),
-        hash60(F.col(id_col), seed).alias("h")), "keys")
+        hash60(F.col(id_col), seed).alias("h"),
+        *(F.struct(*docs.columns).alias(x) for x in carried)), "keys")
     found = directory(rows, limit, [], weight_col="bytes")
     prefix = F.expr(f"substr(lpad(bin(h), {HASH_BITS}, '0'), 1, least(depth, {HASH_BITS}))")
     found = found.withColumn("shard", prefix)
@@ -92,13 +98,34 @@ def shards(docs: DataFrame, limit: int, seed: int = 11, id_col: str = "doc_id",
              .withColumn("shard", F.concat("shard", F.when(F.col("_big") == 1, "-x").otherwise("-"),
                                            F.expr(f"(_before + _in) div {limit}").cast("string"))))
     return fits.unionByName(paged.select(fits.columns)).select(
-        id_col, "shard", F.least("depth", F.lit(HASH_BITS)).alias("depth"), "bytes")
-
-
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write ``docs`` to one folder a shard; ids are taken as unique here."""
-    (docs.join(placed.select(id_col, "shard"), id_col)
-     .repartition("shard").write.partitionBy("shard").parquet(path))
+        id_col, "shard", F.least("depth", F.lit(HASH_BITS)).alias("depth"), "bytes", *carried)
+
+
+def write_shards(docs: DataFrame, path: str, limit: int, seed: int = 11, id_col: str = "doc_id",
+                 text_col: str = "text") -> None:
+    """Write every row of ``docs``, null and repeated ids included, to one folder a shard."""
+    if "shard" in docs.columns:
+        raise ValueError("shard names the folders; rename that column")
+    (shards(docs, limit, seed, id_col, text_col, whole=True).select("_row.*", "shard")
+     .repartition("shard").write.partitionBy("shard").option("compression", "zstd").parquet(path))
+
+
+def read_shards(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows of written shards, with shard; ``schema`` is that of the documents."""
+    # Given as a string: bits would be read as a number. A table of one shard has the empty prefix.
+    rows = spark.read.schema(StructType([*schema, StructField("shard", StringType())])).parquet(path)
+    return rows.withColumn("shard", F.coalesce("shard", F.lit("")))
+
+
+def write_and_read(docs: DataFrame, limit: int, seed: int = 11, id_col: str = "doc_id",
+                   text_col: str = "text") -> DataFrame:
+    """(id, shard, depth, bytes) of shards written below the shared folder, from the rows read back."""
+    spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "id-shards")
+    write_shards(docs, path, limit, seed, id_col, text_col)
+    prefix = F.substring_index("shard", "-", 1)
+    return read_shards(spark, path, docs.schema).select(
+        id_col, "shard", F.length(prefix).alias("depth"),
+        F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes"))
 
 
 def sql(limit: int, seed: int) -> str:

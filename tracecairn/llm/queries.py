@@ -58,7 +58,7 @@ def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exthash.shards(table(spark, sf_dir, "documents"), SHARD_BYTES, SHARD_SEED)
+    return exthash.write_and_read(table(spark, sf_dir, "documents"), SHARD_BYTES, SHARD_SEED)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
