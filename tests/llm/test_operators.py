@@ -109,6 +109,20 @@ def test_token_shards_give_back_what_the_library_encodes(spark, tmp_path):
     assert tokenbin.read_digests(empty).count() == 0
 
 
+def test_added_tokens_are_encoded_as_the_library_does_by_itself(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = [*ODD, "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>\u4e2d", "<|endoftext"]
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"])
+           for r in tokenbin.encode_and_read(docs_of(spark, texts), path, 2).collect()}
+    assert 50256 in tokenizer.encode(texts[-4], add_special_tokens=False).ids
+    for i, text in enumerate(texts):
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+        assert got[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), text
+
+
 # -- language identification --------------------------------------------------------------------
 
 def test_language_model_tells_languages_and_mixtures(spark):

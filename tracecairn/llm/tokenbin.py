@@ -154,11 +154,22 @@ class Shard:
 
 
 @cache
-def _encoder(path: str) -> tuple[PieceCache, object]:
+def _encoder(path: str, plain_special: bool) -> tuple[PieceCache, object, list[str]]:
+    """Piece cache, tokenizer, and what added tokens it finds inside texts.
+
+    The cache's tokenizer reads special tokens as text: pieces hold none. The other one keeps
+    the library's settings unless ``plain_special`` says that special tokens are text there too.
+    """
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
+    tokenizer, whole = Tokenizer.from_file(path), Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
+    if plain_special:
+        whole.encode_special_tokens = True
+    added = [x for x in whole.get_added_tokens_decoder().values()
+             if not (plain_special and x.special)]
+    # A token found in normalised text may look otherwise in the text: then every text is whole.
+    contents = ["" if x.normalized and whole.normalizer is not None else x.content for x in added]
     names = map(tokenizer.id_to_token, range(tokenizer.get_vocab_size()))
     opens = np.array([(x or "").startswith(SPACE_MARK) for x in names])
 
@@ -188,18 +199,23 @@ def _encoder(path: str) -> tuple[PieceCache, object]:
             out[np.repeat(begins[own], sizes[own]) + runs_within(sizes[own])] = values
         return out, sizes
 
-    return PieceCache(encode), tokenizer
+    return PieceCache(encode), whole, contents
 
 
-def encode_texts(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(path: str, texts: list[str],
+                 plain_special: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts and how many each has, as the tokenizers library gives them.
 
+    ``plain_special`` encodes the contents of special tokens as text; without it they become
+    their ids, which is the library's own setting.
+
     The library is asked once for each new piece; a byte-level vocabulary never merges across
-    pieces. Texts with code points whose class depends on the library's Unicode version go
-    to it whole.
+    pieces. Texts with code points whose class depends on the library's Unicode version, and
+    texts that hold an added token, go to it whole.
     """
-    known, tokenizer = _encoder(path)
-    plain = [i for i, x in enumerate(texts) if x.isascii() or max(x) < chr(SETTLED_POINTS)]
+    known, tokenizer, added = _encoder(path, plain_special)
+    plain = [i for i, x in enumerate(texts) if (x.isascii() or max(x) < chr(SETTLED_POINTS))
+             and not any(token in x for token in added)]
     pieces, which, counts = pieces_of([texts[i] for i in plain])
     ids, sizes = known.expand(known.places(pieces)[which])
     edges = np.concatenate(([0], np.cumsum(counts)))
@@ -217,11 +233,12 @@ def encode_texts(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int | None = None,
                  shards: int | None = None, width: int = 2, key: str = "doc_id",
-                 text: str = "text") -> DataFrame:
+                 text: str = "text", plain_special: bool = True) -> DataFrame:
     """Encode ``docs`` into shard files under ``folder``; the manifest, one row a shard.
 
     ``width`` is the bytes of an id (2 or 4); an id that does not fit is an error. ``shards``
     defaults to the session's shuffle partitions and should grow with the input.
+    ``plain_special`` is that of encode_texts.
     """
     spark = docs.sparkSession
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -237,7 +254,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
                 store.create_dir(at.rpartition("/")[0], recursive=True)
                 sink = store.open_output_stream(at)
                 shard = part.column(2)[0].as_py()
-            ids, sizes = encode_texts(tokenizer_path, texts_of(part, "text"))
+            ids, sizes = encode_texts(tokenizer_path, texts_of(part, "text"), plain_special)
             if end_id is not None:
                 ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
             if len(ids) and int(ids.max()) >> (8 * width):
@@ -302,6 +319,10 @@ def read_digests(manifest: DataFrame) -> DataFrame:
 
 
 def encode_and_read(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """Write shards below the shared folder and return the digests read back from them."""
+    """Write shards below the shared folder and return the digests read back from them.
+
+    Special tokens are read as the library does by itself.
+    """
     folder = scratch_path(docs.sparkSession, "shards")
-    return read_digests(write_shards(docs, tokenizer_path, folder, end_id))
+    return read_digests(write_shards(docs, tokenizer_path, folder, end_id,
+                                     plain_special=False))
