@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracecairn.llm import (
+    acsearch,
     bpe,
     exthash,
     knlm,
@@ -16,6 +17,7 @@ from tracecairn.llm import (
     pfair,
     quality,
     simhash,
+    tokalign,
     tokenbin,
     toxicity,
 )
@@ -90,11 +92,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, carry=["doc_id"]).select(*QUALITY_COLUMNS)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokalign.cross_align(table(spark, sf_dir, "documents"),
+                                tokenizer_file("byte_bpe_50k.json"),
+                                tokenizer_file("piece_bpe_32k.model"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return acsearch.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_language_id, op2_simhash, op3_token_shards, op4_pfair_mix, op5_extendible_shards,
         op6_byte_bpe, op7_kneser_ney, op8_toxicity,
-        op9_lsh_forest, op10_quality_rules)}
+        op9_lsh_forest, op10_quality_rules, op11_token_alignment, op13_lexical_search)}
 
 
 def all_sql() -> dict[str, str]:
@@ -102,4 +114,5 @@ def all_sql() -> dict[str, str]:
         "op4_pfair_mix": pfair.sql(MIX, MIX_BLOCK, MIX_SEED),
         "op5_extendible_shards": exthash.sql(SHARD_BYTES, SHARD_SEED),
         "op10_quality_rules": quality.sql(),
+        "op13_lexical_search": acsearch.sql(),
     }
