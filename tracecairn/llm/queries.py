@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tracecairn.llm import (
     acsearch,
     bpe,
+    chosenpath,
     exthash,
     knlm,
     langid,
@@ -98,6 +99,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 tokenizer_file("piece_bpe_32k.model"))
 
 
+def op12_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosenpath.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return acsearch.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -106,7 +111,8 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_language_id, op2_simhash, op3_token_shards, op4_pfair_mix, op5_extendible_shards,
         op6_byte_bpe, op7_kneser_ney, op8_toxicity,
-        op9_lsh_forest, op10_quality_rules, op11_token_alignment, op13_lexical_search)}
+        op9_lsh_forest, op10_quality_rules, op11_token_alignment, op12_chosen_path,
+        op13_lexical_search)}
 
 
 def all_sql() -> dict[str, str]:
