@@ -114,7 +114,7 @@ def test_long_texts_and_empty_tables(spark):
     empty = chosenpath.near_duplicates(spark.createDataFrame([], DOCS))
     assert empty.count() == 0
     blank = chosenpath.near_duplicates(docs_of(spark, [None, "", " "]).withColumn(
-        "shingles", F.lit("clash")))
+        "shingles", F.lit("clash")).withColumn("body", F.lit(1)))
     assert rows_of(blank) == [(0, 0, 0, True), (1, 0, 1, True), (2, 0, 2, True)]
 
 

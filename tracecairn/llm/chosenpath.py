@@ -14,7 +14,7 @@ Nodes are compared in cells, block against block, so a task never gets more than
 node. A comparison asks for lengths that can reach the threshold and for sketches of 2 x 64 bits (one
 bit of each minwise token) that differ in at most ``SKETCH`` bits, 4.8 standard deviations above what a
 link at the threshold differs in. A pair that several trees meet belongs to its smallest path. What
-passes is confirmed on the full sets, which are sent once to each cell that asks for them; a cell
+passes is confirmed on the full sets, whose words are sent once to each cell that asks for them; a cell
 returns a spanning forest of its links, as only components are asked for. Pairs of documents already in
 one component are not compared again.
 
@@ -38,6 +38,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,9 +89,13 @@ def _by_place(width: int) -> np.ndarray:
     return np.random.default_rng(14).integers(0, 1 << 63, width, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_set(text: str, known: WordHashes, words: int = SHINGLE_WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of a text."""
-    hashes = known.of(text.encode().lower().split())
+def words_of(text: str) -> list[bytes]:
+    return text.encode().lower().split()
+
+
+def shingle_set(parts: list[bytes], known: WordHashes, words: int = SHINGLE_WORDS) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of a sequence of words."""
+    hashes = known.of(parts)
     if not len(hashes):
         return hashes
     width = min(words, len(hashes))
@@ -117,15 +122,17 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  words: int = SHINGLE_WORDS) -> DataFrame:
-    """One row a document: id, n, key of the set (k1, k2), sketch (s1, s2), minwise tokens, shingles."""
+    """One row a document: id, n, key of the set (k1, k2), sketch (s1, s2), minwise tokens, and the
+    words, packed."""
     kind = docs.schema[id_col].dataType.simpleString()
     fields = (f"id {kind}, n long, k1 long, k2 long, s1 long, s2 long, tokens array<int>, "
-              "shingles array<long>")
+              "body binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known, packer = WordHashes(), zstandard.ZstdCompressor(level=3)
         for part in chunks(batches, "text"):
-            sets = [shingle_set(x, known, words) for x in texts_of(part, "text")]
+            parts = [words_of(x) for x in texts_of(part, "text")]
+            sets = [shingle_set(x, known, words) for x in parts]
             sizes = np.array([len(x) for x in sets], np.int64)
             full = np.flatnonzero(sizes)
             longs = np.zeros((4, len(sets)), np.int64)
@@ -137,13 +144,12 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 longs[2:, full] = sketches.T
                 longs[0, full] = np.add.reduceat(joined, heads).view(np.int64)
                 longs[1, full] = np.add.reduceat(_mix(joined + np.uint64(1)), heads).view(np.int64)
-            edges = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
             wide = np.arange(len(sets) + 1, dtype=np.int32) * COORDINATES
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(sizes), *map(pa.array, longs),
                  pa.ListArray.from_arrays(wide, pa.array(tokens.ravel())),
-                 pa.ListArray.from_arrays(edges, pa.array(joined.view(np.int64)))],
-                ["id", "n", "k1", "k2", "s1", "s2", "tokens", "shingles"])
+                 pa.array([packer.compress(b" ".join(x)) for x in parts], pa.binary())],
+                ["id", "n", "k1", "k2", "s1", "s2", "tokens", "body"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
         run, fields).withColumn("row", F.monotonically_increasing_id())
@@ -197,16 +203,14 @@ def _against(few: DataFrame, all_rows: DataFrame, percent: int) -> DataFrame:
         cell, F.col("a.node").alias("a"), F.col("b.node").alias("b"))
 
 
-def _forest(nodes: np.ndarray, sets: pa.ListArray, a: np.ndarray, b: np.ndarray,
+def _forest(nodes: np.ndarray, sets: list[np.ndarray], a: np.ndarray, b: np.ndarray,
             percent: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the pairs (a, b) whose sets reach the threshold."""
     order = np.argsort(nodes)
     a, b = (order[np.searchsorted(nodes, x, sorter=order)] for x in (a, b))
-    edges = np.asarray(sets.offsets)
-    sizes = np.diff(edges)
-    flat = sets.values.to_numpy()[edges[0]:edges[-1]]
+    sizes = np.array([len(x) for x in sets], np.int64)
     # Shingles of one set alone are in no intersection.
-    _, column, many = np.unique(flat, return_inverse=True, return_counts=True)
+    _, column, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     place = np.cumsum(many > 1) - 1
     owner = np.repeat(np.arange(len(nodes)), sizes)[many[column] > 1]
     column = place[column[many[column] > 1]]
@@ -238,23 +242,28 @@ def _forest(nodes: np.ndarray, sets: pa.ListArray, a: np.ndarray, b: np.ndarray,
     return nodes[found[:, 0]], nodes[found[:, 1]]
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+def confirmed(pairs: DataFrame, bodies: DataFrame, percent: int = PERCENT,
+              words: int = SHINGLE_WORDS) -> DataFrame:
     """(a, b): links among the pairs (cell, a, b) that connect what all of them connect.
 
-    ``sets`` has node and shingles; each is sent once to a cell. A cell has a few hundred sets.
+    ``bodies`` has node and body; each is sent once to a cell. A cell has a few hundred of them.
     """
     asked = pairs.select("cell", F.explode(F.array("a", "b")).alias("node")).distinct()
-    members = asked.join(sets, "node").groupBy("cell").agg(
-        F.collect_list(F.struct("node", "shingles")).alias("m")).select(
-        "cell", F.col("m.node").alias("nodes"), F.col("m.shingles").alias("sets"))
+    members = asked.join(bodies, "node").groupBy("cell").agg(
+        F.collect_list(F.struct("node", "body")).alias("m")).select(
+        "cell", F.col("m.node").alias("nodes"), F.col("m.body").alias("bodies"))
     lists = pairs.groupBy("cell").agg(F.collect_list(F.struct("a", "b")).alias("p")).select(
         "cell", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, unpacker = WordHashes(), zstandard.ZstdDecompressor()
         for batch in batches:
             for i in range(batch.num_rows):
-                nodes, own, a, b = (batch.column(x)[i].values for x in ("nodes", "sets", "a", "b"))
-                found = _forest(nodes.to_numpy(), own, a.to_numpy(), b.to_numpy(), percent)
+                nodes, packed, a, b = (
+                    batch.column(x)[i].values for x in ("nodes", "bodies", "a", "b"))
+                sets = [shingle_set(unpacker.decompress(x.as_buffer()).split(), known, words)
+                        for x in packed]
+                found = _forest(nodes.to_numpy(), sets, a.to_numpy(), b.to_numpy(), percent)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
 
     return members.join(lists, "cell").mapInArrow(run, "a long, b long")
@@ -263,8 +272,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
 class Components:
     """Links found so far, and each linked node's component."""
 
-    def __init__(self, sets: DataFrame, percent: int):
-        self.sets, self.percent = sets, percent
+    def __init__(self, bodies: DataFrame, percent: int, words: int):
+        self.bodies, self.percent, self.words = bodies, percent, words
         self.links: DataFrame | None = None
         self.roots: DataFrame | None = None
 
@@ -278,7 +287,7 @@ class Components:
     def add(self, candidates: DataFrame) -> None:
         """Join the components of all candidate pairs that are links."""
         pairs = materialize(candidates, "pairs")
-        found = materialize(confirmed(pairs, self.sets, self.percent), "links")
+        found = materialize(confirmed(pairs, self.bodies, self.percent, self.words), "links")
         if not found.isEmpty():
             self.links = found if self.links is None else self.links.unionByName(found)
             self.roots = components(self.links)
@@ -337,15 +346,23 @@ def _outside(large: DataFrame) -> DataFrame:
         "path", F.col("_main.root").alias("main"), (F.col("_all") - F.col("_main._n")).alias("others"))
 
 
-def join_sets(nodes: DataFrame, sets: DataFrame, percent: int = PERCENT,
-              leaf: int = LEAF, levels: int = LEVELS) -> DataFrame | None:
-    """(node, root) of all nodes with links; None without any. ``nodes``: node, n, s1, s2, tokens."""
-    found = Components(sets, percent)
+def join_sets(nodes: DataFrame, bodies: DataFrame, percent: int = PERCENT,
+              words: int = SHINGLE_WORDS, leaf: int = LEAF,
+              levels: int = LEVELS) -> DataFrame | None:
+    """(node, root) of all nodes with links; None without any.
+
+    ``nodes`` has node, n, s1, s2, tokens; ``bodies`` node and body.
+    """
+    found = Components(bodies, percent, words)
     tokens = nodes.select("node", "tokens")
-    rows = materialize(_roots_of_trees(nodes), "paths")
+    rows = _roots_of_trees(nodes)
     for level in range(1, levels + 1):
         sizes = rows.groupBy("path").agg(F.count("*").alias("_size")).where("_size > 1")
         shared = materialize(found.name(rows.join(sizes, "path")), "shared")
+        if level == 1:
+            # Who meets nobody here never will.
+            active = shared.select("node").distinct()
+            found.bodies = materialize(bodies.join(active, "node", "left_semi"), "bodies")
         large = shared.where(F.col("_size") > leaf)
         candidates = _by_cells(shared.where(F.col("_size") <= leaf), percent)
         if large.isEmpty():
@@ -376,8 +393,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = materialize(own, "distinct-sets")
     facts = rows.select(F.col("row").alias("node"), "n", "s1", "s2", "tokens").join(
         own.select("node"), "node", "left_semi")
-    sets = rows.select(F.col("row").alias("node"), "shingles")
-    roots = join_sets(materialize(facts, "nodes"), sets, percent, leaf, levels)
+    bodies = rows.select(F.col("row").alias("node"), "body")
+    roots = join_sets(materialize(facts, "nodes"), bodies, percent, words, leaf, levels)
     if roots is None:
         named = own.withColumn("component_id", F.col("first"))
     else:
