@@ -14,8 +14,8 @@ Nodes are compared in cells, block against block, so a task never gets more than
 node. A comparison asks for lengths that can reach the threshold and for sketches of 2 x 64 bits (one
 bit of each minwise token) that differ in at most ``SKETCH`` bits, 4.8 standard deviations above what a
 link at the threshold differs in. A pair that several trees meet belongs to its smallest path. What
-passes is confirmed on the full sets, whose words are sent once to each cell that asks for them; a cell
-returns a spanning forest of its links, as only components are asked for. Pairs of documents already in
+passes is packed into one row a cell and confirmed on the full sets, whose words are sent once to each
+cell that asks for them; a cell returns a spanning forest of its links, as only components are asked for. Pairs of documents already in
 one component are not compared again.
 
 Nodes that stay large hold groups of near copies. Their most central documents are compared with all
@@ -158,56 +158,100 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 # --- comparing -------------------------------------------------------------------------------
 
 
-def _may_link(percent: int) -> Column:
-    """Whether rows ``a`` and ``b`` of two components may be a link."""
-    n, m = F.col("a.n"), F.col("b.n")
-    differing = (F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1")))
-                 + F.bit_count(F.col("a.s2").bitwiseXOR(F.col("b.s2"))))
-    return ((F.col("a.root") != F.col("b.root")) & (differing <= SKETCH)
-            & (100 * F.least(n, m) >= percent * F.greatest(n, m)))
-
-
 def _block(count: Column) -> Column:
     return F.pmod(F.xxhash64("node"), F.greatest(F.ceil(count / BLOCK), F.lit(1)))
 
 
-def _by_cells(rows: DataFrame, percent: int) -> DataFrame:
-    """(cell, a, b): pairs of one path that may link. ``rows``: path, _size and a node's columns.
+def _cell_rows(rows: DataFrame, cell: Column, side: Column, earlier: Column | None = None) -> DataFrame:
+    """Rows of a cell: two of them are compared if their sides cover both bits."""
+    earlier = F.array().cast("array<long>") if earlier is None else earlier
+    return rows.select(cell.alias("cell"), "node", "n", "s1", "s2", "root",
+                       side.cast("int").alias("side"), earlier.alias("earlier"))
+
+
+def _by_cells(rows: DataFrame) -> DataFrame:
+    """Cells that compare all pairs of each path. ``rows``: path, _size and a node's columns.
 
     Every row goes to the cells of its own block with each block of the path.
     """
     own = rows.groupBy("node").agg(F.collect_set("path").alias("_paths"))
     rows = rows.withColumn("_block", _block(F.col("_size"))).join(own, "node")
     others = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_size") / BLOCK) - 1)
-    rows = rows.select(
-        "node", "n", "s1", "s2", "root", "_block", F.explode(others).alias("_other"), "path",
-        F.filter("_paths", lambda x: x < F.col("path")).alias("_earlier"))
-    rows = rows.select(
-        "node", "n", "s1", "s2", "root", "_earlier", "_block",
-        (F.col("_block") == F.col("_other")).alias("_own"),
-        F.xxhash64("path", F.least("_block", "_other"), F.greatest("_block", "_other")).alias("cell"))
-    same = F.col("a._block") == F.col("b._block")
-    return rows.alias("a").join(rows.alias("b"), (
-        (F.col("a.cell") == F.col("b.cell")) & (F.col("a.node") < F.col("b.node"))
-        & (same == F.col("a._own")) & (same == F.col("b._own")) & _may_link(percent)
-        & ~F.arrays_overlap("a._earlier", "b._earlier"))).select(
-        F.col("a.cell").alias("cell"), F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-
-
-def _against(few: DataFrame, all_rows: DataFrame, percent: int) -> DataFrame:
-    """(cell, a, b): pairs of one path that may link, one of them of ``few``."""
-    cell = F.xxhash64("a.path", "a._block").alias("cell")
+    rows = rows.withColumn("_other", F.explode(others))
+    cell = F.xxhash64("path", F.least("_block", "_other"), F.greatest("_block", "_other"))
+    side = F.when(F.col("_block") == F.col("_other"), 3).when(
+        F.col("_block") < F.col("_other"), 1).otherwise(2)
+    return _cell_rows(rows, cell, side, F.filter("_paths", lambda x: x < F.col("path")))
+
+
+def _against(few: DataFrame, all_rows: DataFrame) -> DataFrame:
+    """Cells that compare ``few`` rows of each path with all of its rows, a block at a time."""
+    last = F.greatest(F.ceil(F.col("_size") / BLOCK), F.lit(1)) - 1
+    few = few.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     rows = all_rows.withColumn("_block", _block(F.col("_size")))
-    return rows.alias("a").join(few.alias("b"), (
-        (F.col("a.path") == F.col("b.path")) & _may_link(percent))).select(
-        cell, F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    cell = F.xxhash64("path", "_block", F.lit("few"))
+    return _cell_rows(rows, cell, F.lit(0)).unionByName(_cell_rows(few, cell, F.lit(3)))
+
+
+def _passing(nodes: np.ndarray, n: np.ndarray, sketches: np.ndarray, root: np.ndarray,
+             side: np.ndarray, earlier: list[set], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a cell's rows that may be a link and belong to this path."""
+    a, b = np.triu_indices(len(nodes), 1)
+    good = ((side[a] | side[b]) == 3) & (root[a] != root[b]) & (
+        100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+    a, b = a[good], b[good]
+    near = np.bitwise_count(sketches[a] ^ sketches[b]).sum(axis=1) <= SKETCH
+    a, b = a[near], b[near]
+    own = [earlier[i].isdisjoint(earlier[j]) for i, j in zip(a.tolist(), b.tolist())]
+    own = np.array(own, bool)
+    return a[own], b[own]
+
+
+def _pack(values: np.ndarray) -> bytes:
+    return zstandard.compress(values.astype(np.int32).tobytes(), 1)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(packed), np.int32)
+
+
+def candidates(cells: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row a cell with pairs to confirm: its nodes and, packed, the pairs' places among them."""
+    fields = ("node", "n", "s1", "s2", "root", "side", "earlier")
+    grouped = cells.groupBy("cell").agg(F.collect_list(F.struct(*fields)).alias("m")).where(
+        F.size("m") > 1).select("cell", *[F.col(f"m.{x}").alias(x) for x in fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for i in range(batch.num_rows):
+                nodes, n, s1, s2, root, side = (
+                    batch.column(x)[i].values.to_numpy() for x in fields[:-1])
+                # A row that stands on both sides of a comparison with few is one node.
+                once = np.unique(nodes, return_index=True)[1]
+                if len(once) < len(nodes):
+                    once = np.lexsort((-side, nodes))
+                    once = once[np.concatenate(([True], np.diff(nodes[once]) != 0))]
+                sketches = np.stack((s1, s2), axis=1).view(np.uint64)[once]
+                earlier = [set(x) for x in batch.column("earlier")[i].as_py()]
+                nodes = nodes[once]
+                a, b = _passing(nodes, n[once], sketches, root[once], side[once],
+                                [earlier[k] for k in once.tolist()], percent)
+                if len(a):
+                    used, places = np.unique(np.concatenate((a, b)), return_inverse=True)
+                    found.append((batch.column("cell")[i].as_py(), nodes[used], _pack(places)))
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x[0] for x in found], pa.int64()),
+                     pa.array([x[1] for x in found], pa.list_(pa.int64())),
+                     pa.array([x[2] for x in found], pa.binary())], ["cell", "asked", "pairs"])
+
+    return grouped.mapInArrow(run, "cell long, asked array<long>, pairs binary")
 
 
 def _forest(nodes: np.ndarray, sets: list[np.ndarray], a: np.ndarray, b: np.ndarray,
             percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs (a, b) whose sets reach the threshold."""
-    order = np.argsort(nodes)
-    a, b = (order[np.searchsorted(nodes, x, sorter=order)] for x in (a, b))
+    """A spanning forest of the pairs of places (a, b) whose sets reach the threshold."""
     sizes = np.array([len(x) for x in sets], np.int64)
     # Shingles of one set alone are in no intersection.
     _, column, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -242,31 +286,32 @@ def _forest(nodes: np.ndarray, sets: list[np.ndarray], a: np.ndarray, b: np.ndar
     return nodes[found[:, 0]], nodes[found[:, 1]]
 
 
-def confirmed(pairs: DataFrame, bodies: DataFrame, percent: int = PERCENT,
+def confirmed(cells: DataFrame, bodies: DataFrame, percent: int = PERCENT,
               words: int = SHINGLE_WORDS) -> DataFrame:
-    """(a, b): links among the pairs (cell, a, b) that connect what all of them connect.
+    """(a, b): links that connect what all links among the cells' pairs connect.
 
     ``bodies`` has node and body; each is sent once to a cell. A cell has a few hundred of them.
     """
-    asked = pairs.select("cell", F.explode(F.array("a", "b")).alias("node")).distinct()
-    members = asked.join(bodies, "node").groupBy("cell").agg(
-        F.collect_list(F.struct("node", "body")).alias("m")).select(
+    members = cells.select("cell", F.explode("asked").alias("node")).join(bodies, "node").groupBy(
+        "cell").agg(F.collect_list(F.struct("node", "body")).alias("m")).select(
         "cell", F.col("m.node").alias("nodes"), F.col("m.body").alias("bodies"))
-    lists = pairs.groupBy("cell").agg(F.collect_list(F.struct("a", "b")).alias("p")).select(
-        "cell", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, unpacker = WordHashes(), zstandard.ZstdDecompressor()
         for batch in batches:
             for i in range(batch.num_rows):
-                nodes, packed, a, b = (
-                    batch.column(x)[i].values for x in ("nodes", "bodies", "a", "b"))
+                asked, nodes, packed = (
+                    batch.column(x)[i].values for x in ("asked", "nodes", "bodies"))
                 sets = [shingle_set(unpacker.decompress(x.as_buffer()).split(), known, words)
                         for x in packed]
-                found = _forest(nodes.to_numpy(), sets, a.to_numpy(), b.to_numpy(), percent)
+                asked, nodes = asked.to_numpy(), nodes.to_numpy()
+                order = np.argsort(nodes)
+                places = order[np.searchsorted(nodes, asked, sorter=order)]
+                a, b = places[_unpack(batch.column("pairs")[i].as_py())].reshape(2, -1)
+                found = _forest(nodes, sets, a, b, percent)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
 
-    return members.join(lists, "cell").mapInArrow(run, "a long, b long")
+    return members.join(cells, "cell").mapInArrow(run, "a long, b long")
 
 
 class Components:
@@ -284,9 +329,9 @@ class Components:
             return rows.withColumn("root", F.col("node"))
         return rows.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-    def add(self, candidates: DataFrame) -> None:
-        """Join the components of all candidate pairs that are links."""
-        pairs = materialize(candidates, "pairs")
+    def add(self, cells: DataFrame) -> None:
+        """Join the components of all pairs of the cells that are links."""
+        pairs = materialize(candidates(cells, self.percent), "pairs")
         found = materialize(confirmed(pairs, self.bodies, self.percent, self.words), "links")
         if not found.isEmpty():
             self.links = found if self.links is None else self.links.unionByName(found)
@@ -335,7 +380,7 @@ def _central(large: DataFrame) -> DataFrame:
     order = Window.partitionBy("path").orderBy("_away", F.xxhash64("path", "node"))
     return (large.join(middle, "path").withColumn("_away", away)
             .withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= PIVOTS)
-            .drop("_middle", "_away", "_rank", "_size"))
+            .drop("_middle", "_away", "_rank"))
 
 
 def _outside(large: DataFrame) -> DataFrame:
@@ -364,18 +409,18 @@ def join_sets(nodes: DataFrame, bodies: DataFrame, percent: int = PERCENT,
             active = shared.select("node").distinct()
             found.bodies = materialize(bodies.join(active, "node", "left_semi"), "bodies")
         large = shared.where(F.col("_size") > leaf)
-        candidates = _by_cells(shared.where(F.col("_size") <= leaf), percent)
+        cells = _by_cells(shared.where(F.col("_size") <= leaf))
         if large.isEmpty():
-            found.add(candidates)
+            found.add(cells)
             break
-        found.add(candidates.unionByName(_against(_central(large), large, percent)))
+        found.add(cells.unionByName(_against(_central(large), large)))
         large = materialize(found.name(large), "large")
         large = large.join(_outside(large).where("others > 0"), "path")
         few = large.where(F.col("others") <= leaf // 16)
-        found.add(_against(few.where("root <> main"), few, percent))
+        found.add(_against(few.where("root <> main"), few))
         rest = found.name(large.where(F.col("others") > leaf // 16).drop("main", "others"))
         if level == levels:
-            found.add(_by_cells(rest, percent))
+            found.add(_by_cells(rest))
             break
         rows = materialize(_children(rest, tokens), "paths")
         if rows.isEmpty():
