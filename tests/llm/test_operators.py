@@ -399,6 +399,28 @@ def brute_nearest(rows, k):
     return out
 
 
+def test_toxicity_training_stays_small_at_its_full_bound():
+    """Every word of the largest training text is another one."""
+    import subprocess
+    import sys
+
+    code = f"""
+import random, resource
+import numpy as np
+from tracecairn.llm import toxicity
+used = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024
+rng, n = random.Random(1), 6 * toxicity.MAX_DOCS // 3
+each = toxicity.MAX_SUM // n
+texts = [" ".join("%06x" % rng.getrandbits(24) for _ in range(each // 7)) for _ in range(n)]
+before = used()
+toxicity.EPOCHS = 3
+toxicity.fit(texts, np.arange(n) % 2)
+print(used() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert int(out.stdout) < 250
+
+
 def test_forest_finds_the_nearest(spark):
     rng = np.random.default_rng(9)
     rows = [(i, rng.standard_normal(16).astype("float32").tolist()) for i in range(600)]

@@ -8,8 +8,8 @@ which is the noisy-or of their probabilities, and gradients flow through that. A
 probability of its most toxic window; so one insult in a long text is not averaged away.
 
 Training takes at most ``max_docs`` labelled documents of each class, those whose id hashes lowest, of at
-most ``max_chars`` characters; the model has BUCKETS x SIZE numbers. Both are fixed bounds. Scoring
-reads whole texts. Null, empty and blank texts score as the bias alone. Rows with a null label or id do not
+most ``max_chars`` characters each and ``max_sum`` / 2 in all; the model has BUCKETS x SIZE numbers. Both are fixed bounds. Scoring
+reads whole texts, however long: a text is as toxic as its worst window. Null, empty and blank texts score as the bias alone. Rows with a null label or id do not
 train; a document labelled more than once counts as toxic if any label says so. Without documents of both
 classes every score is 0.
 """
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracecairn.llm.common import chunks, code_points, runs_within, texts_of
@@ -31,7 +31,9 @@ BUCKETS, SIZE = 1 << 16, 8
 SHORTEST, LONGEST = 3, 5
 WINDOW, STRIDE = 8, 4
 EPOCHS, RATE, DECAY, MIN_Z = 80, 0.05, 0.02, 4.0
-MAX_DOCS, MAX_CHARS = 3_000, 20_000
+MAX_DOCS, MAX_CHARS, MAX_SUM = 3_000, 20_000, 20_000_000
+#: Words of training text that are worked on at a time.
+TOKENS_AT_ONCE = 100_000
 CACHE_WORDS = 400_000
 PUNCTUATION = ".,;:!?\"'()[]{}*#$%&|<>-_/\\"
 
@@ -121,32 +123,59 @@ def _z_scores(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int)
     return (toxic / max(n_toxic, 1) - clean / max(n_clean, 1)) / spread
 
 
+@dataclass
+class Block:
+    """Some training documents: their words by number, and their windows."""
+
+    first_doc: int
+    words: list[str]
+    token: np.ndarray
+    counts: np.ndarray
+
+    @classmethod
+    def each(cls, texts: list[str]) -> Iterator[Block]:
+        """All documents, about TOKENS_AT_ONCE words in a block."""
+        known: dict[str, int] = {}
+        token, counts = array("i"), []
+        for i, text in enumerate(texts):
+            words = [normal(w) for w in text.lower().split()]
+            counts.append(len(words))
+            token.extend([known.setdefault(w, len(known)) for w in words])
+            if len(token) >= TOKENS_AT_ONCE or i == len(texts) - 1:
+                yield cls(i + 1 - len(counts), list(known), np.array(token, np.int32),
+                          np.array(counts, np.int64))
+                known, token, counts = {}, array("i"), []
+
+    def documents_with(self, labels: np.ndarray) -> np.ndarray:
+        """For each class, how many documents hold each word."""
+        holder = np.repeat(np.arange(len(self.counts)), self.counts)
+        pairs = np.unique(holder * np.int64(len(self.words) + 1) + self.token)
+        of, word = labels[self.first_doc + pairs // (len(self.words) + 1)], pairs % (len(self.words) + 1)
+        return np.stack([np.bincount(word[of == k], minlength=len(self.words)) for k in (0, 1)])
+
+
 def fit(texts: list[str], labels: np.ndarray) -> Model:
-    """Train on a bounded list of documents."""
-    vocabulary: dict[str, int] = {}
-    tokens = array("i")
-    counts = np.zeros(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        words = [normal(w) for w in text.lower().split()]
-        counts[i] = len(words)
-        tokens.extend([vocabulary.setdefault(w, len(vocabulary)) for w in words])
-    token = np.array(tokens, np.int32)
-    owner, gram = subwords(list(vocabulary))
-    owner, gram = owner.astype(np.int32), gram.astype(np.int32)
-    per_word = np.maximum(np.bincount(owner, minlength=len(vocabulary)), 1)
-    doc, first, end = windows(counts)
-    size = end - first
+    """Train on a bounded list of documents.
+
+    Words and n-grams are made for one block of documents at a time; what is kept of all blocks is a
+    few bytes a word and the n-grams that tell the classes apart.
+    """
     # Only n-grams whose share of documents differs between the classes get an embedding; the
     # others would learn the training texts by heart.
-    holder = np.repeat(np.arange(len(texts)), counts)
-    pairs = np.unique(holder * np.int64(len(vocabulary) + 1) + token)
-    of, word_of = labels[pairs // (len(vocabulary) + 1)], pairs % (len(vocabulary) + 1)
-    in_class = [np.bincount(word_of[of == k], minlength=len(vocabulary)) for k in (0, 1)]
-    telling = np.abs(_z_scores(*(np.bincount(gram, x[owner], BUCKETS) for x in in_class),
-                               *np.bincount(labels, minlength=2))) >= MIN_Z
-    kept = telling[gram]
-    owner, gram = owner[kept], gram[kept]
-    del holder, pairs, of, word_of, kept
+    shares = np.zeros((2, BUCKETS))
+    for block in Block.each(texts):
+        owner, gram = subwords(block.words)
+        shares += [np.bincount(gram, x[owner], BUCKETS) for x in block.documents_with(labels)]
+    telling = np.abs(_z_scores(*shares, *np.bincount(labels, minlength=2))) >= MIN_Z
+    blocks = []
+    for block in Block.each(texts):
+        owner, gram = subwords(block.words)
+        per_word = np.maximum(np.bincount(owner, minlength=len(block.words)), 1)
+        kept = telling[gram]
+        blocks.append((block.first_doc, block.token, per_word.astype(np.int32),
+                       owner[kept].astype(np.int32), gram[kept].astype(np.int32),
+                       *(x.astype(np.int32) for x in windows(block.counts))))
+        del owner, gram, kept
 
     rng = np.random.default_rng(1)
     table = rng.uniform(-1, 1, (BUCKETS, SIZE)) / SIZE
@@ -156,21 +185,26 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
     positive = labels.astype(bool)
     for epoch in range(1, EPOCHS + 1):
         side = soft[1] - soft[0]
-        word = np.bincount(owner, (table @ side)[gram], len(vocabulary)) / per_word
-        total = np.concatenate(([0], np.cumsum(word[token])))
-        logit = (total[end] - total[first]) / size + bias[1] - bias[0]
-        p = 1 / (1 + np.exp(-logit))
-        # log(1 - P) of a document is the sum of log(1 - p) of its windows.
-        clean = np.bincount(doc, -np.logaddexp(0, logit), len(texts))
-        any_toxic = np.maximum(-np.expm1(clean), 1e-6)
-        pull = np.where(positive, -np.exp(clean) / any_toxic, 1.0)[doc] * p / len(texts)
-        # Each window's pull spreads over its words, by differences at its ends.
-        steps = (np.bincount(first, pull / size, len(token) + 1)
-                 - np.bincount(end, pull / size, len(token) + 1))
-        by_word = np.bincount(token, np.cumsum(steps)[:-1], len(vocabulary)) / per_word
-        by_gram = np.bincount(gram, by_word[owner], BUCKETS)
+        evidence, by_gram, d_bias = table @ side, np.zeros(BUCKETS), 0.0
+        for a, token, per_word, owner, gram, doc, first, end in blocks:
+            many = int(doc[-1]) + 1 if len(doc) else 0
+            length = end - first
+            word = np.bincount(owner, evidence[gram], len(per_word)) / per_word
+            total = np.concatenate(([0], np.cumsum(word[token])))
+            logit = (total[end] - total[first]) / length + bias[1] - bias[0]
+            p = 1 / (1 + np.exp(-logit))
+            # log(1 - P) of a document is the sum of log(1 - p) of its windows.
+            clean = np.bincount(doc, -np.logaddexp(0, logit), many)
+            any_toxic = np.maximum(-np.expm1(clean), 1e-6)
+            weight = np.where(positive[a:a + many], -np.exp(clean) / any_toxic, 1.0)
+            pull = weight[doc] * p / len(texts)
+            # Each window's pull spreads over its words, by differences at its ends.
+            steps = (np.bincount(first, pull / length, len(token) + 1)
+                     - np.bincount(end, pull / length, len(token) + 1))
+            by_word = np.bincount(token, np.cumsum(steps)[:-1], len(per_word)) / per_word
+            by_gram += np.bincount(gram, by_word[owner], BUCKETS)
+            d_bias += pull.sum()
         d_side = by_gram @ table
-        d_bias = pull.sum()
         grads = (by_gram[:, None] * side, np.stack((-d_side, d_side)), np.array([-d_bias, d_bias]))
         for x, g, (m, v) in zip((table, soft, bias), grads, state):
             m += 0.1 * (g - m)
@@ -182,24 +216,33 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS,
           max_chars: int = MAX_CHARS, id_col: str = "doc_id", text_col: str = "text",
-          label_col: str = "toxic") -> Model:
+          label_col: str = "toxic", max_sum: int = MAX_SUM) -> Model:
     """Fit on the labelled rows of ``docs`` within the bounds."""
     marked = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
               .groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label")))
-    short = docs.where(F.length(F.coalesce(text_col, F.lit(""))) <= max_chars)
-    ids = short.select(F.col(id_col).alias("_id")).join(marked, "_id").distinct()
+    size = F.length(F.coalesce(text_col, F.lit("")))
+    short = docs.where(size <= max_chars)
+    ids = short.select(F.col(id_col).alias("_id"), size.alias("_size")).groupBy("_id").agg(
+        F.max("_size").alias("_size")).join(marked, "_id")
     chosen = None
     for label in (0, 1):
         own = ids.where(F.col("_label") == label).orderBy(F.xxhash64("_id"), "_id").limit(max_docs)
         chosen = own if chosen is None else chosen.unionByName(own)
+    # At most 2 * max_docs rows go through this window.
+    so_far = Window.partitionBy("_label").orderBy(F.xxhash64("_id"), "_id").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    chosen = chosen.withColumn("_sum", F.sum("_size").over(so_far)).where(
+        F.col("_sum") <= max_sum // 2).select("_id", "_label")
     # At most 2 * max_docs ids, whatever the corpus.
     rows = (short.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
             .join(F.broadcast(chosen), "_id").groupBy("_id", "_label")
-            .agg(F.min("_text").alias("_text")).orderBy("_id").toPandas())
-    truth = rows["_label"].to_numpy(np.int64)
+            .agg(F.min("_text").alias("_text")).orderBy("_id").collect())
+    truth = np.array([r["_label"] for r in rows], np.int64)
     if len(set(truth.tolist())) < 2:
         return Model(np.zeros(BUCKETS), -np.inf)
-    return fit([x or "" for x in rows["_text"]], truth)
+    texts = [r["_text"] or "" for r in rows]
+    del rows
+    return fit(texts, truth)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
