@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir), works on all documents that the one before has kept, and
 returns a DataFrame that is written as Parquet and read again. All but the last return the columns
 of ``documents``.
+
+Null, empty and blank texts are not toxic and fail the base rule of the quality stage, so they end
+there. Rows with a null id, and rows of one id with different texts, are documents of their own in every
+stage; of equal rows one stays. A null source is mixed with the sources that have no weight of their own. An
+empty table gives an empty table of the same columns.
 """
 
 from __future__ import annotations
@@ -36,8 +41,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded bytes, one row a document."""
-    return bpe.round_trip(docs, tokenizer_file("byte_bpe_50k.tiktoken"))
+    """Token counts and digests of ids and decoded bytes, one row a document, with its place in the mix.
+
+    The mixing stage keeps every row, so the schedule over its rows is the same again.
+    """
+    placed = pfair.interleave(docs, MIX, MIX_BLOCK, MIX_SEED).select(
+        F.struct("doc_id", "mix_position").alias("doc_id"), "text")
+    return bpe.round_trip(placed, tokenizer_file("byte_bpe_50k.tiktoken")).select(
+        "doc_id.*", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [

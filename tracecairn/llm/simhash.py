@@ -35,6 +35,8 @@ BITS = 64
 SHINGLE_WORDS = 3
 SEED = 42
 BUCKET = 64
+#: Names of columns that documents carry on the way.
+FINGERPRINT, ROW = "_simhash_fp", "_simhash_row"
 #: Halving stops at this width.
 NARROWEST = 8
 
@@ -205,12 +207,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents of ``docs`` whose id names their component, one row for each.
+    """One row of each component of ``docs``, whatever its ids are.
 
-    Of repeated rows of that id one stays; rows without an id stay only where their component has no id.
+    It is the row of smallest id (null last), then of smallest fingerprint, then of smallest hash of
+    all columns; of equal rows one. Rows of one id with unrelated texts are different components.
     """
-    groups = near_duplicates(docs, id_col, text_col)
-    names = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(
-        F.col(id_col).alias("_kept")).distinct()
-    kept = docs.join(names, docs[id_col].eqNullSafe(names["_kept"]), "left_semi")
-    return kept.dropDuplicates([id_col])
+    columns = docs.columns
+    marks = materialize(_with_fingerprints(docs, text_col).withColumn(
+        ROW, F.monotonically_increasing_id()), "marked")
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col(FINGERPRINT),
+                     F.xxhash64(*columns), F.col(ROW))
+    nodes = materialize(marks.groupBy(F.col(FINGERPRINT).alias("fp")).agg(
+        F.min(order).alias("first")), "nodes")
+    roots = components(candidate_links(nodes.select("fp")))
+    named = nodes.join(roots, nodes.fp == roots.node, "left").select(
+        "first", F.coalesce("root", "fp").alias("root"))
+    kept = named.groupBy("root").agg(F.min("first").alias("first")).select(
+        F.col(f"first.{ROW}").alias(ROW))
+    return marks.join(kept, ROW, "left_semi").select(*columns)
+
+
+def _with_fingerprints(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with the fingerprint of each row."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, text_col):
+            own = text_fingerprints(texts_of(part, text_col))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own.view(np.int64))],
+                                             [*part.schema.names, FINGERPRINT])
+
+    return docs.mapInArrow(run, f"{fields}, {FINGERPRINT} long")
