@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,10 +12,17 @@ from tests.test_descriptors import event, random_rows
 from tracecairn import TraceOptions
 from tracecairn.operators.outcomes import check_failures
 from tracecairn.operators.reports import skip_rate_by_window
-from tracecairn.operators.slices import TimeSlices, plan_slices, slices_from_quantiles
+from tracecairn.operators.slices import (
+    TimeSlices,
+    at_or_before,
+    nth_keys,
+    plan_slices,
+    slices_from_quantiles,
+)
+from tracecairn.operators.storage import materialize
 from tracecairn.operators.timing import add_schedule, pid_gaps
 from tracecairn.plans import TraceRun, execute_plan
-from tracecairn.sources import normalize
+from tracecairn.sources import normalize, write_trace
 
 
 @pytest.mark.parametrize("cap,side,rows_per_slice", [(0, "all", 10_000), (120, "source", 60)])
@@ -111,6 +120,62 @@ def test_slices_of_overfull_timestamps_hold_for_any_offsets(spark):
         assert all(a["hi"] < b["lo"] for a, b in zip(sized, sized[1:]))
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_order_statistics(trace, hot):
+    """Keys at positions in any slice, among hot timestamps and past the end."""
+    rng = random.Random(hot)
+    rows = [{**event(i, "read", "/p", pid=rng.randrange(3)),
+             "machine_ts": 4.0 if hot and i % 2 else rng.choice((rng.random() * 9, float("nan")))
+             if i % 9 == 0 else rng.random() * 9} for i in range(600)]
+    rng.shuffle(rows)
+    events = normalize(trace(rows))
+    order = sorted(rows, key=lambda r: (
+        math.inf if math.isnan(r["machine_ts"]) else r["machine_ts"], r["log_offset"]))
+    for slices in (plan_slices(events, 40), TimeSlices()):
+        sliced = slices.assign(events)
+        for places in ([1], [300, 301], [599, 600], [600, 601], [900], [17, 450]):
+            found = nth_keys(sliced, places, slices)
+            want = {n: order[n - 1]["log_offset"] for n in places if n <= 600}
+            assert {n: r["log_offset"] for n, r in found.items()} == want
+            for n, key in found.items():
+                kept = sliced.where(at_or_before(key)).select("log_offset").collect()
+                assert {r[0] for r in kept} == {r["log_offset"] for r in order[:n]}
+
+
+def plan_text(df):
+    return df._jdf.queryExecution().explainString(
+        df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_cap_reaches_the_scan(spark, trace, tmp_path):
+    rows = [event(i, "read", "/p", pid=i % 3) for i in range(5000)]
+    write_trace(trace(rows), str(tmp_path / "t"))
+    opts = TraceOptions(events_root=str(tmp_path / "t"), max_events=1234, pid_filter=(1, 2),
+                        rows_per_slice=200)
+    run = TraceRun.open(spark, opts)
+    text = plan_text(run.selected)
+    pushed = [x for x in text.splitlines() if "PushedFilters" in x]
+    assert len(pushed) == 1 and "LessThanOrEqual(machine_ts" in pushed[0] and "In(pid" in pushed[0]
+    assert "Exchange" not in text and "Window" not in text
+    got = [r[0] for r in run.selected.select("log_offset").collect()]
+    assert sorted(got) == [i for i in range(5000) if i % 3][:1234]
+    s = run.stats().first()
+    assert (s["total"], s["processed"] + s["failed"]) == (1853, 1234)
+
+
+def test_schedule_reads_its_input_twice_and_sorts_once(trace):
+    rows = [event(i * 3 % 1000, "read", "/p") for i in range(1000)]
+    events = materialize(normalize(trace(rows)), "events")
+    slices = plan_slices(events, 50)
+    out = add_schedule(slices.assign(events), TraceOptions(pace_mode="real"), slices)
+    text = plan_text(out)
+    tree = text.split("\n\n\n")[0]
+    assert tree.count("Sort (") == 1 and len(re.findall(r"Exchange \(", tree)) <= 3
+    assert len(re.findall(r"Scan parquet ", tree)) == 2   # the rows, and one row per slice
+    got = {r["log_offset"]: r["replay_offset_us"] for r in out.collect()}
+    assert got == {i: i * 100_000 for i in range(1000)}
+
+
 def test_slice_boundaries_from_quantiles():
     s, heavy = slices_from_quantiles([1.0, 2.0, 2.0, 3.0, math.nan], 0, 100)
     assert s.cuts == (1.0, 2.0, math.nextafter(2.0, math.inf), 3.0)

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tracecairn.functions.numbers import moved_bytes
 from tracecairn.operators.descriptors import Descriptors, residual
-from tracecairn.operators.select import passes, up_to
-from tracecairn.operators.slices import SLICE, TimeSlices, add_ordinal, nth_key
+from tracecairn.operators.select import passes
+from tracecairn.operators.slices import SLICE, TimeSlices, add_ordinal
 from tracecairn.options import TraceOptions
 from tracecairn.schema import ORDER
 
@@ -28,15 +28,11 @@ def run_stats(
 ) -> DataFrame:
     """Counters of a run as one row.
 
-    ``total`` counts every event read, filtered ones included, and with a cap also the
-    event that ran into it; the time range covers the same rows.
+    ``events`` are all events read, filtered ones included, and with a cap also the event that ran
+    into it; the time range covers the same rows.
     """
-    opts, slices = state.opts, state.slices
-    seen = slices.assign(events)
-    if opts.max_events > 0:
-        seen = seen.where(up_to(
-            nth_key(seen.where(passes(opts)), opts.max_events + 1, slices)))
-    read = seen.agg(
+    opts = state.opts
+    read = events.agg(
         F.count(F.lit(1)).alias("total"),
         count_if(~passes(opts)).alias("filtered"),
         F.min("machine_ts").alias("first_ts"),

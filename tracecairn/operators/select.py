@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracecairn.operators.slices import TimeSlices, nth_key, order_key
+from tracecairn.operators.slices import TimeSlices, at_or_before, nth_keys
 from tracecairn.options import TraceOptions
 from tracecairn.schema import ORDER
 from tracecairn.sources.normalize import row_filter
@@ -22,19 +22,18 @@ def keep_pids(events: DataFrame, pids: DataFrame) -> DataFrame:
     return events.join(pids.select("pid").distinct(), "pid", "left_semi")
 
 
-def up_to(cutoff: DataFrame) -> Column:
-    """Rows at or before the key of a one-row table; all rows if it is empty."""
-    last = cutoff.select("key").scalar()
-    return last.isNull() | (order_key() <= last)
-
-
 def select_events(events: DataFrame, opts: TraceOptions, slices: TimeSlices) -> DataFrame:
-    """Events that pass the filters, up to the cap. Adds the slice column."""
+    """Events that pass the filters, up to the cap. Adds the slice column.
+
+    With a cap this looks up the key of its last event, a constant from then on.
+    """
     kept = slices.assign(events)
     if row_filter(opts) is not None:
         kept = kept.where(row_filter(opts))
     if opts.max_events > 0:
-        kept = kept.where(up_to(nth_key(kept, opts.max_events, slices)))
+        last = nth_keys(kept, [opts.max_events], slices).get(opts.max_events)
+        if last is not None:
+            kept = kept.where(at_or_before(last))
     return kept
 
 

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tracecairn.schema import ORDER
@@ -61,6 +61,20 @@ class TimeSlices:
             out = _bucket(out.drop(SLICE), self.fine, _KEY, SLICE).drop(_KEY)
         return out.withColumn(SLICE, F.col(SLICE).cast("bigint"))
 
+    def span(self, first: int, last: int) -> tuple[float, float]:
+        """Timestamps of these slices: from, and below. NaN is in the last slice."""
+        if self.fine:   # back to slices by time
+            first = math.floor(self.fine[first - 1]) if first > 0 else 0
+            last = math.floor(self.fine[last]) if last < len(self.fine) else len(self.cuts)
+        low = self.cuts[min(first, len(self.cuts)) - 1] if first > 0 else -math.inf
+        return low, self.cuts[last] if last < len(self.cuts) else math.inf
+
+    def until(self, timestamp: float) -> TimeSlices:
+        """The slices of rows up to a timestamp."""
+        cuts = tuple(x for x in self.cuts if x <= timestamp)
+        fine = tuple(x for x in self.fine if x <= len(cuts) + 1) if cuts else ()
+        return replace(self, cuts=cuts, fine=fine)
+
     def _keyed(self, df: DataFrame) -> DataFrame:
         """Doubles round in order, so equal or close offsets at worst share a slice."""
         span = max(1.0, float(self.high - self.low))
@@ -187,42 +201,65 @@ def add_running_sum(
     )
 
 
+def previous_edges(df: DataFrame) -> DataFrame:
+    """(slice, edge): the last timestamp before each slice; one row per slice."""
+    return (
+        df.groupBy(SLICE).agg(F.max("machine_ts").alias("_last"))
+        .select(SLICE, F.lag("_last").over(Window.orderBy(SLICE)).alias("_edge"))
+    )
+
+
+def with_slice_facts(df: DataFrame, facts: DataFrame) -> DataFrame:
+    """Add facts of a row's slice. There is one row per slice, and the plan holds a cut for each
+    slice already, so the broadcast is no larger than the plan's own constants."""
+    return df.join(F.broadcast(facts), SLICE)
+
+
 def add_previous_ts(
     df: DataFrame, out: str, slices: TimeSlices, order: Sequence[str] = ORDER
 ) -> DataFrame:
     """Timestamp of the preceding row of the trace, null for the first."""
     local = Window.partitionBy(SLICE).orderBy(*order)
-    df = df.withColumn(out, F.lag("machine_ts").over(local))
+    previous = F.lag("machine_ts").over(local)
     if not slices.several:
-        return df
-    across = Window.orderBy(SLICE)
-    edge = (
-        df.groupBy(SLICE).agg(F.max("machine_ts").alias("_last"))
-        .select(SLICE, F.lag("_last").over(across).alias("_edge"))
-    )
-    return (
-        df.join(edge, SLICE)   # one row per slice
-        .withColumn(out, F.coalesce(out, "_edge")).drop("_edge")
-    )
+        return df.withColumn(out, previous)
+    df = with_slice_facts(df, previous_edges(df))
+    return df.withColumn(out, F.coalesce(previous, "_edge")).drop("_edge")
 
 
-def nth_key(df: DataFrame, n: int, slices: TimeSlices, order: Sequence[str] = ORDER) -> DataFrame:
-    """One row with the key of the ``n``-th row in trace order; no row if there are fewer.
+def nth_keys(
+    df: DataFrame, positions: Sequence[int], slices: TimeSlices, order: Sequence[str] = ORDER
+) -> dict[int, Row]:
+    """Keys of the rows at these positions (from 1) in trace order; none past the end.
 
-    Only the slice that contains it is sorted.
+    An order statistic: one job counts rows per slice, a second one sorts the keys of the slices
+    that hold a position, asking for their span of time. Only the keys found reach the driver.
     """
-    skipped = F.lit(0)
+    keys = df.select(SLICE, *order)
+    before = F.lit(0)
     if slices.several:
-        holder = (
-            per_slice(df, F.count(F.lit(1)), "_before")
-            .where((F.col("_before") < n) & (F.col("_before") + F.col("_total") >= n))
-        )
-        df = df.where(F.col(SLICE) == holder.select(SLICE).scalar())
-        skipped = holder.select("_before").scalar()
+        counts = per_slice(keys, F.count(F.lit(1)), "_before")
+        holds = F.lit(False)
+        for n in positions:
+            holds |= (F.col("_before") < n) & (F.col("_before") + F.col("_total") >= n)
+        holders = counts.where(holds).collect()   # at most one row a position
+        if not holders:
+            return {}
+        found = [r[SLICE] for r in holders]
+        low, high = slices.span(min(found), max(found))
+        keys = keys.where(F.col("machine_ts") >= low) if math.isfinite(low) else keys
+        keys = keys.where(F.col("machine_ts") < high) if math.isfinite(high) else keys
+        keys = keys.where(F.col(SLICE).isin(found))
+        before = F.lit(None)
+        for r in holders:
+            before = F.when(F.col(SLICE) == r[SLICE], F.lit(r["_before"])).otherwise(before)
     local = Window.partitionBy(SLICE).orderBy(*order)
-    return (
-        df.select(SLICE, *order)
-        .withColumn("_row", F.row_number().over(local))
-        .where(F.col("_row") == F.lit(n) - skipped)
-        .select(order_key(order).alias("key"))
-    )
+    ranked = keys.withColumn("_position", F.row_number().over(local) + before)
+    return {r["_position"]: r for r in ranked.where(F.col("_position").isin(*positions)).collect()}
+
+
+def at_or_before(key: Row, order: Sequence[str] = ORDER) -> Column:
+    """Rows up to a key. The first column is compared on its own too, for the scan."""
+    first, *others = order
+    tied = order_key(others) <= F.struct(*[F.lit(key[n]).alias(n) for n in others])
+    return (F.col(first) <= key[first]) & ((F.col(first) < key[first]) | tied)
