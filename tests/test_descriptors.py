@@ -9,7 +9,14 @@ from pyspark.sql import functions as F
 
 from tests.model import simulate
 from tracecairn import TraceOptions
-from tracecairn.operators.descriptors import carry_over, residual, spread_failures, track_descriptors
+from tracecairn.operators import descriptors
+from tracecairn.operators.descriptors import (
+    build_sessions,
+    carry_over,
+    residual,
+    spread_failures,
+    track_descriptors,
+)
 from tracecairn.operators.outcomes import outcomes
 from tracecairn.operators.slices import TimeSlices
 from tracecairn.plans import TraceRun
@@ -188,3 +195,57 @@ def test_failures_spread_over_long_chains(spark):
     nodes = spark.createDataFrame(rows, "k int, node int, failed boolean, above int")
     done = spread_failures(nodes, ["k"], "node", "above")
     assert {r["node"] for r in done.where("failed").collect()} == set(range(100, 300))
+
+
+@pytest.mark.parametrize("broken", [None, 0, 30])
+@pytest.mark.parametrize("slices", [TimeSlices(), TimeSlices((1.0, 2.5, 4.0))])
+def test_chain_of_relative_opens_settles_in_few_rounds(trace, monkeypatch, broken, slices):
+    """Each open's directory is the one before it; where one fails, all behind it fail."""
+    rows = [event(0, "open", "/tmp/sandbox/d", "100")]
+    for i in range(1, 65):
+        rows.append(event(i, "openat", "x" if i != broken else "../../../../y", str(100 + i),
+                          arg1=str(99 + i)))
+    if broken == 0:
+        rows[0]["path"] = "/../d"
+    if broken == 30:   # leaves the root: its directory is absolute
+        rows[29].update(path="/tmp/sandbox/e", arg1="0")
+    rounds = []
+    monkeypatch.setattr(descriptors, "build_sessions", lambda *a: rounds.append(1) or build(*a))
+    build = build_sessions
+    got, left, state = run_rows(trace, rows, slices)
+    want, want_left = simulate(rows)
+    assert got == want and left == want_left
+    failed = sum(v[0] == "failed" for v in got.values())
+    assert failed == {None: 0, 0: 65, 30: 35}[broken]
+    assert len(rounds) <= 4   # the last one builds the run's own sessions
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_random_relative_opens(trace, seed):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(160):
+        sc = rng.choice(["openat", "openat", "openat", "close", "read"])
+        path = rng.choice(["/tmp/sandbox/a", "r", "s/t", "../../../../z", "/[unknown, fd=4]"])
+        if sc == "openat" and path.startswith("/["):
+            path = "r"
+        rows.append(event(i, sc, path, str(rng.randint(3, 7)), rng.randint(1, 2),
+                          arg1=str(rng.randint(3, 7))))
+    got, left, _ = run_rows(trace, rows, TimeSlices((4.0, 9.0)))
+    want, want_left = simulate(rows)
+    assert got == want and left == want_left
+
+
+def test_exits_do_not_order_the_trace(trace):
+    rows = []
+    for i in range(120):
+        sc = ["open", "read", "exit_group", "close", "read"][i * 7 % 5 if i % 4 else 0]
+        rows.append(event(i, sc, "/p", "3", i % 3))
+    opts = TraceOptions(exit_closes=True)
+    for slices in (TimeSlices(), TimeSlices((2.0, 2.5, 8.0))):
+        prepared = descriptors.prepare(normalize(trace(rows)), opts, slices)
+        assert "Window" not in prepared._jdf.queryExecution().executedPlan().toString()
+        state = track_descriptors(normalize(trace(rows)), opts, slices)
+        want, left = simulate(rows, exits=True)
+        assert observed(outcomes(state)) == want
+        assert residual(state.sessions).first()["residual"] == left

@@ -92,13 +92,41 @@ def prepare(events: DataFrame, opts: TraceOptions, slices: TimeSlices) -> DataFr
     )
     if not opts.exit_closes:
         return out.withColumn("owner", c("pid"))
-    left = F.when(c("sc") == EXIT_OP, F.struct(*_IN_OWNER))
-    out = nearest(out, ["pid"], _IN_OWNER, left, "_left", slices)
-    out = nearest(out, ["pid"], _IN_OWNER, left, "exit_at", slices, following=True)
+    out = _with_exits_around(out)
     life = F.concat_ws("@", "pid", c("_left.machine_ts").cast("string"), "_left.log_offset")
     return out.withColumn("owner", life).drop("_left")
 
 
+def _with_exits_around(rows: DataFrame) -> DataFrame:
+    """Add the last exit of a row's process before it (``_left``) and the first after it (``exit_at``).
+
+    Lives come from a table of exits alone, joined to the rows: a process's exits in the row's own
+    slice, at most a slice of them, and the first and last exit of each other slice where it has any.
+    Rows are not ordered for it.
+    """
+    c = F.col
+    exits = materialize(
+        rows.where(c("sc") == EXIT_OP).groupBy("pid", SLICE)
+        .agg(F.sort_array(F.collect_list(at_key())).alias("_here")), "exits")
+    edges = exits.groupBy("pid").agg(F.sort_array(F.collect_list(F.struct(
+        SLICE, F.element_at("_here", 1).alias("first"), F.element_at("_here", -1).alias("last")
+    ))).alias("_edges"))
+    rows = rows.join(exits, ["pid", SLICE], "left").join(edges, "pid", "left")
+
+    def pick(found: Column, at: int, field: str | None = None) -> Column:
+        one = F.when(F.size(found) > 0, F.element_at(found, at))
+        return one.getField(field) if field else one
+
+    before = pick(F.filter("_here", lambda x: x < at_key()), -1)
+    after = pick(F.filter("_here", lambda x: x > at_key()), 1)
+    earlier = pick(F.filter("_edges", lambda x: x[SLICE] < c(SLICE)), -1, "last")
+    later = pick(F.filter("_edges", lambda x: x[SLICE] > c(SLICE)), 1, "first")
+    return (
+        rows.withColumn("_left", F.coalesce(before, earlier))
+        .withColumn("exit_at", F.coalesce(after, later)).drop("_here", "_edges")
+    )
+
+
 def _failure(root: str) -> Column:
     c = F.col
     return (
@@ -276,6 +304,24 @@ def spread_failures(nodes: DataFrame, keys: list[str], node: str, above: str) ->
     return nodes
 
 
+def inherit_failures(nodes: DataFrame, keys: list[str], node: str, above: str) -> DataFrame:
+    """In a forest of ``node -> above`` links, mark ``failed`` on all nodes under a failed one.
+
+    Pointer doubling: a step hands down what the node 2^k above has heard. Links to what is no node
+    of the forest end there.
+    """
+    c = F.col
+    nodes = materialize(nodes, "links")
+    while not nodes.where(c(above).isNotNull()).isEmpty():
+        upper = nodes.select(*keys, c(node).alias(above), c("failed").alias("_failed"),
+                             c(above).alias("_further"))
+        nodes = materialize(
+            nodes.join(upper, [*keys, above], "left").select(
+                *keys, node, (c("failed") | F.coalesce("_failed", F.lit(False))).alias("failed"),
+                c("_further").alias(above)), "links")
+    return nodes
+
+
 def _double(nodes: DataFrame, keys: list[str], node: str, above: str) -> DataFrame:
     c = F.col
     news = (
@@ -421,9 +467,12 @@ def _resolve_relative_opens(
 ) -> DataFrame:
     """Decide opens of relative paths, whose success depends on an open descriptor.
 
-    Only those whose directory number some open of the same owner returned can
-    succeed. For their owners the verdicts are recomputed from each other until they
-    stop changing; the earliest one is right after the first round, so they settle.
+    Only those whose directory number some open of the same owner returned can succeed. They all
+    do so at first. Sessions built from these verdicts give each one its directory, so the opens
+    form a forest that hangs on their directories; whoever hangs on a failed one, however far
+    below, fails in the same round (pointer doubling). Verdicts that no round changes are the
+    right ones: whatever comes before the earliest wrong row is right, so a round puts it right, and
+    it hangs on right rows alone. Chains of any length take two or three rounds.
     """
     c = F.col
     root = opts.sandbox_root
@@ -446,23 +495,27 @@ def _resolve_relative_opens(
 
     seeds = None if carried is None else of_owners(carried)
     fixed, shut = of_owners(settled), of_owners(closes)
-    verdict = _without_base(possible, root)
-    names = opens.columns
+    names, key = opens.columns, ["owner", *_IN_OWNER]
+    verdict = possible.withColumn("reason", F.lit(None).cast("string"))
     while True:
-        trial = fixed.unionByName(verdict).withColumn("our_fd", F.lit(0).cast("bigint"))
+        trial = fixed.unionByName(verdict.select(*names)).withColumn(
+            "our_fd", F.lit(0).cast("bigint"))
         sessions = build_sessions(_control(trial, shut, seeds, slices), slices)
-        fresh = materialize(
-            with_base(attach_sessions(possible, sessions, slices), root).select(*names),
-            "relative")
-        key = ["owner", *_IN_OWNER]
+        found = materialize(with_base(attach_sessions(
+            possible.drop("our_fd"), sessions, slices), root), "relative")
         changed = (
-            fresh.select(*key, "reason").join(
+            found.select(*key, "reason").join(
                 verdict.select(*key, c("reason").alias("_before")), key)
             .where(c("reason").isNull() != c("_before").isNull())
         )
-        verdict = fresh
         if changed.isEmpty():
-            return settled.unionByName(hopeless).unionByName(verdict)
+            return settled.unionByName(hopeless).unionByName(found.select(*names))
+        nodes = inherit_failures(found.select(
+            "owner", at_key().alias("at"), c("reason").isNotNull().alias("failed"),
+            c("session_at").alias("above")), ["owner"], "at", "above")
+        lost = nodes.where("failed").select("owner", "at.*", F.lit("dirfd_unregistered").alias("_lost"))
+        verdict = found.join(lost, key, "left").withColumn(
+            "reason", F.coalesce("reason", "_lost")).drop("_lost")
 
 
 def _without_base(opens: DataFrame, root: str) -> DataFrame:

@@ -31,7 +31,7 @@ from tracecairn.plans.schedule import replay_plan as plan_rows
 from tracecairn.session import tune
 from tracecairn.sources import buckets_opened, normalize, read_events, row_filter, write_trace
 from tracecairn.sources.reader import in_bucket_range
-from tracecairn.sources.sample import sample_trace
+from tracecairn.sources.sample import chained_trace, exiting_trace, sample_trace
 from tracecairn.streaming import (
     BucketStream,
     DescriptorStream,
@@ -343,6 +343,24 @@ def seeded_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+@query
+def relative_opens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opens of the chained sample: those of relative paths hang on descriptors of each other."""
+    run = TraceRun.over(chained_trace(spark, sf_dir), DEFAULT)
+    return run.state.opens.select(
+        "log_offset", "pid", F.col("dirfd").isNotNull().cast("int").alias("relative"),
+        F.col("reason").isNull().cast("int").alias("opened"), "reason", "our_fd")
+
+
+@query
+def exit_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes where the end of a process closes all its descriptors."""
+    run = TraceRun.over(exiting_trace(spark, sf_dir), DEFAULT.with_(exit_closes=True))
+    return outcomes(run.state).select(
+        "log_offset", "action", "status", "reason",
+        offset_of("session_at", "session_offset"), "our_fd")
+
+
 # --- outcomes and reports -------------------------------------------------------------------
 
 

@@ -16,7 +16,7 @@ from tracecairn.functions.syscalls import (
     UNLINK_OPS,
 )
 from tracecairn.plans import catalog
-from tracecairn.sources.sample import TRACE_SQL
+from tracecairn.sources.sample import CHAINED_SQL, EXITING_SQL, TRACE_SQL
 
 ROOT = catalog.DEFAULT.sandbox_root
 
@@ -48,11 +48,11 @@ def _inside(x: str) -> str:
     return f"({x} = '{ROOT}' OR starts_with({x}, '{ROOT}/'))"
 
 
-def _typed(signed: bool = False) -> str:
+def _typed(signed: bool = False, trace: str = TRACE_SQL) -> str:
     """``ev``: typed events with everything that follows from the row itself."""
     numbers = ", ".join(f"{_num(n, signed)} AS {n}" for n in ("ret", "err", "arg1", "arg2"))
     return f"""
-trace AS MATERIALIZED ({TRACE_SQL}),
+trace AS MATERIALIZED ({trace}),
 typed AS (
   SELECT log_offset, machine_ts, cast(round(machine_ts * 1e6) AS BIGINT) AS ts_us, pid, sc,
     {numbers}, path, coalesce(rename_src, '') AS rename_src,
@@ -175,6 +175,55 @@ _IO_BYTES = f"least({_MOVED}, 1048576)"   # only where a buffer is issued
 _OUTCOMES = f"""{_FULL}
 SELECT log_offset, action, status, reason, {_NOTE} AS note FROM outc"""
 
+# Opens of relative paths: whether one succeeds is known only at its turn.
+_GOOD = f"""(op = 'open' AND CASE WHEN raw LIKE '/%' THEN static_ok
+    ELSE raw <> '' AND base IS NOT NULL AND (base.path NOT LIKE '/%'
+      OR {_inside(_normal("(base.path || '/' || raw)"))}) END)"""
+_CHAINED_OPENS = f"""WITH RECURSIVE {_typed(trace=CHAINED_SQL)},
+ctl AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY pid ORDER BY machine_ts, log_offset) AS rn FROM (
+    SELECT pid, machine_ts, log_offset, action AS op, raw, arg1 AS dirfd,
+      CASE WHEN action = 'open' THEN ret ELSE unknown_fd END AS fd, lookup_path AS path,
+      coalesce(raw <> '' AND {_inside('resolved')}, false) AS static_ok
+    FROM ev WHERE action = 'open' OR (action = 'close' AND lookup_path <> ''))),
+st AS (
+  SELECT pid, cast(0 AS BIGINT) AS rn,
+    cast([] AS STRUCT(fd BIGINT, off BIGINT, path VARCHAR, reach BOOLEAN)[]) AS s
+  FROM (SELECT DISTINCT pid FROM ctl)
+  UNION ALL
+  SELECT pid, rn, CASE
+    WHEN op = 'open' AND NOT {_GOOD} THEN s
+    WHEN op = 'open' THEN list_append(
+      list_transform(list_filter(s, lambda x: x.fd <> fd), lambda x: struct_pack(
+        fd := x.fd, off := x.off, path := x.path, reach := x.reach AND x.path <> path
+          AND x.path IS DISTINCT FROM same.path)),
+      struct_pack(fd := fd, off := log_offset, path := path, reach := true))
+    WHEN fd IS NOT NULL THEN
+      list_transform(list_filter(s, lambda x: x.fd <> fd), lambda x: struct_pack(
+        fd := x.fd, off := x.off, path := x.path,
+        reach := x.reach AND x.path IS DISTINCT FROM same.path))
+    ELSE list_filter(s, lambda x: NOT (x.path = path AND x.reach)) END
+  FROM (SELECT c.*, z.s, list_filter(z.s, lambda x: x.fd = c.dirfd)[1] AS base,
+      list_filter(z.s, lambda x: x.fd = c.fd)[1] AS same
+    FROM st z JOIN ctl c ON c.pid = z.pid AND c.rn = z.rn + 1)),
+judged AS (
+  SELECT *, {_GOOD} AS good, CASE WHEN raw LIKE '/%' OR raw = '' THEN 0 ELSE 1 END AS relative
+  FROM (SELECT c.*, list_filter(z.s, lambda x: x.fd = c.dirfd)[1] AS base
+    FROM st z JOIN ctl c ON c.pid = z.pid AND c.rn = z.rn + 1) WHERE op = 'open')
+SELECT log_offset, pid, relative, cast(good AS INTEGER) AS opened,
+  CASE WHEN raw = '' THEN 'no_path' WHEN good THEN NULL
+    WHEN relative = 1 AND base IS NULL THEN 'dirfd_unregistered' ELSE 'traversal' END AS reason,
+  CASE WHEN good THEN cast(2 + sum(cast(good AS INTEGER)) OVER (
+    ORDER BY machine_ts, log_offset) AS BIGINT) END AS our_fd
+FROM judged"""
+
+# A process number is a new process after each exit.
+_LIVES = f"""WITH RECURSIVE {_typed(trace=EXITING_SQL)},
+sel AS MATERIALIZED (
+  SELECT * REPLACE (pid * 1000000 + coalesce(sum(CASE WHEN sc = 'exit_group' THEN 1 ELSE 0 END) OVER (
+    PARTITION BY pid ORDER BY machine_ts, log_offset
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pid) FROM ev), {_tracked()}"""
+
 _GAPS = f"""{_TYPED}, gaps AS (
   SELECT *, greatest(machine_ts - coalesce(lag(machine_ts) OVER (
     ORDER BY machine_ts, log_offset), machine_ts), 0.0) AS gap_s FROM ev),
@@ -415,6 +464,9 @@ def all_oracles() -> dict[str, str]:
               PARTITION BY pid ORDER BY rn DESC) = 1)""",
         "seeded_window": f"""{_FULL} SELECT log_offset, action, status, reason, our_fd,
             session_offset FROM outc""",
+        "relative_opens": _CHAINED_OPENS,
+        "exit_outcomes": f"""{_LIVES} SELECT log_offset, action, status, reason, session_offset,
+            our_fd FROM outc""",
         "dry_outcomes": _OUTCOMES,
         "signed_outcomes": f"""{_SIGNED} SELECT log_offset, action, status, reason,
             session_offset, our_fd FROM outc""",

@@ -41,20 +41,50 @@ FROM (SELECT *, CASE WHEN sc IN ('open','openat','openat2') THEN 'open' WHEN sc=
    ELSE CASE k%12 WHEN 0 THEN 'newfstatat' WHEN 1 THEN 'statx' WHEN 2 THEN 'mkdir' WHEN 3 THEN 'mkdirat' WHEN 4 THEN 'unlink' WHEN 5 THEN 'unlinkat' WHEN 6 THEN 'rename' WHEN 7 THEN 'renameat' WHEN 8 THEN 'renameat2' WHEN 9 THEN 'getdents64' WHEN 10 THEN 'setxattr' ELSE 'fsync' END END AS sc
   FROM base) b) c"""
 
+# A third of the opens name a directory inside the sandbox, the others a path relative to a
+# descriptor, some of them leading out. Ten processes, so that descriptors are met again.
+_CHAINED = """
+SELECT log_offset, machine_ts, bucket, pid%10 AS pid, comm, sc, ret, err,
+ CASE WHEN kind=0 THEN arg1 ELSE cast(3+(log_offset*7+pid)%6 AS varchar(20)) END AS arg1, arg2,
+ CASE WHEN sc NOT IN ('open','openat','openat2') THEN path
+  WHEN log_offset%3=0 THEN concat('/tmp/sandbox/d', cast(log_offset%4 AS varchar(20)))
+  WHEN log_offset%7=0 THEN '../../../../out' ELSE concat('r', cast(log_offset%5 AS varchar(20))) END AS path,
+ rename_src, rename_dst, CASE WHEN kind=0 THEN canonical_path END AS canonical_path,
+ CASE WHEN kind=0 AND sc NOT IN ('open','openat','openat2') THEN mapped ELSE 0 END AS mapped, side
+FROM (SELECT t.*, CASE WHEN sc IN ('open','openat','openat2') AND log_offset%3<>0 THEN 1 ELSE 0 END AS kind
+ FROM ({trace}) t) s"""
+
+# Every fsync is the end of its process.
+_EXITING = """
+SELECT log_offset, machine_ts, bucket, pid, comm, CASE WHEN sc='fsync' THEN 'exit_group' ELSE sc END AS sc,
+ ret, err, arg1, arg2, path, rename_src, rename_dst, canonical_path, mapped, side FROM ({trace}) t"""
+
 TRACE_SQL = _DUCKDB_HEAD + _BODY
+CHAINED_SQL = _CHAINED.replace("{trace}", TRACE_SQL)
+EXITING_SQL = _EXITING.replace("{trace}", TRACE_SQL)
 
 
-def trace_of(events: DataFrame) -> DataFrame:
+def trace_of(events: DataFrame, around: str = "{trace}") -> DataFrame:
     """The whole ``events`` table as raw trace rows. Its timestamps count as UTC."""
     spark = events.sparkSession
     zone = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     try:
-        return spark.sql(_SPARK_HEAD.replace("FROM events", "FROM {events}") + _BODY,
-                         events=events)
+        inner = _SPARK_HEAD.replace("FROM events", "FROM {events}") + _BODY
+        return spark.sql(around.replace("{trace}", inner), events=events)
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
 
 
 def sample_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trace_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def chained_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample with opens of relative paths that depend on each other."""
+    return trace_of(spark.read.parquet(f"{sf_dir}/events.parquet"), _CHAINED)
+
+
+def exiting_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample with processes that end and begin anew."""
+    return trace_of(spark.read.parquet(f"{sf_dir}/events.parquet"), _EXITING)
