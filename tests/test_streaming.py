@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+import shutil
+
 from pyspark.sql import functions as F
 
 from tests.model import simulate
@@ -33,14 +36,14 @@ def test_descriptors_are_carried_between_batches(spark, trace, tmp_path):
         for r in out}
     want, left = simulate(rows)
     assert got == want
-    assert spark.read.parquet(tracked.table("open_sessions")).where("batch = 1").count() == left
+    assert tracked.open_sessions(spark).count() == left
     assert [r["log_offset"] for r in spark.read.parquet(tracked.table("late")).collect()] == [9999]
 
     # A repeated batch leaves everything as it was.
     again = spark.read.parquet(tracked.table("outcomes")).where("batch = 1").count()
     tracked.process(normalize(trace([late, *rows[150:]])), 1)
     assert spark.read.parquet(tracked.table("outcomes")).where("batch = 1").count() == again
-    assert spark.read.parquet(tracked.table("open_sessions")).where("batch = 1").count() == left
+    assert tracked.open_sessions(spark).count() == left
 
 
 def test_tumbling_statistics(spark, trace, tmp_path):
@@ -84,11 +87,54 @@ def test_statistics_keep_late_rows(spark, trace, tmp_path):
     assert (totals(), late()) == (want, [3])
 
 
-def test_old_snapshots_go(spark, trace, tmp_path):
-    tracked = DescriptorStream(str(tmp_path / "out"))
-    for i in range(4):
-        tracked.process(normalize(trace([event(i + 1, "openat", f"/p{i}", str(3 + i))])), i)
-    for name in ("open_sessions", "marks"):
-        kept = spark.read.parquet(tracked.table(name)).select("batch").distinct().collect()
-        assert sorted(r["batch"] for r in kept) == [2, 3]
-    assert spark.read.parquet(tracked.table("open_sessions")).where("batch = 3").count() == 4
+def test_state_is_a_log_of_changes(spark, trace, tmp_path):
+    """Batches write what they change; a lost batch is repeated; old files go after a compaction."""
+    rng = random.Random(4)
+    tracked = DescriptorStream(str(tmp_path / "out"), compact_every=3)
+    opens = [event(i, "open", f"/many/{i}", str(1000 + i), pid=i % 7) for i in range(400)]
+    batches = [opens]
+    for b in range(1, 9):
+        batch = []
+        for j in range(12):
+            i = 400 + 12 * (b - 1) + j
+            sc = rng.choice(["open", "close", "read", "close"])
+            path = rng.choice([f"/many/{rng.randrange(400)}", "/p", f"/[unknown, fd={1000 + rng.randrange(400)}]"])
+            if sc == "open" and path.startswith("/["):
+                path = "/p"
+            batch.append(event(i, sc, path, str(rng.choice([3, 4, 1000 + rng.randrange(400)])),
+                               pid=rng.randrange(7)))
+        batches.append(batch)
+    for b, batch in enumerate(batches):
+        tracked.process(normalize(trace(batch)), b)
+        if b == 5:   # lost before its mark: everything but the mark is there already
+            state = sorted(map(tuple, tracked.open_sessions(spark).collect()))
+            shutil.rmtree(tmp_path / "out" / "marks" / "batch=5")
+            tracked.process(normalize(trace(batch)), b)
+            assert sorted(map(tuple, tracked.open_sessions(spark).collect())) == state
+    rows = [r for batch in batches for r in batch]
+    got = {r["log_offset"]: (r["status"], r["reason"]) for r in spark.read.parquet(
+        tracked.table("outcomes")).collect()}
+    want, left = simulate(rows)
+    assert got == {i: v[:2] for i, v in want.items()}
+    assert tracked.open_sessions(spark).count() == left
+    changes = {r["batch"]: r["count"] for r in spark.read.parquet(
+        tracked.table("changes")).groupBy("batch").count().collect()}
+    assert max(changes.values()) <= 2 * 12   # 12 rows a batch, 400 sessions open
+    kept = sorted(x.name for x in (tmp_path / "out" / "open_sessions").iterdir())
+    assert kept == ["batch=3", "batch=6"] or kept == ["batch=6"]
+    assert not (tmp_path / "out" / "changes" / "batch=1").exists()
+
+
+def test_filters_exits_and_cap_hold_over_batches(spark, trace, tmp_path):
+    rows = []
+    for i in range(120):
+        sc = "exit_group" if i % 29 == 28 else ["open", "read", "read", "close"][i % 4]
+        rows.append(event(i, sc, f"/p{i // 4 % 5}", str(3 + i % 3), pid=i // 8 % 3))
+    tracked = DescriptorStream(str(tmp_path / "out"), TraceOptions(exit_closes=True, max_events=100))
+    for b in range(4):
+        tracked.process(normalize(trace(rows[30 * b:30 * b + 30])), b)
+    got = {r["log_offset"]: (r["status"], r["reason"]) for r in spark.read.parquet(
+        tracked.table("outcomes")).collect()}
+    want, left = simulate(rows[:100], exits=True)
+    assert got == {i: v[:2] for i, v in want.items()}
+    assert tracked.open_sessions(spark).count() == left
