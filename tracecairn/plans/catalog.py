@@ -6,6 +6,7 @@ bytes, sessions as the offset of their open row.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import wraps
 
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracecairn import functions as fn
-from tracecairn.operators import reports
+from tracecairn.operators import lifecycles, reports
 from tracecairn.operators.descriptors import (
     FIRST_VIRTUAL_FD,
     carry_over,
@@ -22,15 +23,27 @@ from tracecairn.operators.descriptors import (
     track_descriptors,
 )
 from tracecairn.operators.outcomes import first_failure, outcomes, traversal_report
-from tracecairn.operators.select import first_events, keep_pids
+from tracecairn.operators.select import bucket_order, first_events, keep_pids, time_order
 from tracecairn.operators.storage import scratch_path
 from tracecairn.operators.timing import add_gap, add_schedule, micros, pid_gaps
 from tracecairn.options import TraceOptions
 from tracecairn.plans.run import TraceRun
 from tracecairn.plans.schedule import replay_plan as plan_rows
 from tracecairn.session import tune
-from tracecairn.sources import buckets_opened, normalize, read_events, row_filter, write_trace
-from tracecairn.sources.reader import in_bucket_range
+from tracecairn.sources import (
+    buckets_opened,
+    commit_outcomes,
+    committed_outcomes,
+    normalize,
+    order_certificate,
+    read_events,
+    read_quarantine,
+    read_report,
+    row_filter,
+    write_outcomes,
+    write_trace,
+)
+from tracecairn.sources.reader import dataset_dir, in_bucket_range
 from tracecairn.sources.sample import chained_trace, exiting_trace, sample_trace
 from tracecairn.streaming import (
     BucketStream,
@@ -217,6 +230,93 @@ def bucketed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "log_offset", "bucket", "pid", "sc", "ret", "arg1", "side", "canonical_path")
 
 
+@query
+def flat_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A flat file without two of the columns, read with filters: defaults take their place."""
+    path = scratch_path(spark, "flat") + ".parquet"
+    sample_trace(spark, sf_dir).drop("bucket", "side", "mapped").write.parquet(path)
+    return read_events(spark, TraceOptions(events_root=path, pid_filter=PIDS)).select(
+        "log_offset", "bucket", "pid", "sc", "ret", "side", F.col("mapped").cast("int").alias("mapped"))
+
+
+def _damaged(spark: SparkSession, sf_dir: str) -> str:
+    """The bucketed trace with a special folder that holds every 50th row, and a file cut short."""
+    root = scratch_path(spark, "damaged")
+    trace = _squeezed(spark, sf_dir)
+    write_trace(trace.where("log_offset % 50 <> 0"), root)
+    trace.where("log_offset % 50 = 0").drop("side").write.parquet(
+        f"{dataset_dir(root)}/bucket=_unparsed")
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{dataset_dir(root)}/bucket=000003/cut.parquet")
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(b"PAR1 and then nothing"))
+    out.close()
+    return root
+
+
+@query
+def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run reads of a dataset with special folders and an unreadable file, and what it leaves."""
+    opts = TraceOptions(events_root=_damaged(spark, sf_dir), ignore_corrupt_files=True)
+    read = read_events(spark, opts).select("log_offset", "pid", "sc", F.lit("read").alias("place"))
+    left = read_quarantine(spark, opts).select(
+        "log_offset", "pid", "sc", F.col("folder").alias("place"))
+    return read.unionByName(left)
+
+
+@query
+def read_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The read report of that dataset, by folder and status."""
+    opts = PART.with_(events_root=_damaged(spark, sf_dir))
+    return read_report(spark, opts).groupBy("folder", "status").agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
+        F.max(F.array_join("defaulted", ",")).alias("defaulted"))
+
+
+@query
+def order_proof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Certificates of files written in trace order, of bucket files, and of files that overlap."""
+    events = events_of(spark, sf_dir)
+    paths = {name: scratch_path(spark, name) for name in ("trace-order", "in-partitions", "overlap")}
+    time_order(events).write.parquet(paths["trace-order"])
+    bucket_order(events.repartitionByRange("bucket")).write.parquet(paths["in-partitions"])
+    time_order(events).write.parquet(paths["overlap"])
+    again = events.where((F.col("machine_ts") > SPLIT_TS) & (F.col("log_offset") % 7 == 0))
+    bucket_order(again.coalesce(1)).write.mode("append").parquet(paths["overlap"])
+    found = None
+    for name, path in paths.items():
+        part = order_certificate(spark, path).agg(
+            F.sum("rows").alias("rows"), F.count_if(~F.col("sorted")).alias("unsorted"),
+            F.max(F.col("overlaps").cast("int")).alias("overlapping"),
+        ).withColumn("dataset", F.lit(name))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+@query
+def sink_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes read back from a sink of two runs, one tried twice and once left half done."""
+    rows = run_of(spark, sf_dir).outcomes.select(
+        "log_offset", "machine_ts", "bucket", "action", "status", "reason")
+    root = scratch_path(spark, "sink")
+    early = F.col("machine_ts") < SPLIT_TS
+    rows = rows.withColumn("bucket", F.floor(F.col("bucket") / SQUEEZE))
+    commit_outcomes(rows.where(early), root, 1)
+    write_outcomes(rows.where(early), f"{root}/data/run=1-lost")
+    commit_outcomes(rows.where(early), root, 1)
+    commit_outcomes(rows.where(~early), root, 2)
+    return committed_outcomes(spark, root).select("run", "log_offset", "action", "status", "reason")
+
+
+@query
+def options_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of a run whose options come from a configuration text."""
+    text = json.dumps({"sandbox_root": DEFAULT.sandbox_root, "side_filter": CAPPED.side_filter,
+                       "max_events": CAPPED.max_events, "pid_filter": list(PIDS)})
+    opts = TraceOptions.from_json(text).with_(rows_per_slice=SLICE_ROWS)
+    return _stats(spark, sf_dir, opts)
+
+
 def _squeezed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_trace(spark, sf_dir).drop("bucket").withColumn(
         "machine_ts", F.col("machine_ts") / SQUEEZE)
@@ -454,6 +554,12 @@ def side_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.withColumn("consistent", F.col("consistent").cast("int"))
 
 
+@query
+def side_lifecycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = run_of(spark, sf_dir)
+    return lifecycles.side_lifecycles(run.outcomes, run.slices)
+
+
 @query
 def replay_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = run_of(spark, sf_dir)   # pacing does not touch the descriptor tables

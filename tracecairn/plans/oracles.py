@@ -355,6 +355,53 @@ SELECT b AS bucket, count(*) FILTER (NOT is_late) AS ops,
 FROM judged GROUP BY b"""
 
 
+_SIDES = f"""{_FULL}, calls AS (
+  SELECT pid, session_offset, string_agg(sc, ',' ORDER BY machine_ts, log_offset) AS calls
+  FROM outc WHERE status = 'ok' AND action IN ('open', 'io', 'close') AND session_offset IS NOT NULL
+  GROUP BY ALL),
+sess AS (
+  SELECT c.calls, o.side, o.lookup_path AS path, row_number() OVER (
+    PARTITION BY o.lookup_path, o.side ORDER BY o.machine_ts, o.log_offset) AS k
+  FROM calls c JOIN outc o ON o.log_offset = c.session_offset
+  WHERE o.side IN ('source', 'target')),
+lined AS (
+  SELECT path, k, max(calls) FILTER (side = 'source') AS s, max(calls) FILTER (side = 'target') AS t
+  FROM sess GROUP BY path, k),
+lone AS (
+  SELECT path, calls, sum(a) AS a, sum(b) AS b FROM (
+    SELECT path, s AS calls, 1 AS a, 0 AS b FROM lined WHERE s IS NOT NULL AND s IS DISTINCT FROM t
+    UNION ALL SELECT path, t, 0, 1 FROM lined WHERE t IS NOT NULL AND s IS DISTINCT FROM t)
+  GROUP BY ALL),
+gone AS (SELECT path, sum(least(a, b)) AS reordered, sum(a - least(a, b)) AS missing_in_target,
+  sum(b - least(a, b)) AS missing_in_source FROM lone GROUP BY path)
+SELECT path, count(s) AS source_sessions, count(t) AS target_sessions,
+  count(*) FILTER (s = t) AS matched, cast(coalesce(any_value(reordered), 0) AS BIGINT) AS reordered,
+  cast(coalesce(any_value(missing_in_target), 0) AS BIGINT) AS missing_in_target,
+  cast(coalesce(any_value(missing_in_source), 0) AS BIGINT) AS missing_in_source
+FROM lined LEFT JOIN gone USING (path) GROUP BY path"""
+
+
+def _audit() -> str:
+    low, high = catalog.PART.bucket_min, catalog.PART.bucket_max
+    return f"""{_TYPED}, placed AS (
+  SELECT CASE WHEN log_offset % 50 = 0 THEN 'bucket=_unparsed' ELSE 'bucket=' || lpad(cast(cast(floor(
+    machine_ts / {catalog.SQUEEZE} / 600) AS BIGINT) AS VARCHAR), 6, '0') END AS folder FROM ev)
+SELECT folder, CASE WHEN folder = 'bucket=_unparsed' THEN 'special'
+    WHEN cast(substr(folder, 8) AS BIGINT) BETWEEN {low} AND {high} THEN 'read'
+    ELSE 'out of range' END AS status, count(*) AS rows,
+  CASE WHEN folder = 'bucket=_unparsed' THEN 'side' ELSE '' END AS defaulted
+FROM placed GROUP BY folder
+UNION ALL SELECT 'bucket=000003', 'unreadable', 0, NULL"""
+
+
+def _proof() -> str:
+    return f"""{_TYPED}, again AS (
+  SELECT count(*) AS n FROM ev WHERE machine_ts > {catalog.SPLIT_TS} AND log_offset % 7 = 0)
+SELECT 'trace-order' AS dataset, count(*) AS rows, 0 AS unsorted, 0 AS overlapping FROM ev
+UNION ALL SELECT 'in-partitions', count(*), 0, 0 FROM ev
+UNION ALL SELECT 'overlap', count(*) + (SELECT n FROM again), 0, 1 FROM ev"""
+
+
 def _consistency() -> str:
     tests = {
         "opens": ("count(*)", "action = 'open'"),
@@ -386,6 +433,10 @@ def _flag(cond: str, name: str) -> str:
     return f"cast({cond} AS INTEGER) AS {name}"
 
 
+def _picked(pids: str) -> str:
+    return f"(side = '{catalog.CAPPED.side_filter}' AND pid IN ({pids}))"
+
+
 def all_oracles() -> dict[str, str]:
     pids = ", ".join(map(str, catalog.PIDS))
     low, high = catalog.BUCKETS.bucket_min, catalog.BUCKETS.bucket_max
@@ -497,6 +548,18 @@ def all_oracles() -> dict[str, str]:
             FROM outc WHERE action = 'io' AND status = 'ok' GROUP BY ROLLUP (side, sc)""",
         "bucket_profile": _profile(),
         "side_consistency": _consistency(),
+        "side_lifecycles": _SIDES,
+        "flat_scan": f"""{_TYPED} SELECT log_offset, cast(floor(machine_ts / 600) AS BIGINT) AS bucket,
+            pid, sc, ret, 'other' AS side, 0 AS mapped FROM ev WHERE pid IN ({pids})""",
+        "quarantine": f"""{_TYPED} SELECT log_offset, pid, sc, CASE WHEN log_offset % 50 = 0
+            THEN 'bucket=_unparsed' ELSE 'read' END AS place FROM ev""",
+        "read_audit": _audit(),
+        "order_proof": _proof(),
+        "sink_commits": f"""{_FULL} SELECT CASE WHEN machine_ts < {catalog.SPLIT_TS} THEN 1 ELSE 2
+            END AS run, log_offset, action, status, reason FROM outc""",
+        "options_run": _stats(
+            f"{_TYPED}, {_selected(_picked(pids), catalog.CAPPED.max_events)}, {_tracked()}",
+            _picked(pids), catalog.CAPPED.max_events),
         "replay_plan": _PLAN,
         "stream_bucket_profile": _profile(
             f"cast(floor(machine_ts / {catalog.SQUEEZE} / 600) AS BIGINT)"),
