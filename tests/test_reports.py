@@ -104,12 +104,25 @@ def test_slices_cut_a_single_hot_timestamp(trace):
     assert all(a["hi"] < b["lo"] for a, b in zip(by_offset, by_offset[1:]))
 
 
+def test_slices_cut_a_log_without_offsets_at_processes(trace):
+    """Nothing but the process tells the rows of a timestamp apart."""
+    rows = [{**event(0, "read", "/p", pid=i % 500), "machine_ts": float(i // 4000)}
+            for i in range(8000)]
+    events = normalize(trace(rows))
+    slices = plan_slices(events, 100)
+    sized = slices.assign(events).groupBy("slice").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("machine_ts", "pid")).alias("lo"),
+        F.max(F.struct("machine_ts", "pid")).alias("hi")).orderBy("slice").collect()
+    assert len(sized) >= 60 and max(r["n"] for r in sized) <= 200
+    assert all(a["hi"] < b["lo"] for a, b in zip(sized, sized[1:]))
+
+
 def test_slices_of_overfull_timestamps_hold_for_any_offsets(spark):
     """Offsets that do not follow time, or one far out, make neither many nor large slices."""
     mixed = spark.range(20_000).selectExpr(
-        "double(id % 20) machine_ts", "(id * 7919) % 20000 log_offset")
+        "double(id % 20) machine_ts", "(id * 7919) % 20000 log_offset", "id % 5 pid")
     far = spark.range(20_000).selectExpr(
-        "5.0D machine_ts", "if(id = 7, 1000000000000, id) log_offset")
+        "5.0D machine_ts", "if(id = 7, 1000000000000, id) log_offset", "id % 5 pid")
     for events in (mixed, far):
         slices = plan_slices(events, 100)
         sized = slices.assign(events).groupBy("slice").agg(

@@ -457,7 +457,8 @@ def _control(
     control = started.unionByName(ended, allowMissingColumns=True)
     if carried is None:
         return control
-    seeds = slices.assign(carried).withColumn("op", F.lit("open"))
+    pid = F.substring_index(c("owner").cast("string"), "@", 1).cast("bigint")
+    seeds = slices.assign(carried.withColumn("pid", pid)).drop("pid").withColumn("op", F.lit("open"))
     return control.unionByName(seeds, allowMissingColumns=True)
 
 

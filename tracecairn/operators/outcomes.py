@@ -9,9 +9,6 @@ from tracecairn.functions.syscalls import is_open_op
 from tracecairn.functions.text import outcome_note
 from tracecairn.operators.descriptors import Descriptors, attach_sessions, with_base
 
-OUTCOME_STATUS = ("ok", "skipped", "failed")
-
-
 def outcomes(state: Descriptors, notes: bool = False) -> DataFrame:
     """One row per selected event: ``action, status, reason`` and the session it used.
 

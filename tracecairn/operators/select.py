@@ -17,9 +17,16 @@ def passes(opts: TraceOptions) -> Column:
     return F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
 
 
-def keep_pids(events: DataFrame, pids: DataFrame) -> DataFrame:
-    """The pid filter for lists too long for a predicate: a table with a ``pid`` column."""
-    return events.join(pids.select("pid").distinct(), "pid", "left_semi")
+def keep_pids(events: DataFrame, pids: DataFrame, copies: int = 16) -> DataFrame:
+    """The pid filter for lists too long for a predicate: a table with a ``pid`` column.
+
+    The list is there ``copies`` times, so that a process's rows go to as many tasks.
+    """
+    listed = pids.select("pid").distinct().withColumn("_copy", F.explode(
+        F.sequence(F.lit(0), F.lit(copies - 1))))
+    dealt = events.withColumn("_copy", F.pmod(F.xxhash64("machine_ts", "log_offset"), F.lit(copies)
+                                              ).cast("int"))
+    return dealt.join(listed, ["pid", "_copy"], "left_semi").select(events.columns)
 
 
 def select_events(events: DataFrame, opts: TraceOptions, slices: TimeSlices) -> DataFrame:

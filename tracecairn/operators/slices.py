@@ -40,13 +40,16 @@ class TimeSlices:
     """Cut points on ``machine_ts``.
 
     Where single timestamps have more rows than a slice should have, ``fine`` cuts once more: on
-    the number of a row's slice plus the place of its ``log_offset`` between ``low`` and ``high``.
+    the number of a row's slice plus the place of its ``log_offset`` between ``low`` and ``high``, and
+    of its ``pid`` between ``low_pid`` and ``high_pid`` among rows that share the offset too.
     """
 
     cuts: tuple[float, ...] = ()
     fine: tuple[float, ...] = ()
     low: int = 0
     high: int = 0
+    low_pid: int = 0
+    high_pid: int = 0
 
     @property
     def several(self) -> bool:
@@ -77,9 +80,14 @@ class TimeSlices:
 
     def _keyed(self, df: DataFrame) -> DataFrame:
         """Doubles round in order, so equal or close offsets at worst share a slice."""
-        span = max(1.0, float(self.high - self.low))
-        place = (F.col("log_offset") - F.lit(float(self.low))) / F.lit(span)
-        place = F.least(F.greatest(place, F.lit(0.0)), F.lit(1.0))
+        def between(name: str, low: int, high: int) -> Column:
+            steps = F.col(name) - F.lit(float(low))
+            return F.least(F.greatest(steps, F.lit(0.0)), F.lit(float(high - low)))
+
+        process = between("pid", self.low_pid, self.high_pid) / F.lit(
+            float(self.high_pid - self.low_pid) + 1.0)
+        place = (between("log_offset", self.low, self.high) + process) / F.lit(
+            float(self.high - self.low) + 1.0)
         return df.withColumn(_KEY, F.col(SLICE) + place * F.lit(_BELOW_ONE))
 
 
@@ -95,18 +103,21 @@ def plan_slices(events: DataFrame, rows_per_slice: int) -> TimeSlices:
     if wanted <= 1:
         return TimeSlices()
     share = min(1.0, max(wanted * SAMPLED_ROWS_PER_SLICE, MIN_SAMPLE) / rows)
-    keys = events.select("machine_ts", "log_offset")
+    keys = events.select("machine_ts", "log_offset", "pid")
     keys = keys if share == 1.0 else keys.sample(share, seed=1)
 
     def quantiles(column: str) -> Column:
         return F.percentile_approx(
             column, [i / wanted for i in range(1, wanted)], max(10_000, 10 * wanted))
 
-    row = keys.agg(quantiles("machine_ts").alias("cuts"), F.min("log_offset").alias("low"),
-                   F.max("log_offset").alias("high")).first()
+    row = keys.agg(
+        quantiles("machine_ts").alias("cuts"), F.min("log_offset").alias("low"),
+        F.max("log_offset").alias("high"), F.min("pid").alias("low_pid"),
+        F.max("pid").alias("high_pid")).first()
     found, heavy = slices_from_quantiles(row["cuts"] or (), row["low"] or 0, row["high"] or 0)
     if not heavy:
         return found
+    found = replace(found, low_pid=row["low_pid"] or 0, high_pid=row["high_pid"] or 0)
     keyed = found._keyed(_bucket(keys, found.cuts, "machine_ts", SLICE))
     fine = keyed.agg(quantiles(_KEY).alias("fine")).first()["fine"] or ()
     # Whole numbers keep the cuts by time, so that no slice joins parts of two.

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from tracecairn.functions.numbers import moved_bytes
+from tracecairn.operators.storage import remove, scratch_path
 from tracecairn.options import BUCKET_SECONDS, TraceOptions
 from tracecairn.schema import stored_schema
 from tracecairn.sources.normalize import normalize, row_filter
@@ -104,6 +105,14 @@ class BucketStream:
         return events.writeStream.foreachBatch(self.process)
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
+        """Read the micro-batch once, into a table that goes when the batch is done."""
+        spark = batch.sparkSession
+        path = scratch_path(spark, "micro-batch")
+        batch.write.parquet(path)
+        self._process(spark.read.schema(batch.schema).parquet(path), batch_id)
+        remove(spark, path)
+
+    def _process(self, batch: DataFrame, batch_id: int) -> None:
         before = self._reached(batch.sparkSession, batch_id)
         ended = (F.floor(F.col("machine_ts") / BUCKET_SECONDS) + 1) * BUCKET_SECONDS
         late = F.lit(False) if before is None else F.coalesce(
@@ -117,7 +126,12 @@ class BucketStream:
                  F.coalesce(F.sum(F.when(is_io, moved_bytes(F.col("ret")))), F.lit(0))
                  .alias("io_bytes")),
             "partials", batch_id)
-        self._write(batch.agg(F.max("machine_ts").alias("high")), "marks", batch_id)
+        high = F.max("machine_ts")
+        if before is not None:   # the clock never goes back, so older marks are not asked for
+            high = F.greatest(high, F.lit(before))
+        self._write(batch.agg(high.alias("high")), "marks", batch_id)
+        if batch_id > 1:
+            remove(batch.sparkSession, f"{self.table('marks')}/batch={batch_id - 2}")
 
     def totals(self, spark: SparkSession) -> DataFrame:
         parts = spark.read.parquet(self.table("partials"))
