@@ -1,18 +1,22 @@
 """Approximate nearest neighbours by cosine, with a forest of hash prefixes.
 
 Every tree gives a vector a string of BITS bits, the signs of random projections; vectors that are close
-share long prefixes. A tree's strings are kept sorted, in leaves: the shortest prefixes with at most ``leaf``
-vectors, but none longer than the depth at which recall holds. That depth is measured: a sample of
-queries is compared with every entry, and the depth is the largest at which TARGET of their nearest k
-share a prefix of that length with them in some tree. So leaves grow with the table where its neighbours
-ask for it. A query descends each tree to where its string belongs, all trees ascend to the tops of their
-leaves, and what was met is ranked by its exact cosine.
+share long prefixes. A tree's strings are kept sorted. A query descends each tree to the longest prefix
+that its string shares with an entry; then all trees ascend together, one bit at a time, until the
+prefixes of that length hold enough entries in all trees together (an entry counts once for each tree).
+What they hold is ranked by its exact cosine.
 
-With ``candidates`` all trees ascend together, from the longest common prefix to shorter ones, only until
-so many have been met (a neighbour counts once for each tree); recall is then not held.
+How many are enough is measured: a sample of queries is compared with every entry, and the number is the
+least with which TARGET of their nearest k are met. It grows with the table where its neighbours
+ask for it. ``candidates`` gives the number instead; recall is then not held.
 
-Equal vectors are one entry with its lowest ids, so groups of copies don't crowd a leaf. Leaves of more
-than ``leaf`` entries are cut into blocks of at most about ``leaf``, and their queries visit each block.
+The sorted strings lie in leaves: the shortest prefixes with at most ``leaf`` entries, but none longer
+than the depth down to which FLOOR_TARGET of the sample's neighbours share a prefix. Ascents end at
+the tops of their leaves at the latest. Large leaves are cut into blocks of entries and of queries.
+First the ascents are counted on strings alone; vectors are then joined once, and each query ranks a slice of
+the sorted strings of its block.
+
+Equal vectors are one entry with its lowest ids, so groups of copies don't crowd a leaf.
 
 Vectors that are null or zero, or that hold null or non-finite components, take no part, neither do rows with
 a null id; vectors of different lengths never meet. Repeated rows (same id) count once. Ties go to the
@@ -34,8 +38,13 @@ from tracecairn.operators.storage import materialize
 
 TREES, BITS = 40, 48
 LEAF = 4096
-#: Queries that are compared with every entry, and the share of their nearest that must be met.
-SAMPLE, TARGET = 256, 0.95
+#: Queries that are compared with every entry, the share of their nearest that must be met, and the
+#: share that must lie in their leaves.
+SAMPLE, TARGET, FLOOR_TARGET = 256, 0.95, 0.98
+#: Numbers in the vectors of one block, of entries and of queries alike: 16 MB as doubles.
+BLOCK_NUMBERS = 2_000_000
+#: More than any number of entries.
+ALL = 1 << 62
 SEED = 5
 
 
@@ -81,15 +90,18 @@ def _forest(groups: DataFrame) -> DataFrame:
     return groups.select("id", "vector").mapInArrow(run, "id long, tree int, size int, h long")
 
 
-def depth_for(met: np.ndarray, target: float = TARGET) -> int:
+def depth_for(met: np.ndarray, target: float = FLOOR_TARGET) -> int:
     """Largest depth that ``target`` of the neighbours reach; ``met``: their longest common prefixes."""
     depths = np.arange(BITS + 1)
     share = (met[:, None] >= depths).mean(0)
     return int(depths[share >= target].max())
 
 
-def held_depths(groups: DataFrame, k: int) -> dict[int, int]:
-    """Depth to which leaves of each vector size may go; size 0 holds for sizes outside the sample."""
+def held_depths(groups: DataFrame, k: int) -> tuple[dict[int, int], pd.DataFrame]:
+    """Depth to which leaves of each vector size may go; size 0 holds for sizes outside the sample.
+
+    Also the sample's nearest as (query, size, met), at most SAMPLE * k rows.
+    """
     sample = (groups.where("asked").select("id", "vector")
               .orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect())
     own: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -130,68 +142,100 @@ def held_depths(groups: DataFrame, k: int) -> dict[int, int]:
                     ["query", "score", "met", "size"])
 
     if not own:
-        return {0: BITS}
+        return {0: BITS}, pd.DataFrame({"query": [], "size": [], "met": []}, dtype="int64")
     best = Window.partitionBy("query").orderBy(F.desc("score"), F.desc("met"))
     found = (groups.select("id", "vector")
              .mapInArrow(run, "query long, score double, met int, size int")
              .withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
-             .select("size", "met").toPandas())
+             .select("query", "size", "met").toPandas())
     depths = {int(size): depth_for(part.to_numpy()) for size, part in found.groupby("size")["met"]}
-    return {0: min(depths.values(), default=BITS)} | depths
-
-
-def _best(members: pd.DataFrame, keep: int) -> pd.DataFrame:
-    """Each query's best entries within one leaf."""
-    asked = members[members["role"] == 1]
-    held = members[members["role"] == 0]
-    out = []
-    if len(asked) and len(held):
-        x = np.stack(held["vector"].to_numpy()).astype(float)
-        norm = np.sqrt((x * x).sum(1))
-        ids, n = held["id"].to_numpy(), min(keep, len(held))
-        for a in range(0, len(asked), 256):
-            part = asked.iloc[a:a + 256]
-            q = np.stack(part["vector"].to_numpy()).astype(float)
-            cosine = (q @ x.T) / (np.sqrt((q * q).sum(1))[:, None] * norm)
-            least = -np.partition(-cosine, n - 1, axis=1)[:, n - 1]
-            for own, score, cut in zip(part["id"], cosine, least):
-                at = np.flatnonzero(score >= cut)
-                best = at[np.lexsort((ids[at], -score[at]))[:n]]
-                out.append((own, 0, len(held), ids[best].tolist()))
-    return pd.DataFrame(out, columns=["query", "level", "n", "ids"])
-
-
-def _meet(keep: int, by_level: bool):
+    return {0: min(depths.values(), default=BITS)} | depths, found
+
+
+def _of_role(members: pd.DataFrame, role: int) -> pd.DataFrame:
+    return members[members["role"] == role]
+
+
+def _levels(members: pd.DataFrame) -> pd.DataFrame:
+    """Entries of one block that share at least 0, 1, ... BITS bits with each query's string."""
+    asked, held = _of_role(members, 1), np.sort(_of_role(members, 0)["h"].to_numpy())
+    own = asked["h"].to_numpy()
+    out = {"query": asked["id"].to_numpy()}
+    for depth in range(BITS + 1):
+        first, last = spans(held, own, depth)
+        out[f"c{depth}"] = last - first
+    return pd.DataFrame(out)
+
+
+def spans(held: np.ndarray, own: np.ndarray, depth: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the strings that share ``depth`` bits with ``own`` begin and end in sorted ``held``."""
+    free = np.asarray(BITS - depth, np.int64)
+    low = (own >> free) << free
+    return np.searchsorted(held, low), np.searchsorted(held, low + (np.int64(1) << free))
+
+
+def _meet(keep: int):
     def run(members: pd.DataFrame) -> pd.DataFrame:
-        """Each query's best entries and their number, by common prefix, within one leaf."""
-        if not by_level:
-            return _best(members, keep)
-        asked = members[members["role"] == 1]
-        held = members[members["role"] == 0].sort_values("h", kind="stable")
+        """Each query's best entries among those of one block that its ascent has reached."""
+        asked, held = _of_role(members, 1), _of_role(members, 0).sort_values("h", kind="stable")
         out = []
         if len(asked) and len(held):
             x = np.stack(held["vector"].to_numpy()).astype(float)
-            norm = np.sqrt((x * x).sum(1))
-            h, ids = held["h"].to_numpy(), held["id"].to_numpy()
-            for a in range(0, len(asked), 256):
-                part = asked.iloc[a:a + 256]
-                q = np.stack(part["vector"].to_numpy()).astype(float)
-                cosine = (q @ x.T) / (np.sqrt((q * q).sum(1))[:, None] * norm)
-                for i, (own, at) in enumerate(zip(part["id"], part["h"])):
-                    level = common_prefix(h, np.int64(at))
-                    order = np.lexsort((ids, -cosine[i], -level))
-                    sorted_level = level[order]
-                    heads = np.flatnonzero(np.concatenate(
-                        ([True], sorted_level[1:] != sorted_level[:-1])))
-                    many = np.diff(np.concatenate((heads, [len(order)])))
-                    for head, n in zip(heads.tolist(), many.tolist()):
-                        best = order[head:head + min(keep, n)]
-                        out.append((own, int(sorted_level[head]), n, ids[best].tolist()))
-        return pd.DataFrame(out, columns=["query", "level", "n", "ids"])
+            x /= np.sqrt((x * x).sum(1))[:, None]
+            ids = held["id"].to_numpy()
+            first, last = spans(held["h"].to_numpy(), asked["h"].to_numpy(),
+                                asked["stop"].to_numpy())
+            for own, q, a, b in zip(asked["id"], asked["vector"], first, last):
+                if a == b:
+                    continue
+                cosine = x[a:b] @ np.asarray(q, float)
+                n = min(keep, len(cosine))
+                at = np.flatnonzero(cosine >= -np.partition(-cosine, n - 1)[n - 1])
+                best = at[np.lexsort((ids[a:b][at], -cosine[at]))[:n]]
+                out.append((own, ids[a:b][best].tolist()))
+        return pd.DataFrame(out, columns=["query", "ids"])
 
     return run
 
 
+def stops(levels: DataFrame, needed: Column) -> DataFrame:
+    """(query, stop): the largest depth at which all trees together hold ``needed`` entries, else 0."""
+    sums = levels.groupBy("query", "size").agg(
+        *(F.sum(f"c{d}").alias(f"c{d}") for d in range(BITS + 1)))
+    stop = F.coalesce(*(F.when(F.col(f"c{d}") >= needed, d) for d in range(BITS, -1, -1)), F.lit(0))
+    return sums.select("query", stop.alias("stop"))
+
+
+def needed_for(found: pd.DataFrame, levels: pd.DataFrame, depths: dict[int, int],
+               target: float = TARGET) -> dict[int, int]:
+    """Entries to meet, by vector size, so that ``target`` of the sample's neighbours are among them.
+
+    A neighbour is met if the ascent does not end before the longest prefix it shares, so unless the
+    next longer prefixes hold enough already. Where leaves end too early for the target, all of them.
+    """
+    sums = levels.groupby("query").sum()
+    out = {}
+    for size, part in found.groupby("size"):
+        floor = depths.get(int(size), depths[0])
+        rows = sums.reindex(part["query"])[[f"c{d}" for d in range(BITS + 1)]].to_numpy()
+        rows = np.concatenate((rows, np.zeros((len(rows), 1))), axis=1)
+        met = part["met"].to_numpy()
+        need = np.where(met >= floor, rows[np.arange(len(met)), met + 1] + 1, np.inf)
+        at = int(np.ceil(target * len(need))) - 1
+        worst = np.sort(need)[at]
+        out[int(size)] = int(worst) if np.isfinite(worst) else ALL
+    return {0: max(out.values(), default=ALL)} | out
+
+
+def by_size(values: dict[int, int]) -> Column:
+    """The value for a row's ``size``; that of size 0 holds for sizes outside the sample."""
+    out = F.lit(values[0])
+    for size, value in values.items():
+        if size:
+            out = F.when(F.col("size") == size, F.lit(value)).otherwise(out)
+    return out
+
+
 def nearest(rows: DataFrame, is_query: Column, k: int = 5, leaf: int = LEAF,
             candidates: int | None = None, id_col: str = "vec_id",
             vector_col: str = "embedding") -> DataFrame:
@@ -207,41 +251,51 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, leaf: int = LEAF,
         F.col("r") <= k + 1).distinct().groupBy("vector").agg(F.collect_list("vid").alias("copies"))
     copies = materialize(groups.join(few, "vector").select("id", "copies"), "copies")
 
-    tree = materialize(_forest(groups), "forest").withColumn("weight", F.lit(1).cast("long"))
-    placed = directory(tree, leaf, ["tree", "size"], BITS)
+    forest = materialize(_forest(groups), "forest").withColumn("weight", F.lit(1).cast("long"))
+    placed = directory(forest, leaf, ["tree", "size"], BITS)
+    depths, sample = held_depths(groups, k) if candidates is None else ({0: BITS}, None)
+    node = ["tree", "size", "depth", "leaf"]
+    placed = placed.withColumn("depth", F.least("depth", by_size(depths))).withColumn(
+        "leaf", F.expr(f"shiftright(h, {BITS} - least(depth, {BITS}))")).join(
+        groups.select("id", "asked"), "id")
+    # Leaves at the depth that recall needs, and strings that no prefix separates: entries and
+    # queries are cut into as many blocks as their numbers ask for, each of these meets each of those.
+    per_block = F.greatest(F.lit(1), F.floor(F.lit(BLOCK_NUMBERS) / F.col("size")))
+    over = (placed.groupBy(*node).agg(
+        F.ceil(F.count("*") / F.first(per_block)).cast("int").alias("blocks"),
+        F.ceil(F.count_if("asked") / F.first(per_block)).cast("int").alias("parts"))
+        .where("parts > 0"))
+    # Leaves without a query meet nobody.
+    placed = materialize(placed.join(over, node).select(
+        *node, "blocks", "parts", "id", "h", "asked"), "leaves")
+    mix = F.xxhash64("id")
+    as_entry = F.expr("transform(sequence(0, parts - 1), p -> struct(0 AS role, own AS block, p AS part))")
+    as_query = F.expr("transform(sequence(0, blocks - 1), b -> struct(1 AS role, b AS block, mine AS part))")
+
+    def spread(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("own", F.pmod(mix, F.col("blocks")).cast("int")).withColumn(
+            "mine", F.pmod(mix, F.col("parts")).cast("int")).withColumn(
+            "seat", F.explode(F.when(F.col("asked"), F.concat(as_entry, as_query)).otherwise(as_entry))
+        ).select("*", "seat.*").drop("seat", "own", "mine")
+
+    cell = [*node, "block", "part"]
+    schema = "query long, " + ", ".join(f"c{d} long" for d in range(BITS + 1))
+    levels = materialize(
+        spread(placed).select(*cell, "role", "id", "h").groupBy(*cell).applyInPandas(_levels, schema)
+        .join(groups.where("asked").select(F.col("id").alias("query"), F.size("vector").alias("size")),
+              "query"), "levels")
     if candidates is None:
-        depths = held_depths(groups, k)
-        most = F.lit(depths.pop(0))
-        for size, depth in depths.items():
-            most = F.when(F.col("size") == size, depth).otherwise(most)
-        placed = placed.withColumn("depth", F.least("depth", most))
-    placed = placed.withColumn("leaf", F.expr(f"shiftright(h, {BITS} - least(depth, {BITS}))"))
-    # Leaves at the depth that recall needs, and strings that no prefix separates: as many blocks
-    # as their entries need.
-    over = (placed.groupBy("tree", "size", "depth", "leaf")
-            .agg(F.ceil(F.count("*") / leaf).cast("int").alias("blocks")).where("blocks > 1"))
-    placed = placed.join(over, ["tree", "size", "depth", "leaf"], "left").withColumn(
-        "blocks", F.coalesce("blocks", F.lit(1)))
-    full = materialize(placed.join(groups, "id").select(
-        "tree", "size", "depth", "leaf", "blocks", "id", "h", "vector", "asked"), "leaves")
-    members = full.withColumn("role", F.lit(0)).withColumn(
-        "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    queries = full.where("asked").withColumn("role", F.lit(1)).withColumn(
-        "block", F.explode(F.expr("sequence(0, blocks - 1)")))
-    columns = ["tree", "size", "depth", "leaf", "block", "role", "id", "h", "vector"]
-    met = members.select(*columns).unionByName(queries.select(*columns)).groupBy(
-        "tree", "size", "depth", "leaf", "block").applyInPandas(
-        _meet(k + 1, candidates is not None), "query long, level int, n long, ids array<long>")
+        asked_ids = [int(i) for i in sample["query"].unique()]
+        of_sample = levels.where(F.col("query").isin(asked_ids)).groupBy("query").agg(
+            *(F.sum(f"c{d}").alias(f"c{d}") for d in range(BITS + 1))).toPandas()
+        needed = by_size(needed_for(sample, of_sample, depths))
+    else:
+        needed = F.lit(candidates)
+    reached = stops(levels, needed).withColumnRenamed("query", "id")
+    met = spread(placed.join(reached, "id", "left").join(groups.select("id", "vector"), "id")).select(
+        *cell, "role", "id", "h", "stop", "vector").groupBy(*cell).applyInPandas(
+        _meet(k + 1), "query long, ids array<long>")
     met = materialize(met, "met")
-
-    if candidates is not None:
-        # All trees ascend together: levels from the longest prefix until enough have been met.
-        deeper = Window.partitionBy("query").orderBy(F.desc("level")).rowsBetween(
-            Window.unboundedPreceding, -1)
-        levels = met.groupBy("query", "level").agg(F.sum("n").alias("n")).withColumn(
-            "before", F.coalesce(F.sum("n").over(deeper), F.lit(0))).where(
-            F.col("before") < candidates).select("query", "level")
-        met = met.join(levels, ["query", "level"])
     found = met.select("query", F.explode("ids").alias("id")).distinct()
     vectors = groups.select("id", F.col("vector").alias("v"))
     asked = clean.where("asked").select("vid", "vector").distinct().join(
