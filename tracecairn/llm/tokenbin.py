@@ -242,8 +242,10 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     """
     spark = docs.sparkSession
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if "://" not in folder and not folder.startswith("file:"):
-        folder = f"file://{folder}"
+    # A folder without a scheme is on the cluster's own file system, where Spark also reads it.
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    folder = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(
+        target).toString().replace("file:/", "file:///", 1).replace("file://///", "file:///", 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sink, path = None, f"{folder}/{uuid.uuid4().hex}.ids"
