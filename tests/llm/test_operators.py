@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,6 +237,23 @@ def test_mix_is_dense_and_whole(spark):
         pfair.interleave(docs, {"big": 0})
 
 
+def test_mix_splits_an_id_with_a_third_of_the_rows(spark):
+    rows = [(i, "t", None, "a", 0) for i in range(400)]
+    rows += [(7, f"hot {i}", None, "a", i) for i in range(200)] + [(None, f"none {i}", None, "a", 0) for i in range(90)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = pfair.interleave(docs, {"a": 1}, 4, rows_per_bucket=20).collect()
+    assert sorted(r["mix_position"] for r in got) == list(range(len(rows)))
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((r[0], r[1]) for r in rows)
+    whole = pfair.interleave(docs, {"a": 1}, 4, rows_per_bucket=10**6).collect()
+    by_id = [[r["doc_id"] for r in sorted(x, key=lambda r: r["mix_position"])] for x in (got, whole)]
+    assert by_id[0] == by_id[1]
+    named = docs.withColumn("mix_source", F.col("source")).withColumn(
+        "_h", pfair.hash60(F.col("doc_id"), 7))
+    cells = pfair.split_crowded(named, F.shiftright("_h", pfair.HASH_BITS - 6), F.xxhash64("text"), 20)
+    largest = cells.groupBy("_bucket", "_own", "_part").count().agg(F.max("count")).first()[0]
+    assert largest <= 40
+
+
 # -- extendible hashing -------------------------------------------------------------------------
 
 @pytest.mark.parametrize("limit", [50, 1000, 10**9])
@@ -459,6 +477,43 @@ def test_forest_holds_recall_when_leaves_are_small_beside_the_table(spark):
     assert len(want & {(r["query_id"], r["vec_id"]) for r in got}) >= 0.9 * len(want)
 
 
+def test_spans_hold_the_strings_that_share_a_prefix():
+    rng = np.random.default_rng(3)
+    held = np.sort(rng.integers(0, 1 << lshforest.BITS, 500))
+    own = np.concatenate((held[:5], rng.integers(0, 1 << lshforest.BITS, 20),
+                          [0, (1 << lshforest.BITS) - 1]))
+    for depth in (0, 1, 3, 7, lshforest.BITS):
+        first, last = lshforest.spans(held, own, depth)
+        for q, a, b in zip(own, first, last):
+            shared = lshforest.common_prefix(held, np.int64(q)) >= depth
+            assert np.flatnonzero(shared).tolist() == list(range(a, b))
+
+
+def test_trees_ascend_together_until_enough_entries_are_met(spark):
+    deep = [("query", "long"), ("size", "int"), *((f"c{d}", "long") for d in range(lshforest.BITS + 1))]
+
+    def row(query, *counts):
+        return (query, 4, *counts, *[0] * (lshforest.BITS + 1 - len(counts)))
+
+    levels = spark.createDataFrame(
+        [row(1, 50, 20, 5, 1), row(1, 50, 10, 2, 1), row(2, 50, 3), row(2, 50, 1), row(3, 2)],
+        ", ".join(f"{n} {t}" for n, t in deep))
+    got = {r["query"]: r["stop"] for r in lshforest.stops(levels, F.lit(7)).collect()}
+    assert got == {1: 2, 2: 0, 3: 0}
+
+
+def test_the_number_to_meet_reaches_the_target(spark):
+    names = [f"c{d}" for d in range(lshforest.BITS + 1)]
+    sums = pd.DataFrame([[1, *([100, 40, 10, 4] + [1] * 45)], [2, *([100, 60, 30, 2] + [1] * 45)]],
+                        columns=["query", *names])
+    found = pd.DataFrame({"query": [1, 1, 2, 2], "size": [8] * 4, "met": [3, 1, 2, 1]})
+    # Needed: one above what the next longer prefix holds: 2, 11, 3 and 31.
+    for target, want in ((1.0, 31), (0.75, 11), (0.5, 3)):
+        assert lshforest.needed_for(found, sums, {0: 1, 8: 1}, target) == {0: want, 8: want}
+    # Leaves at two bits hide the neighbours that share one.
+    assert lshforest.needed_for(found, sums, {0: 2, 8: 2}, 1.0)[8] == lshforest.ALL
+
+
 # -- quality rules ------------------------------------------------------------------------------
 
 def brute_counts(text):

@@ -11,7 +11,8 @@ no row is dropped or repeated. Sources without a weight, null included, share th
 
 Rank within a source is counted in two steps, so that a source with most of the rows is spread: rows
 fall into buckets by the leading bits of a hash of their id, are numbered inside, and buckets have
-offsets. The tables sent to all tasks hold one row for each unit of weight and phase.
+offsets. A bucket crowded by one id (null included) is cut again by a hash of the whole row; only rows that are
+equal in all columns stay together. The tables sent to all tasks hold one row for each unit of weight and phase.
 
 Rows with the same id (null included) are ordered by a hash of all their columns; equal rows are
 interchangeable. Empty tables give empty results. Result columns replace columns of their names.
@@ -24,6 +25,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracecairn.operators.storage import materialize
+
 OTHER = "*"
 HASH_BITS = 60
 ROWS_PER_BUCKET = 50_000
@@ -74,6 +77,40 @@ def hash60(value: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
+def split_crowded(rows: DataFrame, bucket: Column, tie: Column, rows_per_bucket: int) -> DataFrame:
+    """``rows`` with _bucket, _own and _part, in the order of _h and ``tie``.
+
+    A bucket with over twice ``rows_per_bucket`` rows holds an id with many rows: there each hash is a part
+    of its own, cut by the leading bits of ``tie``. Elsewhere _own and _part are 0.
+    """
+    sizes = materialize(rows.groupBy("mix_source", bucket.alias("_bucket")).agg(
+        F.count("*").alias("n")), "buckets")
+    crowded = sizes.where(F.col("n") > 2 * rows_per_bucket).select(
+        "mix_source", "_bucket", F.ceil(F.log2(F.col("n") / rows_per_bucket)).cast("int").alias("_bits"))
+    rows = rows.withColumn("_bucket", bucket)
+    if not crowded.limit(1).count():
+        return rows.withColumn("_own", F.lit(0).cast("long")).withColumn("_part", F.lit(0).cast("long"))
+    part = F.expr("shiftright(_tie, 64 - _bits) + shiftleft(1L, _bits - 1)")
+    return (rows.join(crowded, ["mix_source", "_bucket"], "left").withColumn("_tie", tie)
+            .withColumn("_own", F.when(F.col("_bits").isNotNull(), F.col("_h")).otherwise(0))
+            .withColumn("_part", F.coalesce(part, F.lit(0).cast("long"))).drop("_bits", "_tie"))
+
+
+def ranked(rows: DataFrame, bucket: Column, tie: Column, id_col: str,
+           rows_per_bucket: int) -> DataFrame:
+    """``rows`` with _rank within mix_source, by _h and, for one id, by ``tie``."""
+    cell = ["_bucket", "_own", "_part"]
+    rows = split_crowded(rows, bucket, tie, rows_per_bucket)
+    before = Window.partitionBy("mix_source").orderBy(*cell).rowsBetween(
+        Window.unboundedPreceding, -1)
+    offsets = (rows.groupBy("mix_source", *cell).agg(F.count("*").alias("n"))
+               .withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"))
+    inside = Window.partitionBy("mix_source", *cell).orderBy("_h", id_col, tie)
+    return (rows.withColumn("_in", F.row_number().over(inside) - 1)
+            .join(offsets, ["mix_source", *cell])
+            .withColumn("_rank", F.col("_before") + F.col("_in")))
+
+
 def interleave(docs: DataFrame, weights: dict[str, int], block_docs: int = 16, seed: int = 7,
                source_col: str = "source", id_col: str = "doc_id",
                rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
@@ -87,23 +124,13 @@ def interleave(docs: DataFrame, weights: dict[str, int], block_docs: int = 16, s
     named = [s for s in weights if s != OTHER]
     rows = rows.withColumn("mix_source", F.when(source.isin(named), source).otherwise(OTHER)
                            ).withColumn("_h", hash60(F.col(id_col), seed))
-    narrow = rows.select("mix_source", "_h")
     sizes = {r["mix_source"]: r["n"] for r in
-             narrow.groupBy("mix_source").agg(F.count("*").alias("n")).collect()}
+             rows.groupBy("mix_source").agg(F.count("*").alias("n")).collect()}
     bits = min(30, max(0, math.ceil(math.log2(max(1, sum(sizes.values()) / rows_per_bucket)))))
-    bucket = F.shiftright("_h", HASH_BITS - bits)
-    before = Window.partitionBy("mix_source").orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = (narrow.groupBy("mix_source", bucket.alias("_bucket")).agg(F.count("*").alias("n"))
-               .withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"))
-    inside = Window.partitionBy("mix_source", "_bucket").orderBy(
-        "_h", id_col, F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns if c not in RESULTS
-                                   and docs.schema[c].dataType.typeName() not in ("map", "variant"))))
-    rows = (rows.withColumn("_bucket", bucket)
-            .withColumn("_in", F.row_number().over(inside) - 1)
-            .join(offsets, ["mix_source", "_bucket"])
-            .withColumn("_rank", F.col("_before") + F.col("_in"))
-            .withColumn("mix_block", F.expr(f"_rank div {block_docs}")))
+    columns = [F.col(f"`{c}`") for c in docs.columns if c not in RESULTS
+               and docs.schema[c].dataType.typeName() not in ("map", "variant")]
+    rows = ranked(rows, F.shiftright("_h", HASH_BITS - bits), F.xxhash64(*columns), id_col,
+                  rows_per_bucket).withColumn("mix_block", F.expr(f"_rank div {block_docs}"))
 
     spans, places = phases(weights, {s: -(-n // block_docs) for s, n in sizes.items()})
     slots = spark.createDataFrame(
