@@ -527,6 +527,25 @@ def brute_counts(text):
             len(lines) - len(set(lines)), len(covered))
 
 
+def prose_and_junk(spark, n_prose, junk):
+    rng = random.Random(21)
+    texts = [prose(rng, 60) for _ in range(n_prose)] + [prose(rng, 60) + " # & % #" * 8 for _ in range(n_prose // 10)]
+    return docs_of(spark, texts + junk), n_prose
+
+
+def test_a_third_of_the_rows_with_one_fault_does_not_make_it_good(spark):
+    rng = random.Random(22)
+    docs, n = prose_and_junk(spark, 300, [prose(rng, 60).upper() for _ in range(165)])
+    got = quality.judge(docs).select("doc_id", "kept").collect()
+    assert {r["doc_id"] for r in got if r["kept"]} == set(range(n))
+
+
+def test_copies_of_a_junk_text_do_not_outvote_the_rest(spark):
+    docs, n = prose_and_junk(spark, 300, [prose(random.Random(23), 60).upper()] * 1200)
+    got = quality.judge(docs).select("doc_id", "kept").collect()
+    assert {r["doc_id"] for r in got if r["kept"]} == set(range(n)) and len(got) == docs.count()
+
+
 def test_quality_counts_match_brute_force(spark):
     rng = random.Random(10)
     texts = [*ODD, *ODD[:4]]

@@ -3,16 +3,17 @@
 Each rule looks at a few counts of a text and votes good (1), bad (-1) or abstains (0). Nothing says which
 rule is right: expectation-maximisation over the vote patterns estimates how often each rule casts
 each vote on good and on bad documents, and the posterior probability of a good document replaces
-the demand that every rule pass. It starts from that demand and is held by weak prior accuracies,
-so that the two classes keep their meaning. Abstaining says nothing about a document: bad ones have
+the demand that every rule pass. It starts from that demand; prior rates and a prior share of good documents, which
+weigh as much as the corpus, let the two classes keep their meaning. Abstaining says nothing about a document: bad ones have
 one fault each, as a rule, and silence of the other rules must not outvote it.
 
 Everything is DataFrame expressions. The patterns are at most 3 ** len(RULES) rows however large the
-corpus, counted in the tasks first; each round is one aggregation over them, and the driver carries the
+corpus, counted after one shuffle of text hashes; each round is one aggregation over them, and the driver carries the
 rules' few rates from round to round. Counts cover all documents.
 
-Null and empty texts have no words, fail the base rule and are not kept. Repeated rows count as
-often as they occur. Columns of ``docs`` with the names of results are replaced.
+The rates are fitted on distinct texts (told apart by a 64-bit hash), so that copies of one text don't
+outvote the rest; every row gets its verdict. Null and empty texts have no words, fail the base
+rule and are not kept. Columns of ``docs`` with the names of results are replaced.
 """
 
 from __future__ import annotations
@@ -50,10 +51,8 @@ PRIOR_BAD, PRIOR_GOOD, PRIOR_WEIGHT = (0.005, 0.3), (0.5, 0.4), 1.0
 #: Starting posterior without, with one, and with more bad votes.
 START = (0.95, 0.05, 0.01)
 CUT = 0.5
-#: Share of good documents before any vote. It is given, not estimated: where most rules abstain,
-#: votes alone don't settle it.
+#: Prior share of good documents; the share is estimated with it, at the weight of the rates.
 GOOD_SHARE = 0.8
-PRIOR_ODDS = math.log(GOOD_SHARE / (1 - GOOD_SHARE))
 
 
 def _let(value: Column, body) -> Column:
@@ -116,9 +115,13 @@ def votes() -> list[Column]:
             for _, good, bad in RULES]
 
 
+def _share(seen: float) -> float:
+    return (seen + PRIOR_WEIGHT * GOOD_SHARE) / (1 + PRIOR_WEIGHT)
+
+
 def _posterior(rates: dict[str, float]) -> Column:
     """Posterior of a good document from the votes v0, v1, ... of a row."""
-    odds = F.lit(PRIOR_ODDS)
+    odds = F.lit(rates["odds"])
     for i in range(len(RULES)):
         odds += F.when(F.col(f"v{i}") == -1, rates[f"bad{i}"]).when(
             F.col(f"v{i}") == 1, rates[f"good{i}"]).otherwise(0.0)
@@ -140,7 +143,8 @@ def fit(patterns: DataFrame) -> Column:
         got = patterns.agg(*sums).first()
         if got["good"] is None:
             return F.lit(START[0])
-        rates = {}
+        share = _share(got["good"] / (got["good"] + got["bad"]))
+        rates = {"odds": math.log(share / (1 - share))}
         for i, v in enumerate(names):
             p = {tag: [(got[f"{v}{kind}{tag}"] / got[side] + PRIOR_WEIGHT * prior[k])
                        / (1 + PRIOR_WEIGHT)
@@ -161,17 +165,18 @@ def judge(docs: DataFrame, text_col: str = "text", carry: list[str] | None = Non
             if c not in (*COUNTS, "base_failed", "posterior", "kept")]
     names = [f"_vote{i}" for i in range(len(RULES))]
     rows = counts(docs, text_col).select(
-        *kept, *COUNTS, *(v.alias(x) for v, x in zip(votes(), names)))
+        *kept, *COUNTS, *(v.alias(x) for v, x in zip(votes(), names)),
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"))
     rows = materialize(rows, "quality")
-    patterns = rows.groupBy(*(F.col(x).alias(f"v{i}") for i, x in enumerate(names))).agg(
-        F.count("*").alias("n"))
+    patterns = rows.select(*names, "_text").distinct().groupBy(
+        *(F.col(x).alias(f"v{i}") for i, x in enumerate(names))).agg(F.count("*").alias("n"))
     posterior = fit(materialize(patterns, "patterns").coalesce(1))
     out = rows.withColumns({f"v{i}": F.col(x) for i, x in enumerate(names)})
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return (out.withColumn("base_failed", failed).withColumn("posterior", posterior)
             .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= CUT))
-            .drop(*names, *(f"v{i}" for i in range(len(RULES)))))
+            .drop("_text", *names, *(f"v{i}" for i in range(len(RULES)))))
 
 
 def sql() -> str:
@@ -197,10 +202,12 @@ def sql() -> str:
                       for tag in ("bad", "good")]
         total = " + ".join(f"CASE v{i} WHEN -1 THEN lbad{i} WHEN 1 THEN lgood{i} ELSE 0.0 END"
                            for i in range(len(RULES)))
+        share = f"((g / (g + b) + {PRIOR_WEIGHT} * {GOOD_SHARE}) / (1 + {PRIOR_WEIGHT}))"
+        rates.append(f"ln({share} / (1 - {share})) AS odds")
         steps += [
             f"s{k} AS MATERIALIZED (SELECT {', '.join(sums)} FROM p{k})",
             f"r{k} AS MATERIALIZED (SELECT {', '.join(rates)} FROM s{k})",
-            f"p{k + 1} AS MATERIALIZED (SELECT {vs}, n, 1 / (1 + exp(-({PRIOR_ODDS!r} + {total}))) AS p FROM pat, r{k})"]
+            f"p{k + 1} AS MATERIALIZED (SELECT {vs}, n, 1 / (1 + exp(-(odds + {total}))) AS p FROM pat, r{k})"]
     return rf"""
 WITH base AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
     regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -208,7 +215,7 @@ win AS (SELECT rid, i, array_to_string(list_slice(ws, i, i + {WINDOW - 1}), ' ')
     FROM base, unnest(range(1, len(ws) - {WINDOW - 2})) AS u(i)),
 rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, s) AS c FROM win) WHERE c > 1),
 cov AS (SELECT rid, count(DISTINCT i + k) AS n FROM rep, range({WINDOW}) AS r(k) GROUP BY rid),
-cnt AS (SELECT base.rid, doc_id, len(ws)::BIGINT AS n_words,
+cnt AS (SELECT base.rid, doc_id, t, len(ws)::BIGINT AS n_words,
     length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
     length(regexp_replace(t, '[^{SYMBOLS}]', '', 'g'))::BIGINT AS n_symbols,
     length(regexp_replace(t, '[^A-Z]', '', 'g'))::BIGINT AS n_capitals,
@@ -219,7 +226,7 @@ cnt AS (SELECT base.rid, doc_id, len(ws)::BIGINT AS n_words,
 f AS (SELECT *, n_lines - n_own AS n_dup_lines,
     n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM cnt),
 v AS MATERIALIZED (SELECT *, {rules} FROM f),
-pat AS MATERIALIZED (SELECT {vs}, count(*)::DOUBLE AS n FROM v GROUP BY {vs}),
+pat AS MATERIALIZED (SELECT {vs}, count(DISTINCT t)::DOUBLE AS n FROM v GROUP BY {vs}),
 {', '.join(steps)}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     NOT base_failed AND p >= {CUT} AS kept FROM v JOIN p{ROUNDS} USING ({vs})"""
