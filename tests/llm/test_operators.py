@@ -305,24 +305,28 @@ def test_written_shards_hold_every_row_once(spark, tmp_path, limit):
 
 # -- Kneser-Ney ---------------------------------------------------------------------------------
 
-def brute_kneser_ney(trusted):
-    """Plain dictionaries: probability of a character after its context, for one language."""
-    order, pad = knlm.ORDER, "\0" * (knlm.ORDER - 1)
+def brute_kneser_ney(trusted, grams):
+    """Plain dictionaries: probability of a symbol after its context, for one language."""
+    order, pad = grams.order, ("",) * (grams.order - 1)
+
+    def symbols(text):
+        return tuple(re.findall(r"[^\x20\x09-\x0D]+", text) if grams.words else text)
+
     top = Counter()
     for text in trusted:
-        s = pad + text
+        s = pad + symbols(text)
         top.update(s[i - order + 1:i + 1] for i in range(len(pad), len(s)))
     levels = {order: top}
     for k in range(order - 1, 0, -1):
         levels[k] = Counter(g[1:] for g in levels[k + 1])
     cuts, contexts = {}, {}
-    for k, grams in levels.items():
-        t = [sum(n == i for n in grams.values()) for i in range(5)]
+    for k, held in levels.items():
+        t = [sum(n == i for n in held.values()) for i in range(5)]
         y = t[1] / max(t[1] + 2 * t[2], 1)
         cuts[k] = [min(max(i - (i + 1) * y * t[i + 1] / t[i] if t[i] else 0.5 * i, 0.05), i - 0.05)
                    for i in (1, 2, 3)]
         contexts[k] = {}
-        for g, n in grams.items():
+        for g, n in held.items():
             c = contexts[k].setdefault(g[:-1], [0, 0.0, 0])
             c[0] += n
             c[1] += cuts[k][min(n, 3) - 1]
@@ -330,7 +334,7 @@ def brute_kneser_ney(trusted):
 
     def p(gram, k):
         if k == 0:
-            return 1 / (contexts[1][""][2] + 1)
+            return 1 / (contexts[1][()][2] + 1)
         c = contexts[k].get(gram[:-1])
         if c is None:
             return p(gram[1:], k - 1)
@@ -339,33 +343,35 @@ def brute_kneser_ney(trusted):
         return own + c[1] / c[0] * p(gram[1:], k - 1)
 
     def perplexity(text):
-        s = pad + text
+        s = pad + symbols(text)
         total = sum(np.log(p(s[i - order + 1:i + 1], order)) for i in range(len(pad), len(s)))
-        return float(np.exp(-total / len(text)))
+        return float(np.exp(-total / (len(s) - len(pad))))
 
     return perplexity
 
 
-def test_perplexity_matches_plain_dictionaries(spark):
+@pytest.mark.parametrize("grams", [knlm.CHARACTERS, knlm.WORDS, knlm.Grams(1, words=True)])
+def test_perplexity_matches_plain_dictionaries(spark, grams):
     rng = random.Random(6)
     trusted = [prose(rng, 40) for _ in range(12)]
     other = [prose(rng, 40, ("qu", "xo", "zzi")) for _ in range(6)]
     rows = [(i, t, "en", "s", 0) for i, t in enumerate(trusted)]
     rows += [(100 + i, t, None, "s", 0) for i, t in enumerate(other)]
-    table = knlm.model(knlm.count(spark.createDataFrame(rows, DOCS)))
-    tests = [prose(rng, 30), "zebra QUX!", trusted[0], "b", None, ""]
+    table = knlm.model(knlm.count(spark.createDataFrame(rows, DOCS), grams=grams), grams.order)
+    tests = [prose(rng, 30), "\tzebra  QUX!\n", trusted[0], "b", None, "", " \n" if grams.words else ""]
     asked = [(i, t, "en", "s", 0) for i, t in enumerate(tests)]
     asked += [(50, other[0], None, "s", 0), (51, other[0], "xx", "s", 0)]
     got = {r["doc_id"]: r["perplexity"] for r in knlm.perplexity(
-        spark.createDataFrame(asked, DOCS), table, ["doc_id"]).collect()}
-    english, unnamed = brute_kneser_ney(trusted), brute_kneser_ney(other)
+        spark.createDataFrame(asked, DOCS), table, ["doc_id"], grams=grams).collect()}
+    english, unnamed = brute_kneser_ney(trusted, grams), brute_kneser_ney(other, grams)
     for i, text in enumerate(tests[:4]):
         assert got[i] == pytest.approx(english(text), rel=1e-9), text
-    assert got[4] is None and got[5] is None and got[51] is None
+    assert got[4] is None and got[5] is None and got[6] is None and got[51] is None
     assert got[50] == pytest.approx(unnamed(other[0]), rel=1e-9)
 
 
-def test_perplexity_thresholds_keep_trusted_text(spark):
+@pytest.mark.parametrize("grams", [knlm.CHARACTERS, knlm.WORDS])
+def test_perplexity_thresholds_keep_trusted_text(spark, grams):
     rng = random.Random(7)
     rows = [(i, prose(rng, 60), "en", "s", 0) for i in range(80)]
     rows += [(200 + i, "".join(rng.choice("#$%&XYZ") for _ in range(80)), "en", "s", 0) for i in range(5)]
@@ -373,7 +379,7 @@ def test_perplexity_thresholds_keep_trusted_text(spark):
     docs = spark.createDataFrame(rows, DOCS)
     trusted = docs.where("doc_id < 80").select("doc_id")
     got = {r["doc_id"]: r["kept"] for r in knlm.classify(
-        docs, trusted, F.col("doc_id") % 4 == 0).collect()}
+        docs, trusted, F.col("doc_id") % 4 == 0, grams=grams).collect()}
     assert len(got) == len(rows)
     assert not any(got[200 + i] for i in range(5))
     assert sum(got[i] for i in range(80)) >= 76 and all(got[i] for i in (300, 301, 302))
