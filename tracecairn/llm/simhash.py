@@ -35,6 +35,8 @@ BITS = 64
 SHINGLE_WORDS = 3
 SEED = 42
 BUCKET = 64
+#: Index rows of one fingerprint, and how many a task should make.
+KEYS, KEYS_PER_TASK = BITS + 2, 500_000
 #: Names of columns that documents carry on the way.
 FINGERPRINT, ROW = "_simhash_fp", "_simhash_row"
 #: Halving stops at this width.
@@ -127,7 +129,9 @@ def _bit(place: Column) -> Column:
 
 def candidate_links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(a, b): pairs of distinct fingerprints at one or two differing bits; ``nodes`` has fp."""
-    rows = nodes.select("fp", F.explode(_keys(
+    # Fingerprints are narrow, their keys are not: spread them before, as many as a task should hold.
+    tasks = 1 + nodes.count() * KEYS // KEYS_PER_TASK
+    rows = nodes.select("fp").repartition(tasks).select("fp", F.explode(_keys(
         F.col("fp"), F.lit(0).cast("long"), 0, BITS, 2, F.lit(-1), F.lit(2))).alias("k")
         ).select("fp", "k.*")
     key = ["mask", "part", "out"]
@@ -194,7 +198,7 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint hex, component_id): one row a document."""
     marks = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = marks.groupBy("fp").agg(F.min("id").alias("first"))
+    nodes = materialize(marks.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
     roots = components(candidate_links(nodes.select("fp")))
     named = nodes.join(roots, nodes.fp == roots.node, "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
