@@ -104,17 +104,29 @@ def shards(docs: DataFrame, limit: int, seed: int = 11, id_col: str = "doc_id",
 def write_shards(docs: DataFrame, path: str, limit: int, seed: int = 11, id_col: str = "doc_id",
                  text_col: str = "text") -> None:
     """Write every row of ``docs``, null and repeated ids included, to one folder a shard."""
-    if "shard" in docs.columns:
-        raise ValueError("shard names the folders; rename that column")
-    (shards(docs, limit, seed, id_col, text_col, whole=True).select("_row.*", "shard")
-     .repartition("shard").write.partitionBy("shard").option("compression", "zstd").parquet(path))
+    folder = folder_column(docs.columns)
+    (shards(docs, limit, seed, id_col, text_col, whole=True)
+     .select("_row.*", F.col("shard").alias(folder)).repartition(folder)
+     .write.partitionBy(folder).option("compression", "zstd").parquet(path))
+
+
+def folder_column(columns: list[str]) -> str:
+    """The column that names the folders: shard, behind underscores where ``columns`` has that."""
+    taken, name = {c.lower() for c in columns}, "shard"
+    while name in taken:
+        name = "_" + name
+    return name
 
 
 def read_shards(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """The rows of written shards, with shard; ``schema`` is that of the documents."""
+    """The rows of written shards, with their shard as the column that ``folder_column`` names.
+
+    ``schema`` is that of the documents.
+    """
+    folder = folder_column(schema.names)
     # Given as a string: bits would be read as a number. A table of one shard has the empty prefix.
-    rows = spark.read.schema(StructType([*schema, StructField("shard", StringType())])).parquet(path)
-    return rows.withColumn("shard", F.coalesce("shard", F.lit("")))
+    rows = spark.read.schema(StructType([*schema, StructField(folder, StringType())])).parquet(path)
+    return rows.withColumn(folder, F.coalesce(folder, F.lit("")))
 
 
 def write_and_read(docs: DataFrame, limit: int, seed: int = 11, id_col: str = "doc_id",
@@ -122,9 +134,10 @@ def write_and_read(docs: DataFrame, limit: int, seed: int = 11, id_col: str = "d
     """(id, shard, depth, bytes) of shards written below the shared folder, from the rows read back."""
     spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "id-shards")
     write_shards(docs, path, limit, seed, id_col, text_col)
-    prefix = F.substring_index("shard", "-", 1)
+    shard = F.col(folder_column(docs.columns))
+    prefix = F.substring_index(shard, "-", 1)
     return read_shards(spark, path, docs.schema).select(
-        id_col, "shard", F.length(prefix).alias("depth"),
+        id_col, shard.alias("shard"), F.length(prefix).alias("depth"),
         F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes"))
 
 
