@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracecairn.llm import bpe, exthash, knlm, langid, lshforest, pfair, quality, simhash
-from tracecairn.llm import tokenbin, toxicity
+from tracecairn.llm import queries, tokenbin, toxicity
 from tracecairn.llm.queries import tokenizer_file
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -144,6 +145,111 @@ def test_language_model_tells_languages_and_mixtures(spark):
     assert {r["lang_pred"] for r in langid.predict(docs_of(spark, tests), untrained).collect()} == {"und"}
 
 
+def brute_languages(training, names, text):
+    """Plain dictionaries and every set of languages: proportions of the best penalised likelihood."""
+    low = (1 << 32) - 1
+
+    def grams(t):
+        p = [0, *(ord(c) if c.isalpha() else 0 for c in t.lower()), 0]
+        out = Counter()
+        for a, b, c in zip(p, p[1:], p[2:]):
+            if b:
+                h = (a * 0x9E3779B1 ^ b * 0x85EBCA77 ^ c * 0xC2B2AE3D) & low
+                out[((h ^ h >> 15) * 0x2C1B3C6D & low) >> 16] += 1
+        return out
+
+    counts = {n: Counter() for n in names}
+    for t, n in training:
+        counts[n].update(grams(t))
+    every = sum(counts.values(), Counter())
+    whole = sum(every.values()) + 1e-3 * langid.BUCKETS
+
+    def p(name, g):
+        total = sum(counts[name].values())
+        mass = langid.SMOOTHING * total ** 0.5 * 10
+        return (counts[name][g] + (every[g] + 1e-3) / whole * mass) / (total + mass)
+
+    own = {g: n * langid.TEMPER for g, n in grams(text).items()}
+    like = {n: {g: p(n, g) for g in own} for n in names}
+    weight, best = sum(own.values()), None
+    for size in range(1, len(names) + 1):
+        for chosen in combinations(names, size):
+            share = {n: 1 / size for n in chosen}
+            for _ in range(langid.ROUNDS):
+                new = dict.fromkeys(chosen, 0.0)
+                for g, w in own.items():
+                    held = sum(share[n] * like[n][g] for n in chosen)
+                    for n in chosen:
+                        new[n] += w * share[n] * like[n][g] / held / weight
+                share = new
+            value = sum(w * np.log(sum(share[n] * like[n][g] for n in chosen)) for g, w in own.items())
+            value -= (size - 1) * np.log(max(weight, np.e))
+            if best is None or value > best[0]:
+                best = value, share
+    return best[1]
+
+
+def test_language_sets_match_brute_force(spark):
+    rng = random.Random(12)
+    stems = {"aa": ("ka", "lo", "mi"), "bb": ("stre", "gund", "ach"), "cc": ("ção", "inho", "vel"),
+             "dd": ("zu", "lok", "mist"), "ee": ("qua", "nti", "ora")}
+    training = [(prose(rng, 30, stems[n]), n) for n in list(stems) * 12]
+    model = langid.train(spark.createDataFrame(
+        [(i, t, n, "s", 0) for i, (t, n) in enumerate(training)], DOCS))
+    tests = [" ".join(prose(rng, size, stems[n]) for n in chosen)
+             for size in (2, 6, 20) for chosen in (["aa"], ["dd"], ["aa", "dd"], ["bb", "ee"],
+                                                   ["cc", "aa", "bb"], ["dd", "cc", "ee", "aa"])]
+    tests += ["Lokach 12!\nção", tests[-1] + " " + "xyz " * 30]
+    got = langid.predict(docs_of(spark, tests + tests), model).orderBy("doc_id").collect()
+    assert [r["lang_share"] for r in got[:len(tests)]] == [r["lang_share"] for r in got[len(tests):]]
+    for text, row in zip(tests, got):
+        want = brute_languages(training, list(stems), text)
+        assert row["lang_share"] == pytest.approx(want, abs=1e-6), text
+        assert row["lang_pred"] == max(want, key=want.get)
+
+
+def test_held_out_documents_are_told(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{x}.parquet") for x in ("documents", "labels"))
+    told = queries.op1_language_id(spark, sf_dir).where("held_out").join(
+        docs.where("lang IS NOT NULL AND text RLIKE '[a-z]'").select("doc_id", "lang"), "doc_id").agg(
+        F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
+    assert told >= 0.99
+    marked = queries.op8_toxicity(spark, sf_dir).where("held_out").join(labels, "doc_id")
+    rates = {r["toxic"]: r["rate"] for r in marked.groupBy("toxic").agg(
+        F.avg("predicted").alias("rate")).collect()}
+    # 350 toxic documents to learn from, each language with insults of its own; more find more.
+    assert rates[1] >= 0.7 and rates[0] <= 0.005
+
+
+def test_texts_of_ten_megabytes_are_worked_on_whole(spark):
+    import xxhash
+
+    rng, n = random.Random(13), 3_500_000
+    stems = {"aa": ("ka", "lo", "mi"), "bb": ("stre", "gund", "ach")}
+    rows = [(i, prose(rng, 30, stems[x]), x, "s", 0) for i, x in enumerate(["aa", "bb"] * 20)]
+    known = spark.createDataFrame(rows, DOCS)
+    docs = spark.createDataFrame([(100, rows[0][1], "aa", "s", 0)], DOCS).unionByName(
+        spark.range(1).select(
+            F.lit(101).cast("long").alias("doc_id"), F.repeat(F.lit("ka "), n).alias("text"),
+            F.lit("aa").alias("lang"), F.lit("s").alias("source"), F.lit(0).cast("long").alias("n_chars")))
+
+    def long(frame):
+        return frame.where("doc_id = 101").collect()[0]
+
+    assert long(langid.predict(docs, langid.train(known)))["lang_pred"] == "aa"
+    assert long(simhash.near_duplicates(docs))["fingerprint"] == (
+        f"{xxhash.xxh64_intdigest(b'ka ka ka', 42):016x}")
+    assert long(exthash.write_and_read(docs, 1 << 20))["bytes"] == 3 * n
+    table = knlm.model(knlm.count(known))
+    row = long(knlm.perplexity(docs, table, ["doc_id"]))
+    short = spark.createDataFrame([(1, "ka " * 5000, "aa", "s", 0)], DOCS)
+    assert row["n_symbols"] == 3 * n and row["perplexity"] == pytest.approx(
+        knlm.perplexity(short, table, ["doc_id"]).collect()[0]["perplexity"], rel=1e-2)
+    row = long(quality.judge(docs, carry=["doc_id"]))
+    assert (row["n_words"], row["word_chars"], row["n_repeat_words"]) == (n, 2 * n, n)
+
+
 # -- SimHash ------------------------------------------------------------------------------------
 
 def brute_fingerprint(text):
@@ -303,6 +409,16 @@ def test_written_shards_hold_every_row_once(spark, tmp_path, limit):
         (r[0], len(r[1] or "")) for r in rows)
 
 
+def test_a_column_named_as_the_folders_stays_as_it_is(spark, tmp_path):
+    docs = docs_of(spark, ["x" * i for i in range(40)]).withColumn(
+        "Shard", F.concat(F.lit("own"), "doc_id")).withColumn("_shard", F.lit(1))
+    exthash.write_shards(docs, str(tmp_path / "shards"), 100)
+    got = exthash.read_shards(spark, str(tmp_path / "shards"), docs.schema)
+    assert got.columns == [*docs.columns, "__shard"]
+    assert Counter(tuple(r)[:-1] for r in got.collect()) == Counter(map(tuple, docs.collect()))
+    assert exthash.write_and_read(docs, 100).columns == ["doc_id", "shard", "depth", "bytes"]
+
+
 # -- Kneser-Ney ---------------------------------------------------------------------------------
 
 def brute_kneser_ney(trusted, grams):
@@ -409,6 +525,37 @@ def test_toxicity_finds_insults_and_their_misspellings(spark):
     assert {r["score"] for r in toxicity.score(docs.limit(3), nothing).collect()} == {0.0}
 
 
+def brute_toxicity(model, text):
+    """The worst window of the mean evidence of its words, each the mean over its n-grams."""
+    def of_word(word):
+        word = f"<{word.strip(toxicity.PUNCTUATION) or word}>"
+        found = []
+        for n in range(toxicity.SHORTEST, toxicity.LONGEST + 1):
+            for i in range(len(word) - n + 1):
+                h = 0
+                for c in word[i:i + n]:
+                    h = (h * 0x100000001B3 + ord(c)) % 2**64
+                found.append(model.evidence[((h + n) * 0x9E3779B97F4A7C15 % 2**64) >> 48])
+        return sum(found) / max(len(found), 1)
+
+    values = [of_word(w) for w in (text or "").lower().split()]
+    last = max(len(values) - toxicity.WINDOW, 0)
+    starts = {*range(0, last, toxicity.STRIDE), last} if values else ()
+    sums = [values[i:i + toxicity.WINDOW] for i in starts]
+    return 1 / (1 + np.exp(-model.bias - max((sum(x) / len(x) for x in sums), default=0)))
+
+
+def test_toxicity_scores_match_brute_force(spark):
+    rng = np.random.default_rng(14)
+    model = toxicity.Model(rng.normal(0, 3, toxicity.BUCKETS), -1.0)
+    words = random.Random(15)
+    tests = [*ODD, *(prose(words, n) for n in (1, 7, 8, 9, 12, 13, 40)), "(«Ça!» -- a.b) ...", "...", "#*"]
+    got = toxicity.score(docs_of(spark, tests + tests), model).orderBy("doc_id").collect()
+    for text, row, again in zip(tests, got, got[len(tests):]):
+        assert row["score"] == pytest.approx(brute_toxicity(model, text), rel=1e-9, abs=1e-12), text
+        assert (row["score"], row["predicted"]) == (again["score"], int(row["score"] >= 0.5))
+
+
 # -- nearest neighbours -------------------------------------------------------------------------
 
 def brute_nearest(rows, k):

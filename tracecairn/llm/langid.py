@@ -2,13 +2,14 @@
 
 Training counts hashed character trigrams by language; that gives P(gram | language). A
 document is taken as drawn from a mixture of languages: expectation-maximisation finds its
-proportions. Which languages take part is chosen by penalised likelihood: the best single
-language stands unless a mixture gains more than the penalty for its further proportions;
-from a winning mixture the weakest languages go while that costs less than their penalty.
+proportions. Which languages take part is chosen by penalised likelihood: from the best single
+language on, the most promising one joins while the mixture gains more than one penalty by it;
+then the weakest go while that costs less than their penalty.
 Neighbouring trigrams overlap, so likelihoods count a third (``TEMPER``).
 
 The model takes BUCKETS floats per language, whatever the corpus, and is sent to the tasks;
-its counts cover all training rows. Null and letterless texts are ``und`` with score 0. Ties
+its counts cover all training rows. A very long text is a chunk of its own; repeated rows are
+predicted one by one, alike. Null and letterless texts are ``und`` with score 0. Ties
 go to the language first by name. Without training rows every text is ``und``.
 """
 
@@ -81,26 +82,35 @@ class Model:
         # Relative to the best single language of the text, so that nothing underflows whole.
         ratio = np.exp(log_p - log_p.max(1, keepdims=True))
         base = np.bincount(owner, weight * log_p.max(1), n)
-        active = np.ones((len(held), k), bool)
-        mixed, gain = self._mix(ratio, weight, heads, active)
-        gain += base[held]
-        use = gain - cost[held] * (k - 1) > top[held]
-        # Backward: only texts whose mixture stands are worked on again.
-        while use.any():
-            rows = np.flatnonzero(use)
-            weakest = np.where(active[rows], mixed[rows], 2).argmin(1)
-            trial = active[rows].copy()
-            trial[np.arange(len(rows)), weakest] = False
-            sizes = np.diff(np.concatenate((heads, [len(owner)])))[rows]
-            pick = np.repeat(heads[rows] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-            fitted, value = self._mix(ratio[pick], weight[pick], np.cumsum(sizes) - sizes, trial)
-            value += base[held[rows]]
-            better = (value + cost[held[rows]] > gain[rows]) & (trial.sum(1) > 1)
-            moved = rows[better]
-            active[moved], mixed[moved], gain[moved] = trial[better], fitted[better], value[better]
-            share[held[rows[~better]]] = mixed[rows[~better]]
-            use = np.zeros(len(held), bool)
-            use[moved] = True
+        mixed, gain = share[held], top[held]
+        active, sizes = mixed > 0, np.diff(np.concatenate((heads, [len(owner)])))
+        # Forward, then backward: only texts whose set has changed are worked on again.
+        for change in (1, -1):
+            rows = np.flatnonzero(active.sum(1) > (0 if change > 0 else 2))
+            while len(rows):
+                own = sizes[rows]
+                begins = np.cumsum(own) - own
+                pick = (slice(None) if len(rows) == len(held) else
+                        np.repeat(heads[rows] - begins, own) + np.arange(own.sum()))
+                near, heavy = ratio[pick], weight[pick]
+                if change > 0:
+                    # The language by whose first share the likelihood would rise most steeply.
+                    now = np.maximum((near * np.repeat(mixed[rows], own, 0)).sum(1), 1e-300)
+                    slope = np.add.reduceat(near * (heavy / now)[:, None], begins, 0)
+                    at = np.where(active[rows], -1, slope).argmax(1)
+                else:
+                    at = np.where(active[rows], mixed[rows], 2).argmin(1)
+                trial = active[rows].copy()
+                trial[np.arange(len(rows)), at] = change > 0
+                fitted, value = self._mix(near, heavy, begins, trial)
+                value += base[held[rows]]
+                better = value - change * cost[held[rows]] > gain[rows]
+                moved = rows[better]
+                active[moved], mixed[moved], gain[moved] = trial[better], fitted[better], value[better]
+                # Sets of two have been compared with the best language alone, full ones have no further.
+                size = active[moved].sum(1)
+                rows = moved[size < k if change > 0 else size > 2]
+        share[held] = mixed
         return share, posterior
 
     @staticmethod
