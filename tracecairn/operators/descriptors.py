@@ -33,7 +33,14 @@ from tracecairn.functions.paths import (
     unknown_fd,
 )
 from tracecairn.functions.syscalls import CLOSE_OP, EXIT_OP, OPEN_OPS, dry_action, is_rename
-from tracecairn.operators.slices import SLICE, TimeSlices, add_running_sum, nearest
+from tracecairn.operators.slices import (
+    PART,
+    SLICE,
+    WHOLE,
+    TimeSlices,
+    add_running_sum,
+    nearest,
+)
 from tracecairn.operators.storage import materialize
 from tracecairn.options import TraceOptions
 
@@ -71,7 +78,7 @@ def prepare(events: DataFrame, opts: TraceOptions, slices: TimeSlices) -> DataFr
     c = F.col
     out = slices.assign(events) if SLICE not in events.columns else events
     out = (
-        out.withColumn("action", dry_action(c("sc")))
+        slices.assign_parts(out).withColumn("action", dry_action(c("sc")))
         .withColumn("lookup_path", best_path(c("path"), c("canonical_path"), c("mapped")))
         .withColumn("raw", F.when(
             c("action").isin("open", "meta")
@@ -163,11 +170,11 @@ def with_base(rows: DataFrame, root: str) -> DataFrame:
 def build_sessions(control: DataFrame, slices: TimeSlices) -> DataFrame:
     """Open sessions from control rows.
 
-    ``control``: ``owner, slice, machine_ts, log_offset, sc, op`` (open or close), ``fd``
+    ``control``: ``owner, part, machine_ts, log_offset, sc, op`` (open or close), ``fd``
     (null for a close by path), ``path``, ``our_fd``, ``reachable`` (false for a carried
     open that its path no longer finds), ``exit_at`` (null unless exits are honoured).
 
-    Result: ``owner, slice, open_at, fd, our_fd, path, path_end, fd_end, end_kind``. A
+    Result: ``owner, part, open_at, fd, our_fd, path, path_end, fd_end, end_kind``. A
     session is found by path for keys up to ``path_end`` or its path's next open, and by
     descriptor up to ``fd_end``; null means open to the end.
     """
@@ -176,7 +183,7 @@ def build_sessions(control: DataFrame, slices: TimeSlices) -> DataFrame:
     marks = materialize(_path_marks(control, slices), "marks")
     found = (
         marks.groupBy("owner", "path", "segment").agg(
-            F.max(F.when(c("mark") == "open", F.struct(SLICE, *facts))).alias("opened"),
+            F.max(F.when(c("mark") == "open", F.struct(PART, *facts))).alias("opened"),
             F.min(F.when(c("mark") == "close", c("at"))).alias("closed_at"),
             F.min(F.when((c("mark") == "lost") & (c("of") == c("segment")), c("at")))
             .alias("own_end"),
@@ -190,7 +197,7 @@ def build_sessions(control: DataFrame, slices: TimeSlices) -> DataFrame:
     found = materialize(found.withColumn("limit", limit), "sessions-alone")
     found = _settle_foreign(found, marks)
     return found.select(
-        "owner", SLICE, c("segment").alias("open_at"), "fd", "our_fd", "path",
+        "owner", PART, c("segment").alias("open_at"), "fd", "our_fd", "path",
         "path_end",
         F.when(c("closed"), c("closed_at"))
         .otherwise(F.coalesce(c("next.at"), c("exit_at"))).alias("fd_end"),
@@ -210,23 +217,23 @@ def _path_marks(control: DataFrame, slices: TimeSlices) -> DataFrame:
     c = F.col
     control = control.withColumn("at", at_key())
     # Closes by path have no descriptor; whatever their window finds is not used.
-    control = nearest(control, ["owner", "fd"], _IN_OWNER, F.struct("at", "op", SLICE), "next",
+    control = nearest(control, ["owner", "fd"], _IN_OWNER, F.struct("at", "op", PART), "next",
                       slices, following=True)
-    if slices.several:
+    if slices.parted:
         control = materialize(control, "next-on-descriptor")
     is_open = c("op") == "open"
 
     def mark(when: Column, name: str, turn: int, at: str, slice_: str) -> Column:
         return F.when(when, F.struct(
             F.lit(name).alias("mark"), F.lit(turn).alias("turn"), c(at).alias("at"),
-            c(slice_).alias(SLICE)))
+            c(slice_).alias(PART)))
 
     own_close = (c("op") == "close") & c("fd").isNull() & (c("path") != "")
     found = F.array(
-        mark(is_open, "open", 1, "at", SLICE),
-        mark(own_close, "close", 1, "at", SLICE),
+        mark(is_open, "open", 1, "at", PART),
+        mark(own_close, "close", 1, "at", PART),
         mark(is_open & (c("path") != "") & c("next").isNotNull(), "lost", 0, "next.at",
-             f"next.{SLICE}"),
+             f"next.{PART}"),
     )
     marks = control.select(
         "owner", "path", "fd", "our_fd", "reachable", "next", "exit_at",
@@ -343,25 +350,25 @@ def attach_sessions(rows: DataFrame, sessions: DataFrame, slices: TimeSlices) ->
     """As-of lookup: add the session a row's ``key`` finds at that instant.
 
     Adds ``session_at, session_fd, session_path, our_fd``, null where nothing is found
-    or the row has no key. One shuffle by (owner, key, slice).
+    or the row has no key. One shuffle by (owner, key, part).
     """
     c = F.col
     session_type = F.struct("open_at", "fd", "path", "our_fd", c("end").alias("end"))
     keyed = sessions.select(
-        "owner", SLICE, "open_at", "fd", "path", "our_fd",
+        "owner", PART, "open_at", "fd", "path", "our_fd",
         F.concat(F.lit("fd:"), "fd").alias("key"), c("fd_end").alias("end"),
     ).unionByName(
         sessions.where(c("path") != "").select(
-            "owner", SLICE, "open_at", "fd", "path", "our_fd",
+            "owner", PART, "open_at", "fd", "path", "our_fd",
             F.concat(F.lit("p:"), "path").alias("key"), c("path_end").alias("end"))
-    ).select("owner", SLICE, "key", "open_at.*", session_type.alias("_session"))
+    ).select("owner", PART, "key", "open_at.*", session_type.alias("_session"))
     # On one row the lookup comes before the open it may itself be.
     starts = keyed.withColumn("_turn", F.lit(1))
-    if slices.several:
+    if slices.parted:
         starts = starts.unionByName(_carried_sessions(rows, keyed))
     both = rows.withColumn("_turn", F.lit(0)).unionByName(starts, allowMissingColumns=True)
     until = (
-        Window.partitionBy("owner", "key", SLICE).orderBy(*_IN_OWNER, "_turn")
+        Window.partitionBy("owner", "key", PART).orderBy(*_IN_OWNER, "_turn")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     latest = F.last("_session", ignorenulls=True).over(until)
@@ -378,14 +385,15 @@ def attach_sessions(rows: DataFrame, sessions: DataFrame, slices: TimeSlices) ->
 
 
 def _carried_sessions(rows: DataFrame, keyed: DataFrame) -> DataFrame:
-    """For each slice where a key is looked up, the last session opened in earlier slices."""
+    """For each part where a key is looked up, the last session opened in earlier parts."""
     c = F.col
-    group = ["owner", "key", SLICE]
-    latest = keyed.groupBy(*group).agg(
+    group = ["owner", "key", PART]
+    cut = c(PART) != WHOLE
+    latest = keyed.where(cut).groupBy(*group).agg(
         F.max_by("_session", F.col("_session.open_at")).alias("_session"))
-    wanted = rows.select(*group).distinct()   # a null key finds nothing and drops out below
+    wanted = rows.where(cut).select(*group).distinct()   # a null key finds nothing and drops out below
     earlier = (
-        Window.partitionBy("owner", "key").orderBy(SLICE)
+        Window.partitionBy("owner", "key").orderBy(PART)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
@@ -443,7 +451,7 @@ def _control(
     opens: DataFrame, closes: DataFrame, carried: DataFrame | None, slices: TimeSlices
 ) -> DataFrame:
     c = F.col
-    shared = ["owner", SLICE, *_IN_OWNER]
+    shared = ["owner", PART, *_IN_OWNER]
     exit_at = c("exit_at") if "exit_at" in opens.columns else F.lit(None).cast(
         "struct<machine_ts:double,log_offset:bigint,sc:string>")
     started = opens.where(c("reason").isNull() & as_fd(c("ret")).isNotNull()).select(
@@ -458,7 +466,8 @@ def _control(
     if carried is None:
         return control
     pid = F.substring_index(c("owner").cast("string"), "@", 1).cast("bigint")
-    seeds = slices.assign(carried.withColumn("pid", pid)).drop("pid").withColumn("op", F.lit("open"))
+    seeds = slices.assign_parts(slices.assign(carried.withColumn("pid", pid))).drop(
+        "pid", SLICE).withColumn("op", F.lit("open"))
     return control.unionByName(seeds, allowMissingColumns=True)
 
 

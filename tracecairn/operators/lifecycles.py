@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracecairn.operators.slices import SLICE, TimeSlices
+from tracecairn.operators.slices import PART, SLICE, WHOLE, TimeSlices, along
 
 SIDES = ("source", "target")
 #: Hexadecimal digits of a call's hash; their sum fits a decimal for any number of calls.
@@ -23,22 +23,26 @@ DIGITS = 15
 def add_rank(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, slices: TimeSlices
 ) -> DataFrame:
-    """Number the rows of each key in order, from 1. A window holds a key's rows of one slice;
-    one row per (key, slice) carries the counts on."""
-    local = Window.partitionBy(*keys, SLICE).orderBy(*order)
+    """Number the rows of each key in order, from 1. A window holds a key's rows of one slice, or all of
+    them where its process is no larger than a slice; one row per (key, slice) carries the counts on."""
+    slices = along(slices, keys)
+    df = slices.assign_parts(df)
+    local = Window.partitionBy(*keys, PART).orderBy(*order)
     df = df.withColumn(out, F.row_number().over(local).cast("bigint"))
-    if not slices.several:
-        return df
-    earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    before = df.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_n")).select(
-        *keys, SLICE, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*keys, SLICE)]
+    if not slices.parted:
+        return df.drop(PART)
+    earlier = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    before = df.where(F.col(PART) != WHOLE).groupBy(*keys, PART).agg(
+        F.count(F.lit(1)).alias("_n")).select(
+        *keys, PART, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*keys, PART)]
     condition = same[0]
     for x in same[1:]:
         condition &= x
-    joined = df.alias("a").join(before.alias("b"), condition)
+    joined = df.alias("a").join(before.alias("b"), condition, "left")
     return joined.select(
-        *[F.col(f"a.{n}") for n in df.columns if n != out], (F.col(out) + F.col("_before")).alias(out))
+        *[F.col(f"a.{n}") for n in df.columns if n not in (out, PART)],
+        (F.col(out) + F.coalesce("_before", F.lit(0))).alias(out))
 
 
 def call_hash(*parts: Column) -> Column:

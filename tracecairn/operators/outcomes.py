@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracecairn.functions.syscalls import is_open_op
 from tracecairn.functions.text import outcome_note
 from tracecairn.operators.descriptors import Descriptors, attach_sessions, with_base
+from tracecairn.operators.slices import PART
 
 def outcomes(state: Descriptors, notes: bool = False) -> DataFrame:
     """One row per selected event: ``action, status, reason`` and the session it used.
@@ -32,7 +33,7 @@ def outcomes(state: Descriptors, notes: bool = False) -> DataFrame:
                          .when(c("reason").isNotNull(), "failed").otherwise("ok"))
     if notes:
         out = out.withColumn("note", outcome_note())
-    return out.drop("owner", "key", "exit_at")
+    return out.drop("owner", "key", "exit_at", PART)
 
 
 def first_failure(events: DataFrame) -> DataFrame:

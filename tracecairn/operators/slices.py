@@ -21,8 +21,15 @@ from pyspark.sql import functions as F
 from tracecairn.schema import ORDER
 
 SLICE = "slice"
+#: A row's slice where its process is cut into slices; ``WHOLE`` where it is not.
+PART = "part"
+WHOLE = -1
 SAMPLED_ROWS_PER_SLICE = 100
 MIN_SAMPLE = 1_000_000
+#: So many slices keep a cluster's tasks busy; a trace gets more only where they would be larger than
+#: ``FULL_SLICE``, as every further cut adds a summary row for each key that it divides.
+ENOUGH_SLICES = 64
+FULL_SLICE = 1_000_000
 _KEY = "_slice_key"
 _BELOW_ONE = 1.0 - 2.0**-30
 _BEFORE = (Window.unboundedPreceding, -1)
@@ -42,6 +49,9 @@ class TimeSlices:
     Where single timestamps have more rows than a slice should have, ``fine`` cuts once more: on
     the number of a row's slice plus the place of its ``log_offset`` between ``low`` and ``high``, and
     of its ``pid`` between ``low_pid`` and ``high_pid`` among rows that share the offset too.
+
+    ``large`` are the processes with more rows than a slice, at most as many as there are slices; None
+    counts all as large. Windows within a process need slices for these alone.
     """
 
     cuts: tuple[float, ...] = ()
@@ -50,11 +60,26 @@ class TimeSlices:
     high: int = 0
     low_pid: int = 0
     high_pid: int = 0
+    large: tuple[int, ...] | None = None
 
     @property
     def several(self) -> bool:
         return bool(self.cuts)
 
+    @property
+    def parted(self) -> bool:
+        """Whether some process is cut."""
+        return self.several and self.large != ()
+
+    def assign_parts(self, df: DataFrame) -> DataFrame:
+        """Add the part of a process a row is in, from its ``pid`` and slice."""
+        if not self.parted:
+            return df.withColumn(PART, F.lit(WHOLE).cast("bigint"))
+        if self.large is None:
+            return df.withColumn(PART, F.col(SLICE))
+        return df.withColumn(PART, F.when(F.col("pid").isin(*self.large), F.col(SLICE)).otherwise(
+            F.lit(WHOLE).cast("bigint")))
+
     def assign(self, df: DataFrame) -> DataFrame:
         if not self.cuts:
             return df.withColumn(SLICE, F.lit(0).cast("bigint"))
@@ -92,14 +117,14 @@ class TimeSlices:
 
 
 def plan_slices(events: DataFrame, rows_per_slice: int) -> TimeSlices:
-    """Choose slices of about ``rows_per_slice`` rows.
+    """Choose slices of about ``rows_per_slice`` rows, larger ones where there would be too many.
 
     Counts the rows and, if there is more than one slice, reads timestamps of a sample,
     as a range partitioner does. The sample only places the cuts; they are constants
     from then on and results do not depend on them. Only the cuts reach the driver.
     """
     rows = events.count()
-    wanted = -(-rows // rows_per_slice)
+    wanted = slices_wanted(rows, rows_per_slice)
     if wanted <= 1:
         return TimeSlices()
     share = min(1.0, max(wanted * SAMPLED_ROWS_PER_SLICE, MIN_SAMPLE) / rows)
@@ -115,6 +140,9 @@ def plan_slices(events: DataFrame, rows_per_slice: int) -> TimeSlices:
         F.max("log_offset").alias("high"), F.min("pid").alias("low_pid"),
         F.max("pid").alias("high_pid")).first()
     found, heavy = slices_from_quantiles(row["cuts"] or (), row["low"] or 0, row["high"] or 0)
+    # No more processes than slices can be larger than a slice is on the average.
+    large = events.groupBy("pid").count().where(F.col("count") > rows / wanted).collect()
+    found = replace(found, large=tuple(sorted(r["pid"] for r in large)))
     if not heavy:
         return found
     found = replace(found, low_pid=row["low_pid"] or 0, high_pid=row["high_pid"] or 0)
@@ -125,6 +153,12 @@ def plan_slices(events: DataFrame, rows_per_slice: int) -> TimeSlices:
     return replace(found, fine=tuple(sorted({*fine, *whole})))
 
 
+def slices_wanted(rows: int, rows_per_slice: int) -> int:
+    """How many slices ``rows`` get. Summaries per (key, slice) must not grow into as many rows as the
+    trace has, so beyond ``ENOUGH_SLICES`` the slices grow, up to ``FULL_SLICE`` rows each."""
+    return min(-(-rows // rows_per_slice), max(ENOUGH_SLICES, -(-rows // FULL_SLICE)))
+
+
 def slices_from_quantiles(
     quantiles: Sequence[float], low: int, high: int
 ) -> tuple[TimeSlices, bool]:
@@ -139,32 +173,38 @@ def order_key(columns: Sequence[str] = ORDER) -> Column:
     return F.struct(*columns)
 
 
+def along(slices: TimeSlices, keys: Sequence[str]) -> TimeSlices:
+    """Slices for windows over these keys: without the process among them, no key is known to be small."""
+    return slices if "pid" in keys else replace(slices, large=None)
+
+
 def nearest(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str,
     slices: TimeSlices, following: bool = False,
 ) -> DataFrame:
-    """Add the last non-null ``value`` strictly before each row of the same key.
+    """Add the last non-null ``value`` strictly before each row of the same key, which lies within a
+    process.
 
-    With ``following`` the first one strictly after it. ``df`` needs a slice column.
+    With ``following`` the first one strictly after it. ``df`` needs a part column.
     """
     def directed(name: str) -> Column:
         return F.col(name).desc() if following else F.col(name).asc()
 
     df = df.withColumn("_value", value)
-    local = Window.partitionBy(*keys, SLICE).orderBy(*map(directed, order)).rowsBetween(*_BEFORE)
+    local = Window.partitionBy(*keys, PART).orderBy(*map(directed, order)).rowsBetween(*_BEFORE)
     df = df.withColumn(out, F.last("_value", ignorenulls=True).over(local))
-    if not slices.several:
+    if not slices.parted:
         return df.drop("_value")
     position = F.when(F.col("_value").isNotNull(), F.struct(*order))
     pick = F.min_by if following else F.max_by
-    across = Window.partitionBy(*keys).orderBy(directed(SLICE)).rowsBetween(*_BEFORE)
+    across = Window.partitionBy(*keys).orderBy(directed(PART)).rowsBetween(*_BEFORE)
     carried = (
-        df.groupBy(*keys, SLICE).agg(pick("_value", position).alias("_edge"))
+        df.where(F.col(PART) != WHOLE).groupBy(*keys, PART).agg(pick("_value", position).alias("_edge"))
         .withColumn("_carry", F.last("_edge", ignorenulls=True).over(across))
         .where(F.col("_carry").isNotNull()).drop("_edge")
     )
     return (
-        df.join(carried, [*keys, SLICE], "left")
+        df.join(carried, [*keys, PART], "left")
         .withColumn(out, F.coalesce(out, "_carry"))
         .drop("_value", "_carry")
     )

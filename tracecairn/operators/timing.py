@@ -9,6 +9,7 @@ from tracecairn.operators.slices import (
     SLICE,
     TimeSlices,
     add_previous_ts,
+    along,
     nearest,
     with_slice_facts,
 )
@@ -91,7 +92,8 @@ def add_schedule(df: DataFrame, opts: TraceOptions, slices: TimeSlices) -> DataF
 def pid_gaps(df: DataFrame, slices: TimeSlices, by: tuple[str, ...] = ("pid",)) -> DataFrame:
     """Idle time per process (or other key): events, and total and longest gap."""
     order = [c for c in ORDER if c not in by]
-    ranked = nearest(df, by, order, F.col("machine_ts"), "_previous", slices)
+    slices = along(slices, by)
+    ranked = nearest(slices.assign_parts(df), by, order, F.col("machine_ts"), "_previous", slices)
     gap = micros(F.col("machine_ts") - F.col("_previous"))
     return ranked.groupBy(*by).agg(
         F.count(F.lit(1)).alias("events"),
