@@ -27,7 +27,6 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +34,10 @@ from tracecairn.llm.common import BLANKS, chunks, code_points, runs_within, text
 from tracecairn.operators.storage import materialize
 
 BLOCK_BYTES = 32 << 20
+#: A block is read in pieces of this many bytes, whose keys alone take some hundred times as much memory.
+PIECE_BYTES = 512 << 10
+#: Pieces whose distinct keys are merged at a time.
+MERGED_PIECES = 8
 #: Ids of trusted documents that may be sent to every task, 16 MB or so; more are joined by shuffle.
 SENT_IDS = 1_000_000
 QUANTILE = 0.995
@@ -272,34 +275,39 @@ def _blocks(docs: DataFrame, carry: list[str], text_col: str, lang_col: str) ->
 
 def _block_name(part: pa.RecordBatch) -> int:
     mark = xxhash.xxh64()
-    for c in ("_text", "_lang"):
-        for x in part.column(c).to_pylist():
-            mark.update(b"\0" if x is None else x.encode() + b"\1")
+    for piece in chunks(iter([part]), "_text"):   # so that a block is never whole in Python strings
+        for c in ("_text", "_lang"):
+            for x in piece.column(c).to_pylist():
+                mark.update(b"\0" if x is None else x.encode() + b"\1")
     return int(np.uint64(mark.intdigest()).view(np.int64))
 
 
 def _ask(batches: Iterator[pa.RecordBatch], grams: Grams) -> Iterator[pa.RecordBatch]:
     for part in chunks(batches, "_text", BLOCK_BYTES):
-        wanted = [np.zeros(1, np.uint64)]
-        for piece in chunks(iter([part]), "_text"):
+        found, wanted = np.zeros(1, np.uint64), []
+        for i, piece in enumerate(chunks(iter([part]), "_text", PIECE_BYTES), 1):
             keys, at, _, _ = gram_keys(texts_of(piece, "_text"), piece.column("_lang").to_pylist(),
                                        grams)
             own = at[distinct(keys[grams.order][at])[0]]
             wanted += [np.unique(x) for k in range(grams.order + 1) for x in (keys[k][own], keys[k][own - 1])]
-        found = np.unique(np.concatenate(wanted)).view(np.int64)
+            if i % MERGED_PIECES == 0:
+                found, wanted = np.unique(np.concatenate([found, *wanted])), []
+        found = np.unique(np.concatenate([found, *wanted])).view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([_block_name(part)] * len(found), pa.int64()), pa.array(found)],
+            [pa.array(np.full(len(found), _block_name(part))), pa.array(found)],
             ["block", "key"])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A block as a stream of compressed batches, so that it is unpacked batch by batch."""
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 1))
     for part in chunks(batches, "_text", BLOCK_BYTES):
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, part.schema) as out:
-            out.write_batch(part)
-        blob = zstandard.compress(sink.getvalue(), 1)
+        with pa.ipc.new_stream(sink, part.schema, options=options) as out:
+            for piece in chunks(iter([part]), "_text"):
+                out.write_batch(piece)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([_block_name(part)], pa.int64()), pa.array([blob], pa.binary())],
+            [pa.array([_block_name(part)], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
             ["block", "blob"])
 
 
@@ -332,8 +340,8 @@ def perplexity(docs: DataFrame, table: DataFrame, carry: list[str], text_col: st
                 order = np.argsort(key)
                 key, logp = key[order], logp.astype(float)[order]
                 backoff = np.nan_to_num(backoff.astype(float)[order])
-                with pa.ipc.open_stream(zstandard.decompress(one.column(0)[0].as_py())) as part:
-                    for piece in chunks(part, "_text"):
+                with pa.ipc.open_stream(one.column(0)[0].as_buffer()) as part:
+                    for piece in chunks(part, "_text", PIECE_BYTES):
                         sums, sizes = log_likelihoods(
                             texts_of(piece, "_text"), piece.column("_lang").to_pylist(),
                             key, logp, backoff, grams)
