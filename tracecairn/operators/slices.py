@@ -28,7 +28,7 @@ SAMPLED_ROWS_PER_SLICE = 100
 MIN_SAMPLE = 1_000_000
 #: So many slices keep a cluster's tasks busy; a trace gets more only where they would be larger than
 #: ``FULL_SLICE``, as every further cut adds a summary row for each key that it divides.
-ENOUGH_SLICES = 64
+ENOUGH_SLICES = 1_000
 FULL_SLICE = 1_000_000
 _KEY = "_slice_key"
 _BELOW_ONE = 1.0 - 2.0**-30
